@@ -118,14 +118,14 @@ class ToxicityModel:
     offset: float
 
     def vote(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        """Share of label 1 among the neighbours, each weighing 1 / (0.05 + distance), and the evidence.
+        """Share of label 1 among the neighbours, each weighing cosine^2 / (0.05 + distance), and the evidence.
 
         One unit of weight for label 0 stands for what is unlike every example; so the vote of a text
         without any known term is 0.
         """
         terms, counts = counted(text, self.number)
         near, cosine = self.index.nearest(terms, weighed(terms, counts, self.idf), self.neighbours)
-        w = 1 / (0.05 + np.maximum(0.0, 1 - cosine))
+        w = cosine**2 / (0.05 + np.maximum(0.0, 1 - cosine))
         return float((w * self.labels[near]).sum() / (1 + w.sum())), self.ids[near], cosine
 
     def probability(self, vote: float) -> float:
@@ -164,7 +164,7 @@ def fit(
     examples: int = 2048,
     calibration: int = 2048,
     terms: int = 4096,
-    least_chi2: float = 12.0,
+    least_chi2: float = 24.0,
     neighbours: int = 15,
 ) -> ToxicityModel:
     """Fits on labels (doc_id, toxic), of which ``usable`` (a condition on doc_id) says which rows may be learnt from.
