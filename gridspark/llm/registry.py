@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import exact_dedup, packing, toxicity
+from gridspark.llm import exact_dedup, jaccard_join, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.query,
         "op7_best_fit_packing": packing.query,
+        "op8_ngram_jaccard_join": jaccard_join.query,
         "op10_toxicity_neighbours": toxicity.query,
     }
 
