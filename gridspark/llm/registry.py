@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import decontaminate, exact_dedup, jaccard_join, packing, toxicity
+from gridspark.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.query,
+        "op3_language_id": language_id.query,
         "op5_benchmark_decontamination": decontaminate.query,
         "op7_best_fit_packing": packing.query,
         "op8_ngram_jaccard_join": jaccard_join.query,
