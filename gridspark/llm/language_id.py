@@ -24,7 +24,7 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Languages:
-    """The dictionaries, by language in alphabetical order."""
+    """The dictionaries, the language with the most rows first: it wins ties."""
 
     names: list[str]
     dictionaries: list[bytes]
@@ -40,6 +40,11 @@ class Languages:
         return made
 
 
+def prepared(text: str) -> bytes:
+    """What is compressed, and what the dictionaries hold: lower case, between two spaces, so that words meet words."""
+    return f" {text.lower()} ".encode("utf-8", "replace")
+
+
 def judge(text: str | None, languages: Languages, compressors: list) -> tuple[str, float, float, bool]:
     """(language, score, margin, accepted).
 
@@ -48,7 +53,7 @@ def judge(text: str | None, languages: Languages, compressors: list) -> tuple[st
     """
     if not compressors or not text or not any(map(str.isalpha, text)):
         return UNDETERMINED, 0.0, 0.0, False
-    data = text.encode("utf-8", "replace")
+    data = prepared(text)
     sizes = np.array([len(c.compress(data)) for c in compressors], float)
     order = np.argsort(sizes, kind="stable")
     least = sizes[order[0]]
@@ -62,7 +67,7 @@ def fit(
     usable: Column | None = None,
     dictionary_bytes: int = 120_000,
     sample_rows: int = 200,
-    level: int = 3,
+    level: int = 7,
     margin: float = 0.02,
 ) -> Languages:
     """Learns from text and lang of the ``usable`` rows; rows without a lang or without letters teach nothing.
@@ -81,9 +86,10 @@ def fit(
     sample = written(known.join(F.broadcast(counts), "lang").where(drawn).select("lang", "text", "_h"), "languages")
     text = F.substring("text", 1, dictionary_bytes)
     parts = sample.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("_h", text.alias("text")))), 1, sample_rows).alias("p"))
-    joined = parts.select("lang", F.substring(F.array_join("p.text", "\n"), 1, dictionary_bytes).alias("text")).orderBy("lang")
+    joined = parts.select("lang", F.substring(F.array_join("p.text", "\n"), 1, dictionary_bytes).alias("text"))
+    joined = joined.join(counts, "lang").orderBy(F.col("_n").desc(), "lang")
     rows = joined.collect()  # one row of bounded size for each language
-    return Languages([r["lang"] for r in rows], [r["text"].encode("utf-8", "replace")[:dictionary_bytes] for r in rows], level, margin)
+    return Languages([r["lang"] for r in rows], [prepared(r["text"])[:dictionary_bytes] for r in rows], level, margin)
 
 
 def identify(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
