@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing, toxicity
+from gridspark.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": exact_dedup.query,
         "op3_language_id": language_id.query,
         "op5_benchmark_decontamination": decontaminate.query,
+        "op6_warc_revisits": warc.query,
         "op7_best_fit_packing": packing.query,
         "op8_ngram_jaccard_join": jaccard_join.query,
         "op10_toxicity_neighbours": toxicity.query,
@@ -23,4 +24,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
+        "op6_warc_revisits": warc.ORACLE,
     }
