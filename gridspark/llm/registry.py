@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing, toxicity, warc
+from gridspark.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, perspectives, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.query,
         "op3_language_id": language_id.query,
+        "op4_line_dedup": line_dedup.query,
         "op5_benchmark_decontamination": decontaminate.query,
         "op6_warc_revisits": warc.query,
         "op7_best_fit_packing": packing.query,
         "op8_ngram_jaccard_join": jaccard_join.query,
+        "op9_perspective_rotation": perspectives.query,
         "op10_toxicity_neighbours": toxicity.query,
     }
 
@@ -24,5 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
+        "op4_line_dedup": line_dedup.ORACLE,
         "op6_warc_revisits": warc.ORACLE,
+        "op9_perspective_rotation": perspectives.ORACLE,
     }
