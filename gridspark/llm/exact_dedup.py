@@ -79,6 +79,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of equal texts the row with the smallest doc_id stays; a row repeated whole stays once."""
+    found = written(exact_dedup(docs).where(~F.col("kept")), "repeats")
+    again = F.col("doc_id").eqNullSafe(F.col("keep_id"))  # repeats the very row that stays
+    pair = [F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")]
+    lost, twice = found.where(~again).select(pair), found.where(again).select(pair).distinct()
+    hashed = docs.withColumn("_text_sha256", F.lower(F.hex(text_digest(F.col("text")))))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_sha256") == F.col("_sha"))
+    kept = hashed.join(lost, same, "left_anti")
+    if not twice.isEmpty():
+        once = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_text_sha256"])
+        kept = kept.join(twice, same, "left_anti").unionByName(once)
+    return kept.select(docs.columns)
+
+
 ORACLE = r"""
 WITH hashed AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256

@@ -303,6 +303,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class of near copies, the document with the smallest doc_id stays."""
-    dropped = written(jaccard_join(docs).where(~F.col("kept")).select("doc_id"), "dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: of each class of near copies, the document with the smallest doc_id stays.
+
+    Rows that share a doc_id are one document here; it goes only if none of its rows stays.
+    """
+    found = jaccard_join(docs)
+    ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept"))
+    dropped = written(ids.select(F.col("doc_id").alias("_id")), "dropped")
+    return docs.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")

@@ -176,3 +176,8 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, vocabulary: str | None
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage, the last: the placed pieces of all documents."""
+    return pack_documents(docs)

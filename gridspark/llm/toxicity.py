@@ -181,7 +181,7 @@ def fit(
     sample = written(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "part"]), "sample")
 
     # terms that tell the classes apart, in the index part of the sample
-    @F.udf(T.ArrayType(T.StringType()))
+    @F.udf(returnType=T.ArrayType(T.StringType()), useArrow=True)
     def terms_of(text):
         return sorted(set(features(text)))
 
@@ -221,7 +221,7 @@ def fit(
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
     def vectors(rows: DataFrame) -> list:
-        @F.udf("terms array<int>, counts array<double>")
+        @F.udf(returnType="terms array<int>, counts array<double>", useArrow=True)
         def vector(text):
             t, c = counted(text, number)
             return t.tolist(), c.tolist()
@@ -236,7 +236,7 @@ def fit(
     )
     shared = spark.sparkContext.broadcast(model)
 
-    @F.udf("double")
+    @F.udf(returnType="double", useArrow=True)
     def vote(text):
         return shared.value.vote(text)[0]
 
@@ -255,7 +255,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", thresho
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = "score double, predicted int, evidence array<struct<doc_id: bigint, cosine: double>>"
 
-    @F.udf(kind)
+    @F.udf(returnType=kind, useArrow=True)
     def judged(text):
         vote, near, cosine = shared.value.vote(text)
         p = shared.value.probability(vote)
