@@ -1 +1 @@
-
+"""Operators on tensors, by family."""
