@@ -31,8 +31,10 @@ COORDINATES = 32
 #: Mean similarity of a bucket, as a share of the threshold, from which it is compared instead of split.
 DENSE = 0.85
 PROBES = 8
+#: Tokens that a block of a bucket holds on average at most.
+BLOCK_TOKENS = 2_000_000
 #: Documents up to which the list of those to be read again is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def runs_needed(threshold: float, branches: int, target: float) -> int:
@@ -52,19 +54,23 @@ def set_key(shingles: np.ndarray) -> bytes | None:
 
 
 def sketches(docs: DataFrame, width: int, count: int) -> DataFrame:
-    """doc_id, c (128-bit hash of the shingle set; null if it is empty), sig (MinHash coordinates): one map, no shuffle."""
+    """doc_id, c (128-bit hash of the shingle set; null if it is empty), tokens (its size), sig (MinHash coordinates).
+
+    One map, no shuffle.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sigs = [], []
+            keys, sizes, sigs = [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), width)
                 keys.append(set_key(s))
+                sizes.append(len(s))
                 sigs.append(coordinates(s, count).view(np.int64) if len(s) else None)
-            columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "c", "sig"])
+            columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "c", "tokens", "sig"])
 
-    return docs.mapInArrow(sketch, "doc_id long, c binary, sig array<long>")
+    return docs.mapInArrow(sketch, "doc_id long, c binary, tokens long, sig array<long>")
 
 
 def _peopled(rows: DataFrame, level: int) -> DataFrame:
@@ -227,7 +233,7 @@ def jaccard_join(
     target: float = 0.9999,
     branches: int = 2,
     leaf_rows: int = 128,
-    block_rows: int = 128,
+    block_rows: int = 768,
     levels: int = 6,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -245,11 +251,11 @@ def jaccard_join(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = written(sketches(docs, width, COORDINATES), "sketches")
     classes = written(
-        found.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("set_id"), F.first("sig").alias("sig")), "classes"
+        found.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("set_id"), F.first("tokens").alias("tokens"), F.first("sig").alias("sig")), "classes"
     )
     leaves = buckets(classes, threshold, branches, runs, leaf_rows, levels)
     paths = written(
-        leaves.groupBy("c").agg(F.collect_list("node").alias("path")).join(classes.select("c", "set_id"), "c"), "paths"
+        leaves.groupBy("c").agg(F.collect_list("node").alias("path")).join(classes.select("c", "set_id", "tokens"), "c"), "paths"
     )
 
     # the exact sets of those that share a bucket, read from one document of each class
@@ -265,8 +271,13 @@ def jaccard_join(
     texts = docs.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
     tokens = texts.mapInArrow(sets, "c binary, tokens binary").join(paths.select("c", "path"), "c")
 
-    parts = F.ceil(F.col("size") / block_rows).cast("int")
-    blocks = leaves.select("node", "c", parts.alias("parts"), F.pmod(F.xxhash64("c", F.lit(3)), parts).cast("int").alias("block"))
+    # small buckets are one block; of the others, as many as their members and tokens call for
+    small = leaves.where(F.col("size") <= leaf_rows).select("node", "c", F.lit(1).alias("parts"))
+    large = leaves.where(F.col("size") > leaf_rows).join(paths.select("c", F.col("tokens").alias("weight")), "c")
+    parts = F.ceil(F.greatest(F.first("size") / block_rows, F.sum("weight") / BLOCK_TOKENS)).cast("int")
+    counted = large.groupBy("node").agg(parts.alias("parts"))
+    blocks = small.unionByName(large.select("node", "c").join(counted, "node"))
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("c", F.lit(3)), F.col("parts")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     blocks = blocks.select(
         "node", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "c"
