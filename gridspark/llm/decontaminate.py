@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from gridspark.llm.common import table
 
-BAND = 32
+#: Diagonals by which bands follow each other; any number gives the same result.
+BAND = 16
 #: Characters of a document that are looked at together; slices overlap by more than any occurrence takes.
 SLICE = 1 << 20
 #: Characters of benchmark items in one block.
@@ -82,7 +83,12 @@ class Items:
         grams, first = np.unique(gram[order], return_index=True)
         there = np.zeros(1 << 22, bool)
         there[self._slot(grams)] = True
-        found = dict(grams=grams, first=np.append(first, len(gram)), item=item[order], place=place[order], there=there)
+        lengths = np.array([len(t) for t in self.texts], np.int64)
+        windows = np.minimum(lengths, self.window)
+        edits = np.array([edits_allowed(w, self.error_rate, self.q) for w in windows.tolist()], np.int64)
+        need = np.maximum(1, windows + 1 - self.q * (edits + 1))
+        found = dict(lengths=lengths, windows=windows, edits=edits, need=need, codes=codes("".join(self.texts)), offset=np.cumsum(lengths) - lengths)
+        found |= dict(grams=grams, first=np.append(first, len(gram)), item=item[order], place=place[order], there=there)
         for name, value in found.items():
             object.__setattr__(self, "_" + name, value)
         return self
@@ -102,85 +108,97 @@ class Items:
         rows = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self._first[k], n)
         return self._item[rows], self._place[rows], np.repeat(at, n)
 
-    def regions(self, c: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, band, window start) of every window that reaches the lemma's bound in a band."""
+    def regions(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, window start, first diagonal of the band) of every window that reaches the lemma's bound in a band."""
+        none = (np.empty(0, np.int64),) * 3
         item, place, at = self.shared(c)
         if not len(item):
-            return
-        lengths = np.array([len(t) for t in self.texts])
-        w = np.minimum(lengths, self.window)
-        e = np.array([edits_allowed(int(x), self.error_rate, self.q) for x in w])
-        need = np.maximum(1, w + 1 - self.q * (e + 1))
-        diagonal = at - place + int(lengths.max())
-        again = diagonal % BAND < e[item]  # also in the band before
+            return none
+        longest = int(self._lengths.max())
+        diagonal = at - place + longest
+        again = diagonal % BAND < self._edits[item]  # also in the band before
         key = (item << 40) | diagonal // BAND
         key = np.concatenate([key, key[again] - 1])
-        place = np.concatenate([place, place[again]])
-        order = np.argsort(key, kind="stable")
-        key, place = key[order], place[order]
-        keys, first, count = np.unique(key, return_index=True, return_counts=True)
-        kept = count >= need[keys >> 40]
-        for k, low, n in zip(keys[kept].tolist(), first[kept].tolist(), count[kept].tolist()):
-            number, band = k >> 40, k & ((1 << 40) - 1)
-            places = np.sort(place[low : low + n])
-            starts = np.array(window_starts(int(lengths[number]), self.window, self.step))
-            inside = np.searchsorted(places, starts + int(w[number]) - self.q, "right") - np.searchsorted(places, starts)
-            for s in starts[inside >= need[number]].tolist():
-                yield number, band, s
+        keys, number, count = np.unique(key, return_inverse=True, return_counts=True)
+        enough = count >= self._need[keys >> 40]
+        if not enough.any():
+            return none
+        rank = np.cumsum(enough) - 1
+        used = enough[number]
+        number, place = rank[number[used]], np.concatenate([place, place[again]])[used]
+        keys = keys[enough]
+        item = keys >> 40
+        # hits of each window: a hit at p is in the windows that start from p + q - w to p
+        w, last = self._windows[item], self._lengths[item] - self._windows[item]
+        regular = -(-last // self.step)  # windows every step characters, before the one at the end
+        size = int(regular.max()) + 1
+        low = np.maximum(0, -((w[number] - self.q - place) // self.step))
+        high = np.minimum(place // self.step, regular[number] - 1)
+        inside = low <= high
+        steps = np.zeros((len(keys), size + 1), np.int64)
+        np.add.at(steps, (number[inside], low[inside]), 1)
+        np.add.at(steps, (number[inside], high[inside] + 1), -1)
+        hits = np.cumsum(steps, 1)[:, :size]
+        at_end = place >= last[number]
+        k, n = np.nonzero(hits >= self._need[item][:, None])
+        end = np.flatnonzero(np.bincount(number[at_end], minlength=len(keys)) >= self._need[item])
+        real = n < regular[k]
+        k, start = np.append(k[real], end), np.append(n[real] * self.step, last[end])
+        return item[k], start, (keys[k] & ((1 << 40) - 1)) * BAND - longest
 
     def found(self, text: str | None) -> list[tuple]:
         """(item_id, edits, item_start, item_end, doc_end) of the best window of every item in the text."""
         text = folded(text)
-        longest = max((len(t) for t in self.texts), default=0)
         overlap = 2 * self.window + 2 * BAND
         best: dict[int, tuple] = {}
         for low in range(0, max(1, len(text)), SLICE):
-            part = text[low : low + SLICE + overlap]
-            c = codes(part)
-            by_item: dict[tuple[int, int], list[int]] = {}
-            for number, band, s in self.regions(c):
-                by_item.setdefault((number, band), []).append(s)
-            for (number, band), starts in by_item.items():
-                w = min(self.window, len(self.texts[number]))
+            c = codes(text[low : low + SLICE + overlap])
+            item, start, diagonal = self.regions(c)
+            for w in np.unique(self._windows[item]).tolist():
+                mine = np.flatnonzero(self._windows[item] == w)
                 e = edits_allowed(w, self.error_rate, self.q)
-                pattern = np.stack([codes(self.texts[number][s : s + w]) for s in starts])
-                first = np.array(starts) + band * BAND - longest - e
-                edits, end = banded(pattern, c, first, BAND + 3 * e)
-                for k in np.flatnonzero(edits <= e):
-                    row = (int(edits[k]), starts[k], low + int(end[k]))
-                    best[number] = min(best.get(number, row), row)
+                for part in range(0, len(mine), 512):
+                    k = mine[part : part + 512]
+                    pattern = self._codes[(self._offset[item[k]] + start[k])[:, None] + np.arange(w)]
+                    edits, end = banded(pattern, c, start[k] + diagonal[k] - e, BAND + 3 * e, e)
+                    for j in np.flatnonzero(edits <= e).tolist():
+                        number = int(item[k[j]])
+                        row = (int(edits[j]), int(start[k[j]]), low + int(end[j]))
+                        best[number] = min(best.get(number, row), row)
         return [
             (self.ids[n], edits, s, s + min(self.window, len(self.texts[n])), end) for n, (edits, s, end) in sorted(best.items())
         ]
 
 
-def banded(pattern: np.ndarray, text: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def banded(pattern: np.ndarray, text: np.ndarray, first: np.ndarray, width: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Smallest edits of each pattern row against any stretch of the text, and where that stretch ends.
 
     Row k may use the cells whose text position minus pattern position is first[k] to first[k] + width; all
-    rows go through the dynamic programme together.
+    rows go through the dynamic programme together, and those above ``most`` edits leave it early (their result
+    is then ``most`` + 1). Outside the text stands a character equal to none, which never makes a row cheaper.
     """
     rows, m = pattern.shape
-    offsets = np.arange(width + 1)
-    big = np.int32(1 << 20)
-    blank = np.uint64(1 << 40)  # outside the text; equal to no character
-
-    def reachable(i: int) -> np.ndarray:
-        at = first[:, None] + offsets[None, :] + i
-        return (at >= 0) & (at <= len(text))
-
-    cost = np.where(reachable(0), 0, big).astype(np.int32)
+    offsets = np.arange(width + 1, dtype=np.int32)
+    blank = np.uint64(1 << 40)
+    at = first[:, None] + np.arange(m + width)
+    there = (at >= 0) & (at < len(text))
+    near = np.where(there, text[np.clip(at, 0, len(text) - 1)], blank) if len(text) else np.full(at.shape, blank)
+    edits, end = np.full(rows, (m if most is None else most) + 1, np.int64), first + m
+    live = np.arange(rows)
+    cost = np.zeros((rows, width + 1), np.int32)
     for i in range(m):
-        at = first[:, None] + offsets[None, :] + i  # the text character that a diagonal step takes
-        ok = (at >= 0) & (at < len(text))
-        char = np.where(ok, text[np.clip(at, 0, max(0, len(text) - 1))] if len(text) else blank, blank)
-        step = cost + (char != pattern[:, i : i + 1])
-        skip = np.concatenate([cost[:, 1:] + 1, np.full((rows, 1), big, np.int32)], 1)
-        now = np.where(reachable(i + 1), np.minimum(np.where(ok, step, big), skip), big)
+        now = cost + (near[:, i : i + width + 1] != pattern[:, i : i + 1])
+        np.minimum(now[:, :-1], cost[:, 1:] + 1, out=now[:, :-1])
         cost = np.minimum.accumulate(now - offsets, axis=1) + offsets  # further text characters, one edit each
-        cost = np.where(reachable(i + 1), cost, big).astype(np.int32)
+        if most is not None and i % 8 == 7:
+            good = cost.min(1) <= most
+            if not good.all():
+                live, cost, near, pattern = live[good], cost[good], near[good], pattern[good]
+                if not len(live):
+                    return edits, end
     k = cost.argmin(1)
-    return cost[np.arange(rows), k], first + k + m
+    edits[live], end[live] = cost[np.arange(len(live)), k], first[live] + k + m
+    return edits, end
 
 
 def item_blocks(benchmark: DataFrame, q: int, window: int, step: int, error_rate: float, block_chars: int) -> list[Items]:
