@@ -61,7 +61,8 @@ def log_gamma(x: Column) -> Column:
 
 
 def _log_gamma(s: np.ndarray) -> np.ndarray:
-    return np.array([math.lgamma(k) for k in s.ravel()]).reshape(s.shape)
+    few, place = np.unique(s, return_inverse=True)
+    return np.array([math.lgamma(k) for k in few])[place].reshape(s.shape)
 
 
 def gamma_p(s: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -117,16 +118,19 @@ def gamma_p_inverse(s: np.ndarray, p: np.ndarray) -> np.ndarray:
         high = np.where(short, 2 * high, high)
     x = (low + high) / 2
     log_norm = _log_gamma(a)
-    with np.errstate(all="ignore"):
-        for _ in range(200):
-            gap = gamma_p(a, x) - q
-            low, high = np.where(gap < 0, x, low), np.where(gap < 0, high, x)
-            new = x - gap / np.exp((a - 1) * np.log(x) - x - log_norm)
-            new = np.where((new > low) & (new < high), new, (low + high) / 2)
-            if (np.abs(new - x) <= 1e-15 * np.abs(new)).all():
-                x = new
-                break
-            x = new
+    live = np.arange(len(a))
+    for _ in range(200):
+        b, y = a[live], x[live]
+        with np.errstate(all="ignore"):
+            gap = gamma_p(b, y) - q[live]
+            low[live], high[live] = np.where(gap < 0, y, low[live]), np.where(gap < 0, high[live], y)
+            new = y - gap / np.exp((b - 1) * np.log(y) - y - log_norm[live])
+        inside = (new > low[live]) & (new < high[live])
+        new = np.where(inside, new, (low[live] + high[live]) / 2)
+        x[live] = new
+        live = live[np.abs(new - y) > 4e-15 * np.abs(new)]
+        if not len(live):
+            break
     out[todo] = x
     return out
 
