@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, perspectives, toxicity, warc
+from gridspark.llm import decontaminate, exact_dedup, jaccard_join, language_id, licenses, line_dedup, packing, perspectives, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.query,
+        "op2_license_scan": licenses.query,
         "op3_language_id": language_id.query,
         "op4_line_dedup": line_dedup.query,
         "op5_benchmark_decontamination": decontaminate.query,
