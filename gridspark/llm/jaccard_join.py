@@ -3,8 +3,8 @@
 Documents with equal shingle sets form one class, so copies are never expanded. A MinHash coordinate picks one
 token of a set at random; two sets of Jaccard similarity s pick the same with probability s. Every run splits all
 classes by ``branches`` coordinates; buckets above ``leaf_rows`` are split again by further coordinates drawn for
-the bucket, level by level. Buckets of one member vanish. A bucket whose mean similarity is already near the
-threshold would only be copied by more splitting, so it is compared as it is. Runs repeat until the target recall.
+the bucket, level by level. Buckets of one member vanish. Splitting multiplies a bucket's pairs by ``branches`` times
+their mean similarity; where that is 1 or more it would only copy the bucket, which is therefore compared as it is. Runs repeat until the target recall.
 
 Small buckets are compared whole; larger ones (dense, or left at ``levels``) by pairs of blocks, so no task holds
 more than two blocks and nothing is capped. Both members' exact sets decide; a pair counts only in the first of
@@ -28,8 +28,6 @@ from gridspark.llm.common import table, written
 from gridspark.llm.shingles import coordinates, shingle_set
 
 COORDINATES = 32
-#: Mean similarity of a bucket, as a share of the threshold, from which it is compared instead of split.
-DENSE = 0.85
 PROBES = 8
 #: Tokens that a block of a bucket holds on average at most.
 BLOCK_TOKENS = 2_000_000
@@ -97,7 +95,7 @@ def buckets(classes: DataFrame, threshold: float, branches: int, runs: int, leaf
         probes = F.explode(F.array(*[F.xxhash64(F.lit(k), F.element_at("sig", drawn(k, 1000))) for k in range(PROBES)]))
         alike = large.select("node", "size", probes.alias("token")).groupBy("node", "size", "token").agg(F.count(F.lit(1)).alias("n"))
         share = F.sum(F.col("n").cast("double") * F.col("n")) / (PROBES * F.pow(F.col("size").cast("double"), 2))
-        dense = alike.groupBy("node", "size").agg(share.alias("share")).where(F.col("share") >= DENSE * threshold)
+        dense = alike.groupBy("node", "size").agg(share.alias("share")).where(F.col("share") >= 1 / branches)
         dense = written(dense.select("node"), f"dense{level}")
         leaves.append(large.join(dense, "node", "left_semi").select("node", "c", "size"))
         child = [F.xxhash64("node", F.lit(k), F.element_at("sig", drawn(k, 0))) for k in range(branches)]
