@@ -201,18 +201,16 @@ def banded(pattern: np.ndarray, text: np.ndarray, first: np.ndarray, width: int,
     return edits, end
 
 
-def item_blocks(benchmark: DataFrame, q: int, window: int, step: int, error_rate: float, block_chars: int) -> list[Items]:
+def item_blocks(benchmark: DataFrame, q: int, window: int, step: int, error_rate: float, block_chars: int) -> Iterator[Items]:
     """The benchmark in blocks of about ``block_chars``; items without q characters are no evidence of anything."""
     items = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    made = []
     for k in range(blocks):
         rows = sorted((folded(r["text"]), r["item_id"]) for r in items.where(block == k).collect() if r["item_id"] is not None)
         rows = [r for r in rows if len(r[0]) >= q]
-        made.append(Items([i for _, i in rows], [t for t, _ in rows], q, window, step, error_rate))
-    return made
+        yield Items([i for _, i in rows], [t for t, _ in rows], q, window, step, error_rate)
 
 
 def _shared(docs: DataFrame, items: Items):

@@ -69,9 +69,12 @@ def fit(
     sample_rows: int = 200,
     level: int = 7,
     margin: float = 0.02,
+    languages: int = 256,
 ) -> Languages:
     """Learns from text and lang of the ``usable`` rows; rows without a lang or without letters teach nothing.
 
+    At most the ``languages`` most frequent languages are learnt, which bounds the model and the sample.
+
     The sample takes about ``sample_rows`` documents of a language, or all if it has fewer, by the hash of
     doc_id; their texts, in the order of that hash, are cut to ``dictionary_bytes``.
     """
@@ -79,7 +82,7 @@ def fit(
     known = docs.where(F.col("lang").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
     known = known.where(usable) if usable is not None else known
     known = known.select("lang", "text", order.alias("_h"))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(languages)
     share = F.lit(2.0 * sample_rows) / F.col("_n")
     drawn = F.shiftrightunsigned("_h", 1).cast("double") / float(1 << 63) < share
     # about 2 * sample_rows rows a language at most remain before rows of one language meet
