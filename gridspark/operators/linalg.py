@@ -167,10 +167,11 @@ def jacobi(a: np.ndarray, max_iters: int = 100, tol: float = 1e-4) -> tuple[np.n
     return np.diag(a).copy(), q
 
 
-def eig(t: TensorFrame, max_iters: int = 100, tol: float = 1e-4) -> tuple[TensorFrame, TensorFrame]:
-    """(values {batch..., 1, N}, vectors {batch..., N, N} by columns) of symmetric matrices on the last two axes.
+def _spectra(t: TensorFrame, max_iters: int, tol: float, largest: int | None) -> DataFrame:
+    """Of every matrix on the last two axes: the eigenvalues in row -1, and the eigenvectors by columns.
 
-    A group is one matrix, so its size is the tensor's last two dimensions.
+    With ``largest``, only so many, by falling eigenvalue (ties in the order of the rotations). A group is one
+    matrix, so its size is the tensor's last two dimensions.
     """
     require(t.rank >= 2 and t.is_float, ValidationError, "eig", "a float tensor of two axes or more is needed")
     require(t.shape[-1] == t.shape[-2], ValidationError, "eig", "the matrices are not square")
@@ -187,15 +188,29 @@ def eig(t: TensorFrame, max_iters: int = 100, tol: float = 1e-4) -> tuple[Tensor
         if np.isinf(a).any():
             raise ValueError(bad[1])
         values, vectors = jacobi(a, max_iters, tol)
-        rows, cols = np.divmod(np.arange(n * n), n)
-        out = pd.DataFrame({r: np.append(np.full(n, -1), rows), c: np.append(np.arange(n), cols), "v": np.append(values, vectors.ravel())})
-        for k in keys:
-            out[k] = int(part[k].iloc[0])
+        if largest is not None:
+            best = np.argsort(-values, kind="stable")[:largest]
+            values, vectors = values[best], vectors[:, best]
+        k = len(values)
+        rows, cols = np.divmod(np.arange(n * k), k)
+        out = pd.DataFrame({r: np.append(np.full(k, -1), rows), c: np.append(np.arange(k), cols), "v": np.append(values, vectors.ravel())})
+        for name in keys:
+            out[name] = int(part[name].iloc[0])
         return out[[*keys, r, c, "v"]]
 
     schema = ", ".join([*[f"{k} long" for k in (*keys, r, c)], "v double"])
-    both = (t.df.groupBy(*keys) if keys else t.df.withColumn("_one", F.lit(0)).groupBy("_one")).applyInPandas(solve, schema)
+    return (t.df.groupBy(*keys) if keys else t.df.withColumn("_one", F.lit(0)).groupBy("_one")).applyInPandas(solve, schema)
+
+
+def eig(t: TensorFrame, max_iters: int = 100, tol: float = 1e-4, largest: int | None = None) -> tuple[TensorFrame, TensorFrame]:
+    """(values {batch..., 1, N}, vectors {batch..., N, N} by columns) of symmetric matrices on the last two axes.
+
+    ``largest``: only so many, by falling value; otherwise all, in the order that the rotations leave.
+    """
+    both = _spectra(t, max_iters, tol, largest)
+    r, k = t.coords[-2], largest or t.shape[-1]
     values = both.where(F.col(r) == -1).withColumn(r, F.lit(0).cast("long"))
-    return t.with_df(values.select(*t.coords, "v"), (*t.shape[:-2], 1, n)), t.with_df(both.where(F.col(r) >= 0).select(*t.coords, "v"))
+    vectors = both.where(F.col(r) >= 0).select(*t.coords, "v")
+    return t.with_df(values.select(*t.coords, "v"), (*t.shape[:-2], 1, k)), t.with_df(vectors, (*t.shape[:-1], k))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridspark.errors import BoundsError, ValidationError, require
 from gridspark.frame import TensorFrame, joined
 from gridspark.functions.guards import ensure, finite, no_nan
-from gridspark.operators import elementwise, linalg, order, reduce, structure
+from gridspark.operators import elementwise, linalg, reduce
 from gridspark.plans import shapes
 from gridspark.plans.scan import BLOCK
 
@@ -105,11 +105,5 @@ def pca(data: TensorFrame, n_components: int | None = None, standardize: bool =
     x = reduce.center(data, -2)
     if standardize:
         x = elementwise.div(x, reduce.stddev(data, -2, 1))
-    values, vectors = linalg.eig(linalg.cov(x, ddof=1), 100)
-    best = order.argsort(values, -1, descending=True)
-    spectrum = structure.gather(values, best, -1)
-    loadings = structure.gather(vectors, structure.copy_from(vectors, best), -1)
-    lead = (0,) * (data.rank - 2)
-    spectrum = spectrum.view((*lead, 0, 0), (*spectrum.shape[:-1], k))
-    loadings = loadings.view((*lead, 0, 0), (*loadings.shape[:-1], k))
+    spectrum, loadings = linalg.eig(linalg.cov(x, ddof=1), 100, largest=k)
     return PCAResult(linalg.matmul(x, loadings), spectrum, loadings)

@@ -41,16 +41,12 @@ def ranked(df: DataFrame, lead: Column, order: list[Column], rows: int, name: st
     where = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
     number = F.when(F.isnan(lead), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(where, lambda b: b < lead)))
     dealt = df.withColumn("_block", number)
-    counts = dealt.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counts = {r["_block"]: r["n"] for r in dealt.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()}  # MAX_BOUNDS rows
+    starts = [sum(n for b, n in counts.items() if b < k) for k in range(len(bounds) + 2)]
     inside = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
-    return (
-        dealt.withColumn("_own", inside)
-        .join(F.broadcast(offsets), "_block")
-        .withColumn(name, (F.col("_own") + F.col("_before") - 1).cast("long"))
-        .drop("_block", "_own", "_before")
-    )
+    # a projection, so that what does not use the position does not pay for it
+    before = F.element_at(F.array(*[F.lit(n).cast("long") for n in starts]), F.col("_block") + 1)
+    return dealt.withColumn(name, (inside + before - 1).cast("long")).drop("_block")
 
 
 def numbered(df: DataFrame, order: list[str], name: str, block: int = BLOCK) -> DataFrame:
