@@ -35,6 +35,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``rows`` (a few numbers each), to be broadcast if a count finds at most ``most``; else the join may shuffle."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Whether crc32 of doc_id's decimal text leaves the remainder part; null ids count as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(parts) == F.lit(part)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import table, written
+from gridspark.llm.common import broadcast_if_small, table, written
 
 #: Bytes of whitespace that are folded into one space.
 WHITESPACE = r"[\x20\x09-\x0D]+"
@@ -83,13 +83,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of equal texts the row with the smallest doc_id stays; a row repeated whole stays once."""
     found = written(exact_dedup(docs).where(~F.col("kept")), "repeats")
     again = F.col("doc_id").eqNullSafe(F.col("keep_id"))  # repeats the very row that stays
-    pair = [F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")]
+    # the id finds the row; the hash of the digest tells rows apart that share an id
+    pair = [F.col("doc_id").alias("_id"), F.xxhash64("text_sha256").alias("_told")]
     lost, twice = found.where(~again).select(pair), found.where(again).select(pair).distinct()
-    hashed = docs.withColumn("_text_sha256", F.lower(F.hex(text_digest(F.col("text")))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_sha256") == F.col("_sha"))
-    kept = hashed.join(lost, same, "left_anti")
+    hashed = docs.withColumn("_digest_hash", F.xxhash64(F.lower(F.hex(text_digest(F.col("text"))))))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest_hash") == F.col("_told"))
+    kept = hashed.join(broadcast_if_small(lost), same, "left_anti")
     if not twice.isEmpty():
-        once = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_text_sha256"])
+        twice = broadcast_if_small(twice)
+        once = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_digest_hash"])
         kept = kept.join(twice, same, "left_anti").unionByName(once)
     return kept.select(docs.columns)
 

@@ -24,15 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import table, written
+from gridspark.llm.common import broadcast_if_small, table, written
 from gridspark.llm.shingles import coordinates, shingle_set
 
 COORDINATES = 32
-PROBES = 8
+#: Coordinates by which a bucket's mean similarity is estimated; they steer the work, not the result.
+PROBES = 3
 #: Tokens that a block of a bucket holds on average at most.
 BLOCK_TOKENS = 2_000_000
-#: Documents up to which the list of those to be read again is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
 
 
 def runs_needed(threshold: float, branches: int, target: float) -> int:
@@ -230,7 +229,7 @@ def jaccard_join(
     width: int = 5,
     target: float = 0.9999,
     branches: int = 2,
-    leaf_rows: int = 128,
+    leaf_rows: int = 256,
     block_rows: int = 768,
     levels: int = 6,
     id_col: str = "doc_id",
@@ -257,9 +256,8 @@ def jaccard_join(
     )
 
     # the exact sets of those that share a bucket, read from one document of each class
-    again = paths.select(F.col("set_id").alias("_id")).distinct()
-    if again.count() <= BROADCAST_ROWS:
-        again = F.broadcast(again)
+    again = broadcast_if_small(paths.select(F.col("set_id").alias("_id")).distinct())
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t.as_py(), width) for t in batch.column(0)]
@@ -319,4 +317,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard_join(docs)
     ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept"))
     dropped = written(ids.select(F.col("doc_id").alias("_id")), "dropped")
-    return docs.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(broadcast_if_small(dropped), F.col("doc_id") == F.col("_id"), "left_anti")
