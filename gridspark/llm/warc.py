@@ -4,8 +4,9 @@
    grouped by digest to find, for each repeated payload, the capture that stays as the response.
 2. Headers of the other captures join their response on the digest; that join carries no payload, and Spark's
    adaptive skew handling splits a digest that many pages share.
-3. Pages meet their decision on (page_id, digest) and are dealt evenly to archives of about ``archive_bytes``.
-   Each record is built anew: a response with its payload, or a revisit with fresh headers and none.
+3. Pages meet their decision on (page_id, digest); a short list of revisits is broadcast, so that no payload moves.
+   Each record is built anew: a response with its payload, or a revisit with fresh headers and none. An archive
+   takes as many records as make about ``archive_bytes``.
 4. Spark's text sink writes the archives: a record is a row, and the row end it adds, CR LF, is the last line end
    of the record, so the files are plain WARC/1.1. Reading follows Content-Length, whatever payloads contain.
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import shared_folder, table, written
+from gridspark.llm.common import broadcast_if_small, shared_folder, table, written
 
 END = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -100,18 +101,18 @@ def resolve(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = 32 << 20) -> None:
     """Writes page_id, url, html as deduplicated archives below ``path``."""
     revisits = written(resolve(pages, least_bytes), "revisits")
-    total = pages.agg(F.sum(F.octet_length(_payload(F.col("html"))) + 600)).first()[0] or 0
-    archives = max(1, -(-total // archive_bytes))
+    size = pages.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(_payload(F.col("html"))) + 600).alias("bytes")).first()
+    records_each = max(1, archive_bytes * size["n"] // max(1, size["bytes"] or 0))
     rows = pages.select("page_id", "url", "html", F.sha1(_payload(F.col("html"))).alias("digest"))
     told = revisits.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to", F.lit(True).alias("revisit"))
-    joined = rows.join(told, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    joined = rows.join(broadcast_if_small(told), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
     dealt = joined.select(
         "page_id",
         "url",
         F.coalesce(F.col("html"), F.lit("")).alias("html"),
         "refers_to",
         F.coalesce("revisit", F.lit(False)).alias("revisit"),
-    ).repartition(archives, F.xxhash64("page_id", "url"))
+    )
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +124,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_by
             ]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
-    dealt.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").text(path)
+    made = dealt.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
+    made.write.option("lineSep", "\r\n").option("maxRecordsPerFile", records_each).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
