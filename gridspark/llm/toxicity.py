@@ -1,7 +1,8 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
 Fitting uses a bounded sample of the labelled rows: up to ``examples`` rows of each class go into the index
-and up to ``calibration`` more rows, in their natural mix, calibrate the votes. Terms are words and their
+and up to ``calibration`` more rows of each class calibrate the votes, weighing as much as their class has rows
+among all labels that may be learnt from. Terms are words and their
 four-letter beginnings; the index keeps the ``terms`` of them that differ most between the classes
 (chi-squared above ``least_chi2``). Document frequencies are counted over all documents.
 
@@ -16,7 +17,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -132,29 +134,55 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.slope * vote + self.offset, -50, 50))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (not negative) and offset of a lightly regularised logistic fit, by Newton steps."""
+#: Calibration needs so many rows of each class; with fewer, a vote of 0.5 decides.
+LEAST_SIDE = 5
+FALLBACK = (10.0, -5.0)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope (not negative) and offset of a lightly regularised weighted logistic fit, by Newton steps that never lose."""
     a = np.stack([x, np.ones_like(x)], 1)
-    b, ridge = np.zeros(2), np.array([1e-2, 1e-3])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a @ b, -50, 50)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (y - p) - ridge * b)
-        b = b + np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-9:
+    ridge = np.array([1e-2, 1e-3])
+
+    def loss(b: np.ndarray) -> float:
+        z = a @ b
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + (ridge * b * b).sum() / 2)
+
+    share = float(np.clip((weight * y).sum() / weight.sum(), 1e-12, 1 - 1e-12))
+    b = np.array([0.0, np.log(share / (1 - share))])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a @ b, -500, 500)))
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (weight * (y - p)) - ridge * b)
+        step *= min(1.0, 10 / np.abs(step).max()) if step.any() else 1.0
+        now = loss(b)
+        while np.abs(step).max() > 1e-9 and loss(b + step) > now:
+            step = step / 2
+        if np.abs(step).max() <= 1e-9:
             break
+        b = b + step
     return max(0.0, float(b[0])), float(b[1])
 
 
-def _chosen(labels: DataFrame, examples: int, calibration: int) -> DataFrame:
-    """doc_id, label, part of a bounded sample: rows by rising hash of doc_id, so any partitioning gives the same.
+def _chosen(labels: DataFrame, examples: int, calibration: int) -> tuple[DataFrame, list[int]]:
+    """doc_id, label, part of a bounded sample, and the number of all rows of each label.
 
-    A fifth of the rows, told by another hash, can only go into calibration; the index takes from the others.
+    Rows are taken by rising hash of doc_id, so any partitioning gives the same. A fifth of the rows, told by
+    another hash, can only go into calibration; the index takes from the others. A class without others gives
+    its fifth to the index and none to calibration.
     """
     order = [F.xxhash64("doc_id", F.lit(10)), F.col("doc_id")]
-    apart = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)) == 0
-    natural = labels.where(apart).orderBy(*order).limit(calibration).withColumn("part", F.lit("calibration"))
-    sides = [labels.where(~apart & (F.col("label") == y)).orderBy(*order).limit(examples) for y in (0, 1)]
-    return sides[0].unionByName(sides[1]).withColumn("part", F.lit("index")).unionByName(natural)
+    labels = labels.withColumn("apart", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)) == 0)
+    counts = {(r["label"], r["apart"]): r["count"] for r in labels.groupBy("label", "apart").count().collect()}  # at most four rows
+    sides = []
+    for y in (0, 1):
+        side = labels.where(F.col("label") == y)
+        if (y, False) in counts:
+            sides.append(side.where(~F.col("apart")).orderBy(*order).limit(examples).withColumn("part", F.lit("index")))
+            sides.append(side.where("apart").orderBy(*order).limit(calibration).withColumn("part", F.lit("calibration")))
+        else:
+            sides.append(side.orderBy(*order).limit(examples).withColumn("part", F.lit("index")))
+    total = [counts.get((y, False), 0) + counts.get((y, True), 0) for y in (0, 1)]
+    return reduce(DataFrame.unionByName, sides).drop("apart"), total
 
 
 def fit(
@@ -170,14 +198,17 @@ def fit(
     """Fits on labels (doc_id, toxic), of which ``usable`` (a condition on doc_id) says which rows may be learnt from.
 
     Rows whose toxic or doc_id is null teach nothing, as do labels without a document; of repeated labels
-    of a document the largest counts. Without labelled rows every score is 0.
+    of a document the largest counts. Without rows labelled toxic every score is 0. Where a class has fewer than
+    ``LEAST_SIDE`` rows for calibration, the score is a fixed rising function of the vote, 0.5 at a vote of 0.5.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(usable) if usable is not None else known
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = written(_chosen(known, examples, calibration), "chosen")
+    known = written(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "known")
+    drawn, total = _chosen(known, examples, calibration)
+    chosen = written(drawn, "chosen")
     sample = written(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "part"]), "sample")
 
     # terms that tell the classes apart, in the index part of the sample
@@ -241,10 +272,15 @@ def fit(
         return shared.value.vote(text)[0]
 
     votes = sample.where("part = 'calibration'").select(vote("text").alias("v"), "label").collect()
-    if not votes or not any(r["label"] for r in votes):
+    if not total[1]:
         return model
-    slope, offset = logistic(np.array([r["v"] for r in votes]), np.array([r["label"] for r in votes], float))
-    return ToxicityModel(number, idf, index, model.labels, model.ids, neighbours, slope, offset)
+    x, y = np.array([r["v"] for r in votes]), np.array([r["label"] for r in votes], int)
+    side = np.bincount(y, minlength=2)
+    if side.min() < LEAST_SIDE:
+        slope, offset = FALLBACK
+    else:
+        slope, offset = logistic(x, y.astype(float), (np.array(total) / side)[y])
+    return replace(model, slope=slope, offset=offset)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -65,3 +65,37 @@ def test_without_labels_or_documents(spark):
     assert X.toxicity(docs.limit(0), labels).count() == 0
     model = X.fit(docs, labels)
     assert X.score(docs, model).columns == [*docs.columns, "_toxicity"]
+
+
+def test_rare_labels_do_not_switch_the_operator_off(spark):
+    """Toxic rows at 0.4 %, and calibration of 64 rows a class: a draw in the natural mix would hold none or one of them."""
+    rows = [(d, " ".join(f"w{(d * 7 + k * k) % 90}" for k in range(20)) + (" vile rotten foul" if d % 250 == 0 else "")) for d in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    without = [(d, 1, 0) for d in range(50_000, 80_000)]  # labels without a document
+    labels = spark.createDataFrame([(d, 1, int(d % 250 == 0)) for d, _ in rows] + without, "doc_id long, quality int, toxic int")
+    model = X.fit(docs, labels, examples=64, calibration=64)
+    got = {r.doc_id: r._toxicity.predicted for r in X.score(docs, model).collect()}
+    assert {d for d, p in got.items() if p} == {d for d in got if d % 250 == 0}
+
+
+def test_few_labels_fall_back_to_the_vote(spark):
+    docs, _ = corpus(spark)
+    for toxic in (0, 4):
+        labels = spark.createDataFrame([(d, int(d == toxic)) for d in range(40)], "doc_id long, toxic int")
+        model = X.fit(docs, labels)
+        assert (model.slope, model.offset) == X.FALLBACK and (model.labels == 1).sum() == 1
+        assert model.probability(0.5) == 0.5 and model.probability(0.9) > 0.9
+
+
+def test_weighted_logistic_fit():
+    rng = np.random.default_rng(3)
+    for share in (0.3, 1e-2, 1e-5):
+        y = np.repeat([0.0, 1.0], 500)
+        weight = np.where(y == 1, share, 1 - share) * 2000 / share
+        x = np.clip(rng.normal(0.15 + 0.6 * y, 0.05), 0, 1)
+        slope, offset = X.logistic(x, y, weight)
+        assert ((slope * x + offset > 0) == (y == 1)).mean() > 0.97
+        p = 1 / (1 + np.exp(-(slope * x + offset)))
+        assert abs((weight * p).sum() / (weight * y).sum() - 1) < 1e-2
+    slope, offset = X.logistic(rng.uniform(size=1000), y, np.ones(1000))
+    assert np.isfinite(slope) and abs(1 / (1 + np.exp(-(slope * 0.5 + offset))) - 0.5) < 0.1
