@@ -3,13 +3,14 @@
 Fitting uses a bounded sample of the labelled rows: up to ``examples`` rows of each class go into the index
 and up to ``calibration`` more rows of each class calibrate the votes, weighing as much as their class has rows
 among all labels that may be learnt from. Terms are words and their
-four-letter beginnings; the index keeps the ``terms`` of them that differ most between the classes
-(chi-squared above ``least_chi2``). Document frequencies are counted over all documents.
-
-The index is bounded by these parameters alone, so broadcasting it is safe at any corpus size. Scoring is a
-map over the documents: no shuffle and no join. Each term's postings are kept by blocks of examples with the
-largest weight in each block; blocks are visited by falling upper bound until no other block can hold a
-nearer example, so the neighbours are exactly those of full scoring.
+four-letter beginnings, all those of the examples; a term weighs by how well the examples' classes differ in it
+(``evidence``), and one that tells nothing still weighs a little, so a copy of an example has cosine 1 with it.
+Document frequencies are counted over all documents.
+
+The index is bounded by the examples, so broadcasting it is safe at any corpus size. Scoring is a map over the
+documents: no shuffle and no join. The postings of rare terms are added up in full; the weights of common terms
+are kept as rows over all examples, with the largest in each block, and are only read for the blocks which can
+still hold one of the nearest, so the neighbours are exactly those of full scoring.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ from gridspark.llm.common import held_out, table, written
 
 WORD = re.compile(r"\w+")
 BLOCK = 64
+#: Terms in more than this share of the examples are common; a row of them takes 32 bytes a posting at most.
+COMMON = 0.25
+#: Words that a task remembers the numbers of.
+REMEMBERED = 200_000
 
 
 def features(text: str | None) -> list[str]:
@@ -38,17 +43,42 @@ def features(text: str | None) -> list[str]:
     return words + ["^" + w[:4] for w in words if len(w) > 4]
 
 
-def counted(text: str | None, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+class Numbers(dict):
+    """The numbers of a word and of its beginning, plus one each, in one integer; filled as words are met."""
+
+    def __init__(self, number: dict[str, int]):
+        super().__init__()
+        self.number = number
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        start = self.number.get("^" + word[:4], -1) if len(word) > 4 else -1
+        self[word] = both = (self.number.get(word, -1) + 1) << 32 | (start + 1)
+        return both
+
+    def __reduce__(self):
+        return Numbers, (self.number,)
+
+
+def counted(text: str | None, numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the known features in the text, rising, and how often each occurs."""
     words = Counter(WORD.findall((text or "").lower()))
-    found: Counter[int] = Counter()
-    for w, n in words.items():
-        if (k := number.get(w)) is not None:
-            found[k] += n
-        if len(w) > 4 and (k := number.get("^" + w[:4])) is not None:
-            found[k] += n
-    terms = np.array(sorted(found), np.int64)
-    return terms, np.array([found[k] for k in terms.tolist()], np.float64)
+    both = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    often = np.fromiter(words.values(), np.float64, len(words))
+    found, often = np.concatenate([both >> 32, both & 0xFFFFFFFF]), np.concatenate([often, often])
+    terms, where = np.unique(found[found > 0] - 1, return_inverse=True)
+    return terms, np.bincount(where, often[found > 0], len(terms))
+
+
+def evidence(a: np.ndarray, b: np.ndarray, n1: int, n0: int, doubt: float = 4.0, least: float = 0.01) -> np.ndarray:
+    """Weight of terms that a of n1 examples of one class and b of n0 of the other hold, from ``least`` to 1 + ``least``.
+
+    It is the squared difference of the two shares over their sum, less for terms of few examples; no term weighs 0.
+    """
+    r1, r0 = a / max(1, n1), b / max(1, n0)
+    apart = np.abs(r1 - r0) / np.maximum(r1 + r0, 1e-300) if n1 and n0 else np.zeros(len(a))
+    return least + (apart * (a + b) / (a + b + doubt)) ** 2
 
 
 def weighed(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -58,59 +88,60 @@ def weighed(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarra
 
 
 class BlockMaxIndex:
-    """Weights of each term by example, with the largest weight of each term in each block of examples."""
+    """Weights of each term by example: postings of rare terms, rows with the largest of each block for common ones."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         self.size, self.block = len(vectors), block
         self.blocks = -(-self.size // block)
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, np.int64)
-        example = np.repeat(np.arange(self.size), [len(t) for t, _ in vectors])
+        example = np.repeat(np.arange(self.size, dtype=np.int32), [len(t) for t, _ in vectors])
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
+        common = np.flatnonzero(np.bincount(term, minlength=n_terms) > COMMON * self.size)
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        here = self.row[term] >= 0
+        rows = np.zeros((len(common), self.blocks * block))
+        rows[self.row[term[here]], example[here]] = weight[here]
+        self.rows = rows.reshape(len(common), self.blocks, block)
+        self.most = self.rows.max(2)
+        term, example, weight = term[~here], example[~here], weight[~here]
         order = np.lexsort((example, term))
         self.example, self.weight = example[order], weight[order]
-        cell = term[order] * max(1, self.blocks) + self.example // block
-        # the postings of term t in block b are those from start[t, b] to start[t, b + 1]
-        self.start = np.searchsorted(cell, np.arange(n_terms * max(1, self.blocks) + 1))
-        self.most = np.zeros(n_terms * max(1, self.blocks))
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(n_terms, max(1, self.blocks))
+        # the postings of the rare term t are those from start[t] to start[t + 1]
+        self.start = np.searchsorted(term[order], np.arange(n_terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine above 0 (ties: the smaller example number) and their cosines."""
         if not len(terms) or not self.size:
             return np.empty(0, np.int64), np.empty(0)
-        bound = weights @ self.most[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        ids, scores, least, at, step = np.empty(0, np.int64), np.empty(0), -1.0, 0, 4
-        while at < len(order) and bound[order[at]] >= least - 1e-12:
-            chosen = order[at : at + step]
-            cells = (terms[:, None] * self.blocks + chosen[None, :]).ravel()
-            first, last = self.start[cells], self.start[cells + 1]
-            n = last - first
-            total = int(n.sum())
-            place = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-            # the block's own scores, one slot for each example in it
-            slot = np.repeat(np.tile(np.arange(len(chosen)) * self.block, len(terms)), n) + self.example[place] % self.block
-            score = np.bincount(slot, np.repeat(np.repeat(weights, len(chosen)), n) * self.weight[place], len(chosen) * self.block)
-            found = np.flatnonzero(score > 0)
-            ids = np.concatenate([ids, chosen[found // self.block] * self.block + found % self.block])
-            scores = np.concatenate([scores, score[found]])
-            if len(ids) > k:
-                keep = np.lexsort((ids, -np.round(scores, 12)))[:k]
-                ids, scores = ids[keep], scores[keep]
-                least = float(scores.min())
-            at += step
-            step *= 2
-        keep = np.lexsort((ids, -np.round(scores, 12)))[:k]
-        return ids[keep], scores[keep]
+        row = self.row[terms]
+        common, rare = row >= 0, terms[row < 0]
+        first = self.start[rare]
+        n = self.start[rare + 1] - first
+        place = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+        score = np.bincount(self.example[place], np.repeat(weights[~common], n) * self.weight[place], self.blocks * self.block)
+        score = score.astype(np.float64).reshape(self.blocks, self.block)
+        if common.any():
+            row, weight = row[common], weights[common]
+            bound = score.max(1) + weight @ self.most[row]
+            least = np.partition(score.ravel(), -k)[-k] if score.size > k else 0.0
+            open_ = np.flatnonzero(bound >= least - 1e-9)
+            if 2 * len(open_) > self.blocks:
+                score += np.tensordot(weight, self.rows[row], 1)
+            else:
+                score[open_] += np.tensordot(weight, self.rows[row[:, None], open_[None, :]], 1)
+        score = score.ravel()
+        least = np.partition(score, -k)[-k] if len(score) > k else 0.0
+        found = np.flatnonzero((score > 0) & (score >= least - 1e-9))
+        keep = found[np.lexsort((found, -np.round(score[found], 12)))[:k]]
+        return keep, score[keep]
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """A fitted model; its size depends on the parameters, not on the corpus."""
+    """A fitted model; its size is that of the examples, whatever the corpus."""
 
-    number: dict[str, int]
+    numbers: Numbers
     idf: np.ndarray
     index: BlockMaxIndex
     labels: np.ndarray
@@ -125,7 +156,7 @@ class ToxicityModel:
         One unit of weight for label 0 stands for what is unlike every example; so the vote of a text
         without any known term is 0.
         """
-        terms, counts = counted(text, self.number)
+        terms, counts = counted(text, self.numbers)
         near, cosine = self.index.nearest(terms, weighed(terms, counts, self.idf), self.neighbours)
         w = cosine**2 / (0.05 + np.maximum(0.0, 1 - cosine))
         return float((w * self.labels[near]).sum() / (1 + w.sum())), self.ids[near], cosine
@@ -191,8 +222,6 @@ def fit(
     usable: Column | None = None,
     examples: int = 2048,
     calibration: int = 2048,
-    terms: int = 4096,
-    least_chi2: float = 24.0,
     neighbours: int = 15,
 ) -> ToxicityModel:
     """Fits on labels (doc_id, toxic), of which ``usable`` (a condition on doc_id) says which rows may be learnt from.
@@ -211,7 +240,7 @@ def fit(
     chosen = written(drawn, "chosen")
     sample = written(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "part"]), "sample")
 
-    # terms that tell the classes apart, in the index part of the sample
+    # the terms of the index part of the sample, and how often each class has them
     @F.udf(returnType=T.ArrayType(T.StringType()), useArrow=True)
     def terms_of(text):
         return sorted(set(features(text)))
@@ -219,27 +248,18 @@ def fit(
     part = sample.where("part = 'index'")
     n0, n1 = (part.where(F.col("label") == y).count() for y in (0, 1))
     seen = part.select("label", F.explode(terms_of("text")).alias("term")).groupBy("term")
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    apart = F.try_divide(
-        (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), 2), (a + b) * (n0 + n1 - a - b) * float(n0) * float(n1)
-    )
-    told = (
-        seen.agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-        .withColumn("chi2", apart)
-        .where((F.col("chi2") >= least_chi2) & (F.col("a") + F.col("b") >= 3))
-        .orderBy(F.col("chi2").desc(), "term")
-        .limit(terms)
-        .select("term")
-    )
-    number = {r["term"]: k for k, r in enumerate(told.collect())}  # at most ``terms``
+    told = seen.agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).orderBy("term").toArrow()  # the examples' terms
+    number = {t: k for k, t in enumerate(told["term"].to_pylist())}
+    telling = evidence(*(told[c].to_numpy().astype(float) for c in ("a", "b")), n1, n0)
+    numbers = spark.sparkContext.broadcast(Numbers(number))
 
-    # document frequencies of these terms over all documents: a few thousand sums from each task
+    # document frequencies of these terms over all documents: at most one sum of each from a task
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, df = 0, np.zeros(len(number), np.int64)
         for batch in batches:
             total += batch.num_rows
             for text in batch.column(0):
-                df[counted(text.as_py(), number)[0]] += 1
+                df[counted(text.as_py(), numbers.value)[0]] += 1
         rows = np.append(np.flatnonzero(df), len(number))
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows.astype(np.int32)), pa.array(np.append(df, total)[rows])], names=["term", "n"]
@@ -247,23 +267,24 @@ def fit(
 
     sums = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
     df = np.zeros(len(number) + 1)
-    for r in sums.collect():  # one row for each term
-        df[r["term"]] = r["n"]
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    got = sums.toArrow()  # one row for each term
+    df[got["term"].to_numpy()] = got["n"].to_numpy()
+    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * telling
 
     def vectors(rows: DataFrame) -> list:
         @F.udf(returnType="terms array<int>, counts array<double>", useArrow=True)
         def vector(text):
-            t, c = counted(text, number)
+            t, c = counted(text, numbers.value)
             return t.tolist(), c.tolist()
 
-        got = rows.select("doc_id", "label", vector("text").alias("v")).orderBy("doc_id").collect()
-        return [(r["doc_id"], r["label"], np.array(r["v"]["terms"], np.int64), np.array(r["v"]["counts"])) for r in got]
+        got = rows.select("doc_id", "label", vector("text").alias("v")).select("doc_id", "label", "v.*").orderBy("doc_id").toArrow()
+        arrays = [[x.values.to_numpy() for x in got[c]] for c in ("terms", "counts")]
+        return list(zip(got["doc_id"].to_pylist(), got["label"].to_pylist(), *arrays))
 
-    held = vectors(part)  # at most 2 * examples rows of at most ``terms`` numbers
+    held = vectors(part)  # at most 2 * examples rows
     index = BlockMaxIndex([(t, weighed(t, c, idf)) for _, _, t, c in held], len(number))
     model = ToxicityModel(
-        number, idf, index, np.array([y for _, y, _, _ in held], float), np.array([d for d, *_ in held], np.int64), neighbours, 0.0, -50.0
+        numbers.value, idf, index, np.array([y for _, y, _, _ in held], float), np.array([d for d, *_ in held], np.int64), neighbours, 0.0, -50.0
     )
     shared = spark.sparkContext.broadcast(model)
 

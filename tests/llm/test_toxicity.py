@@ -99,3 +99,26 @@ def test_weighted_logistic_fit():
         assert abs((weight * p).sum() / (weight * y).sum() - 1) < 1e-2
     slope, offset = X.logistic(rng.uniform(size=1000), y, np.ones(1000))
     assert np.isfinite(slope) and abs(1 / (1 + np.exp(-(slope * 0.5 + offset))) - 0.5) < 0.1
+
+
+def test_copies_of_examples_with_rare_wording_are_found(spark):
+    """No two toxic examples share a toxic word; copies of them, not labelled, are still nearest to them."""
+    def text(d):
+        prose = np.random.default_rng(d).choice(300, 20, replace=False)
+        return " ".join(f"w{k}" for k in prose) + (f" q{d}x q{d}y" if d % 4 == 0 else "")
+    rows = [(d, text(d)) for d in range(400)] + [(1000 + d, text(d)) for d in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d % 4 == 0)) for d in range(400)], "doc_id long, toxic int")
+    model = X.fit(docs, labels)
+    got = {r.doc_id: r._toxicity for r in X.score(docs, model).collect()}
+    for d in model.ids.tolist():
+        assert got[1000 + d].evidence[0].doc_id == d and got[1000 + d].evidence[0].cosine > 1 - 1e-9
+        assert (model.vote(text(d))[0] > 0.5) == (d % 4 == 0)
+
+
+def test_evidence_does_not_delete_terms():
+    a, b = np.array([1.0, 0, 30, 10, 0]), np.array([0, 1.0, 0, 10, 40])
+    for n in (40, 4000):
+        e = X.evidence(a, b, n, n)
+        assert e.min() >= 0.01 and e.argmin() == 3 and e[2] > e[0] and np.allclose(e, X.evidence(b, a, n, n))
+    assert np.allclose(X.evidence(a, b, 0, 40), 0.01)
