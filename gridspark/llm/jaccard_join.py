@@ -198,10 +198,11 @@ def compare(members: DataFrame, threshold: float) -> DataFrame:
     return members.mapInArrow(verify, "a binary, b binary, links long")
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of the edges (a, b), root the smallest node of its component.
 
-    Large-star and small-star contraction; each round is a table, and the driver sees one checksum of it.
+    Large-star and small-star contraction until a round changes nothing; each round is a table, and the driver sees
+    one checksum of it.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -214,7 +215,7 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
 
     turned = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now, last = written(turned, "edges"), None
-    for _ in range(rounds):
+    while True:
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == last or not mark[0]:
             break

@@ -88,6 +88,13 @@ def test_long_components(spark):
     assert len(got) == 121 and set(got.values()) == {b"0000"}
 
 
+def test_components_settle_however_many_rounds_it_takes(spark, monkeypatch):
+    monkeypatch.setattr(J, "range", lambda n: iter((0, 1)), raising=False)  # a loop over a number of rounds ends after two
+    edges = spark.createDataFrame([(f"{k:04d}".encode(), f"{k + 1:04d}".encode()) for k in range(40)], "a binary, b binary")
+    got = [(bytes(r.node), bytes(r.root)) for r in J.components(edges).collect()]
+    assert len(got) == len(dict(got)) == 41 and set(dict(got).values()) == {b"0000"}
+
+
 def test_shingles():
     assert len(shingle_set("a b c d e f")) == 2
     assert np.array_equal(shingle_set("A  b, c d e"), shingle_set("a b c d e"))
