@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tests only: used where the session names no shared folder.
-_LOCAL = None
+@lru_cache
+def _of_local_session(application: str) -> str:
+    return tempfile.mkdtemp(prefix="gridspark-shared-")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session's spark.checkpoint.dir names it."""
+    """The folder that driver and executors share, as the session's spark.checkpoint.dir names it.
+
+    Where it is unset, a local session gets one of its own; on a cluster that is an error, since no folder of the
+    driver's machine reaches the executors.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    global _LOCAL
-    if _LOCAL is None or not os.path.isdir(_LOCAL):
-        _LOCAL = tempfile.mkdtemp(prefix="gridspark-shared-")
-    return _LOCAL
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _of_local_session(spark.sparkContext.applicationId)
+    return found.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,6 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def broadcast_if_small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``rows`` (a few numbers each), to be broadcast if a count finds at most ``most``; else the join may shuffle."""
     return F.broadcast(rows) if rows.count() <= most else rows

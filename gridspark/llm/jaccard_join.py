@@ -4,12 +4,16 @@ Documents with equal shingle sets form one class, so copies are never expanded.
 token of a set at random; two sets of Jaccard similarity s pick the same with probability s. Every run splits all
 classes by ``branches`` coordinates; buckets above ``leaf_rows`` are split again by further coordinates drawn for
 the bucket, level by level. Buckets of one member vanish. Splitting multiplies a bucket's pairs by ``branches`` times
-their mean similarity; where that is 1 or more it would only copy the bucket, which is therefore compared as it is. Runs repeat until the target recall.
+their mean similarity; where that is 1 or more it would only copy the bucket, which is therefore compared as it is. Runs
+repeat until the target recall; ``recall`` counts in that deeper levels share a pool of coordinates.
 
 Small buckets are compared whole; larger ones (dense, or left at ``levels``) by pairs of blocks, so no task holds
 more than two blocks and nothing is capped. Both members' exact sets decide; a pair counts only in the first of
 their common buckets, so no pairs are emitted: each compared bucket returns, for each member, the number of its
 links and one edge of a spanning forest. Components come from those edges by repeated star contraction.
+
+Joins on a bucket broadcast the buckets of over ``rows / MANY`` members, of which there are at most ``MANY``; the
+others are shuffled, and none of them is a large share of the rows.
 """
 
 from __future__ import annotations
@@ -24,26 +28,43 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import broadcast_if_small, table, written
+from gridspark.llm.common import broadcast_if_small, free_name, table, written
 from gridspark.llm.shingles import coordinates, shingle_set
 
-COORDINATES = 32
-#: Coordinates by which a bucket's mean similarity is estimated; they steer the work, not the result.
-PROBES = 3
+#: Coordinates from which the levels below the first draw.
+POOL = 40
+#: Runs beyond which the target recall counts as out of reach.
+MOST_RUNS = 64
+#: Coordinates, and signs of each, by which a bucket's mean similarity is estimated; they steer the work, not the result.
+PROBES, SIGNS = 3, 12
+#: Buckets that a join broadcasts at most.
+MANY = 20_000
 #: Tokens that a block of a bucket holds on average at most.
 BLOCK_TOKENS = 2_000_000
 
 
-def runs_needed(threshold: float, branches: int, target: float) -> int:
-    """Runs after which a pair at the threshold is found with probability ``target``, at any depth of splitting.
+def recall(threshold: float, branches: int, runs: int, levels: int, pool: int = POOL) -> float:
+    """Least probability that a pair at the threshold meets in a compared bucket, however deep the splits go.
 
-    With b branches, a pair of similarity s survives one more level with 1 - (1 - s p)^b, if it survives the
-    levels below with p; the fixed point of this bounds every depth.
+    Of the pool's coordinates the pair shares a binomial number; given that number, every draw of a lower level
+    finds a shared one independently. A pair survives a level with 1 - (1 - share * below)^branches. The first
+    level has coordinates of its own for each run.
     """
-    p = 1.0
-    for _ in range(200):
-        p = 1 - (1 - threshold * p) ** branches
-    return max(1, math.ceil(math.log(1 - target) / math.log(1 - p))) if p < 1 else 1
+    shared = np.arange(pool + 1)
+    ways = np.array([math.comb(pool, k) for k in shared], float)
+    weight = ways * threshold**shared * (1 - threshold) ** (pool - shared)
+    below = np.ones(pool + 1)
+    for _ in range(levels - 1):
+        below = 1 - (1 - shared / pool * below) ** branches
+    return float(1 - (weight * (1 - threshold * below) ** (branches * runs)).sum())
+
+
+def runs_needed(threshold: float, branches: int, target: float, levels: int = 6, pool: int = POOL) -> int:
+    """Runs after which a pair at the threshold is found with probability ``target``; an error if MOST_RUNS don't do."""
+    for runs in range(1, MOST_RUNS + 1):
+        if recall(threshold, branches, runs, levels, pool) >= target:
+            return runs
+    raise ValueError(f"{MOST_RUNS} runs of {branches} branches don't reach a recall of {target} at a similarity of {threshold}: raise branches")
 
 
 def set_key(shingles: np.ndarray) -> bytes | None:
@@ -70,16 +91,41 @@ def sketches(docs: DataFrame, width: int, count: int) -> DataFrame:
     return docs.mapInArrow(sketch, "doc_id long, c binary, tokens long, sig array<long>")
 
 
-def _peopled(rows: DataFrame, level: int) -> DataFrame:
+def _peopled(rows: DataFrame, level: int, many: int) -> DataFrame:
     """The rows (node, c) of nodes with two members or more, with the node's size."""
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return written(rows.join(sizes, "node"), f"level{level}")
+    sizes = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"sizes{level}")
+    told = rows.join(F.broadcast(sizes.where(F.col("size") > many)), "node", "left")
+    rest = told.where("size IS NULL").select("node", "c").join(sizes.where(F.col("size") <= many), "node")
+    return written(told.where("size IS NOT NULL").unionByName(rest), f"level{level}")
+
+
+def _on_node(rows: DataFrame, nodes: DataFrame, how: str, many: int) -> DataFrame:
+    """``rows`` joined on node; both sides have the node's size, by which the largest nodes are broadcast."""
+    large = F.col("size") > many
+    told = nodes.drop("size") if how == "inner" else nodes.select("node")
+    few, others = (nodes.where(x).select(told.columns) for x in (large, ~large))
+    return rows.where(large).join(F.broadcast(few), "node", how).unionByName(rows.where(~large).join(others, "node", how))
+
+
+def _dense(large: DataFrame, drawn, branches: int) -> DataFrame:
+    """(node, size) of the nodes whose members agree in a coordinate with probability 1 / ``branches`` or more.
+
+    That is the sum of the squared shares of the tokens drawn, which the squared sum of random signs of the tokens
+    estimates: one sum for each sign, added up where the members lie, and no row for a token.
+    """
+    sums = []
+    for k in range(PROBES):
+        bits = F.xxhash64(F.lit(k), F.element_at("sig", drawn(k, 1000)))
+        sums += [F.sum(F.lit(1) - F.lit(2) * F.shiftright(bits, j).bitwiseAND(F.lit(1))).cast("double") for j in range(SIGNS)]
+    squares = reduce(lambda a, b: a + b, [x * x for x in sums]) / F.lit(float(len(sums)))
+    return large.groupBy("node", "size").agg(squares.alias("agree")).where(F.col("agree") * branches >= F.col("size") * F.col("size").cast("double")).drop("agree")
 
 
-def buckets(classes: DataFrame, threshold: float, branches: int, runs: int, leaf_rows: int, levels: int) -> DataFrame:
+def buckets(classes: DataFrame, branches: int, runs: int, leaf_rows: int, levels: int, many: int) -> DataFrame:
     """The buckets to be compared: (node, c, size)."""
-    first = [F.xxhash64(F.lit(j), F.element_at("sig", j + 1)) for j in range(runs * branches)]
-    rows = _peopled(classes.select("c", F.explode(F.array(*first)).alias("node")).select("node", "c"), 0)
+    own = runs * branches  # coordinates of the first level
+    first = [F.xxhash64(F.lit(j), F.element_at("sig", j + 1)) for j in range(own)]
+    rows = _peopled(classes.select("c", F.explode(F.array(*first)).alias("node")).select("node", "c"), 0, many)
     leaves = []
     for level in range(1, levels + 1):
         leaves.append(rows.where(F.col("size") <= leaf_rows))
@@ -89,21 +135,19 @@ def buckets(classes: DataFrame, threshold: float, branches: int, runs: int, leaf
         if level == levels:
             leaves.append(large)
             break
-        drawn = lambda k, salt: F.pmod(F.xxhash64("node", F.lit(salt + k)), F.lit(COORDINATES)).cast("int") + 1
+        # the coordinates of one node's branches differ
+        drawn = lambda k, salt: F.pmod(F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(POOL)) + k, F.lit(POOL)).cast("int") + own + 1
         large = written(large.join(classes.select("c", "sig"), "c"), f"large{level}")
-        probes = F.explode(F.array(*[F.xxhash64(F.lit(k), F.element_at("sig", drawn(k, 1000))) for k in range(PROBES)]))
-        alike = large.select("node", "size", probes.alias("token")).groupBy("node", "size", "token").agg(F.count(F.lit(1)).alias("n"))
-        share = F.sum(F.col("n").cast("double") * F.col("n")) / (PROBES * F.pow(F.col("size").cast("double"), 2))
-        dense = alike.groupBy("node", "size").agg(share.alias("share")).where(F.col("share") >= 1 / branches)
-        dense = written(dense.select("node"), f"dense{level}")
-        leaves.append(large.join(dense, "node", "left_semi").select("node", "c", "size"))
+        dense = written(_dense(large, drawn, branches), f"dense{level}")
+        leaves.append(_on_node(large, dense, "left_semi", many).select("node", "c", "size"))
         child = [F.xxhash64("node", F.lit(k), F.element_at("sig", drawn(k, 0))) for k in range(branches)]
-        rows = _peopled(large.join(dense, "node", "left_anti").select("c", F.explode(F.array(*child)).alias("node")).select("node", "c"), level)
+        split = _on_node(large, dense, "left_anti", many).select("c", F.explode(F.array(*child)).alias("node"))
+        rows = _peopled(split.select("node", "c"), level, many)
     found = written(reduce(DataFrame.unionByName, [x.select("node", "c", "size") for x in leaves]), "leaves")
     # buckets of the same members are compared once
     content = found.groupBy("node", "size").agg(F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "c")).alias("y"))
-    once = content.groupBy("size", "x", "y").agg(F.min("node").alias("node")).select("node")
-    return written(found.join(once, "node", "left_semi"), "buckets")
+    once = written(content.groupBy("size", "x", "y").agg(F.min("node").alias("node")).select("node", "size"), "once")
+    return written(_on_node(found, once, "left_semi", many), "buckets")
 
 
 class _Bucket:
@@ -245,13 +289,14 @@ def jaccard_join(
     Rows that repeat a doc_id share what their texts give; null ids are kept as they are. Only the two named
     columns are read. An empty table gives an empty result.
     """
-    runs = min(runs_needed(threshold, branches, target), COORDINATES // branches)
+    runs = runs_needed(threshold, branches, target, levels)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = written(sketches(docs, width, COORDINATES), "sketches")
+    found = written(sketches(docs, width, runs * branches + POOL), "sketches")
     classes = written(
         found.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("set_id"), F.first("tokens").alias("tokens"), F.first("sig").alias("sig")), "classes"
     )
-    leaves = buckets(classes, threshold, branches, runs, leaf_rows, levels)
+    many = max(leaf_rows, classes.count() * runs * branches // MANY)  # larger buckets are fewer than MANY
+    leaves = buckets(classes, branches, runs, leaf_rows, levels, many)
     paths = written(
         leaves.groupBy("c").agg(F.collect_list("node").alias("path")).join(classes.select("c", "set_id", "tokens"), "c"), "paths"
     )
@@ -271,9 +316,9 @@ def jaccard_join(
     # small buckets are one block; of the others, as many as their members and tokens call for
     small = leaves.where(F.col("size") <= leaf_rows).select("node", "c", F.lit(1).alias("parts"))
     large = leaves.where(F.col("size") > leaf_rows).join(paths.select("c", F.col("tokens").alias("weight")), "c")
-    parts = F.ceil(F.greatest(F.first("size") / block_rows, F.sum("weight") / BLOCK_TOKENS)).cast("int")
-    counted = large.groupBy("node").agg(parts.alias("parts"))
-    blocks = small.unionByName(large.select("node", "c").join(counted, "node"))
+    parts = F.ceil(F.greatest(F.col("size") / block_rows, F.sum("weight") / BLOCK_TOKENS)).cast("int")
+    counted = written(large.groupBy("node", "size").agg(parts.alias("parts")), "parts")
+    blocks = small.unionByName(_on_node(large.select("node", "c", "size"), counted, "inner", many).select("node", "c", "parts"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("c", F.lit(3)), F.col("parts")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     blocks = blocks.select(
@@ -313,9 +358,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class of near copies, the document with the smallest doc_id stays.
 
-    Rows that share a doc_id are one document here; it goes only if none of its rows stays.
+    Rows that share a doc_id are one document here; it goes only if none of its rows stays. Rows without a doc_id,
+    or with a null or empty text, stay. Columns of any name come back as they are; an empty table gives none.
     """
     found = jaccard_join(docs)
     ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept"))
-    dropped = written(ids.select(F.col("doc_id").alias("_id")), "dropped")
-    return docs.join(broadcast_if_small(dropped), F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = free_name(docs, "gone")
+    dropped = written(ids.select(F.col("doc_id").alias(gone)), "dropped")
+    return docs.join(broadcast_if_small(dropped), F.col("doc_id") == F.col(gone), "left_anti")
