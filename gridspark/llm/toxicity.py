@@ -8,18 +8,19 @@ four-letter beginnings, all those of the examples; a term weighs by how well the
 Document frequencies are counted over all documents.
 
 The index is bounded by the examples, so broadcasting it is safe at any corpus size. Scoring is a map over the
-documents: no shuffle and no join. The postings of rare terms are added up in full; the weights of common terms
-are kept as rows over all examples, with the largest in each block, and are only read for the blocks which can
-still hold one of the nearest, so the neighbours are exactly those of full scoring.
+documents: no shuffle and no join. Like examples stand in the same block. The postings of rare terms are added up in
+full; the weights of common terms are kept as matrices by block, with each term's largest, and are only read for the
+blocks which can still hold one of the nearest, so the neighbours are exactly those of full scoring.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridspark.llm.common import held_out, table, written
+from gridspark.llm.common import free_name, held_out, table, written
 
 WORD = re.compile(r"\w+")
 BLOCK = 64
-#: Terms in more than this share of the examples are common; a row of them takes 32 bytes a posting at most.
-COMMON = 0.25
+#: Terms in more than this share of the examples are common; a row of them takes 80 bytes a posting at most.
+COMMON = 0.1
+#: Texts that are scored together.
+TOGETHER = 64
 #: Words that a task remembers the numbers of.
 REMEMBERED = 200_000
 
@@ -51,10 +54,10 @@ class Numbers(dict):
         self.number = number
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
         start = self.number.get("^" + word[:4], -1) if len(word) > 4 else -1
-        self[word] = both = (self.number.get(word, -1) + 1) << 32 | (start + 1)
+        both = (self.number.get(word, -1) + 1) << 32 | (start + 1)
+        if len(self) < REMEMBERED:
+            self[word] = both
         return both
 
     def __reduce__(self):
@@ -87,54 +90,95 @@ def weighed(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarra
     return w / np.sqrt((w * w).sum()) if len(w) else w
 
 
+def alike_order(rows: np.ndarray, block: int) -> np.ndarray:
+    """An order of the rows in which like ones stand together: halves along the widest direction, down to blocks."""
+    order: list[int] = []
+    parts = [np.arange(len(rows))]
+    while parts:
+        part = parts.pop()
+        if len(part) <= block or not rows.shape[1]:
+            order += part.tolist()
+            continue
+        about = rows[part] - rows[part].mean(0)
+        along = np.random.default_rng(1).normal(size=rows.shape[1])
+        for _ in range(8):
+            along = about.T @ (about @ along)
+            along /= np.sqrt(along @ along) + 1e-300
+        part = part[np.argsort(about @ along, kind="stable")]
+        half = block * -(-len(part) // (2 * block))
+        parts += [part[half:], part[:half]]
+    return np.array(order, np.int64)
+
+
+Vector = tuple[np.ndarray, np.ndarray]
+
+
 class BlockMaxIndex:
-    """Weights of each term by example: postings of rare terms, rows with the largest of each block for common ones."""
+    """Weights of each term by example: postings of rare terms; of common ones a matrix for each block, and their largest."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
+    def __init__(self, vectors: list[Vector], n_terms: int, block: int = BLOCK):
         self.size, self.block = len(vectors), block
         self.blocks = -(-self.size // block)
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, np.int64)
-        example = np.repeat(np.arange(self.size, dtype=np.int32), [len(t) for t, _ in vectors])
+        example = np.repeat(np.arange(self.size), [len(t) for t, _ in vectors])
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
         common = np.flatnonzero(np.bincount(term, minlength=n_terms) > COMMON * self.size)
         self.row = np.full(n_terms, -1, np.int32)
         self.row[common] = np.arange(len(common))
         here = self.row[term] >= 0
-        rows = np.zeros((len(common), self.blocks * block))
-        rows[self.row[term[here]], example[here]] = weight[here]
-        self.rows = rows.reshape(len(common), self.blocks, block)
+        rows = np.zeros((self.size, len(common)))
+        rows[example[here], self.row[term[here]]] = weight[here]
+        self.order = alike_order(rows, block)  # the example at each place
+        place = np.empty(self.size, np.int32)
+        place[self.order] = np.arange(self.size)
+        padded = np.zeros((self.blocks * block, len(common)))
+        padded[place] = rows
+        self.rows = np.ascontiguousarray(padded.reshape(self.blocks, block, len(common)).transpose(0, 2, 1))
         self.most = self.rows.max(2)
-        term, example, weight = term[~here], example[~here], weight[~here]
-        order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
+        term, at, weight = term[~here], place[example[~here]], weight[~here]
+        order = np.lexsort((at, term))
+        self.at, self.weight = at[order], weight[order]
         # the postings of the rare term t are those from start[t] to start[t + 1]
         self.start = np.searchsorted(term[order], np.arange(n_terms + 1))
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine above 0 (ties: the smaller example number) and their cosines."""
-        if not len(terms) or not self.size:
-            return np.empty(0, np.int64), np.empty(0)
-        row = self.row[terms]
-        common, rare = row >= 0, terms[row < 0]
-        first = self.start[rare]
-        n = self.start[rare + 1] - first
-        place = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
-        score = np.bincount(self.example[place], np.repeat(weights[~common], n) * self.weight[place], self.blocks * self.block)
-        score = score.astype(np.float64).reshape(self.blocks, self.block)
-        if common.any():
-            row, weight = row[common], weights[common]
-            bound = score.max(1) + weight @ self.most[row]
-            least = np.partition(score.ravel(), -k)[-k] if score.size > k else 0.0
-            open_ = np.flatnonzero(bound >= least - 1e-9)
-            if 2 * len(open_) > self.blocks:
-                score += np.tensordot(weight, self.rows[row], 1)
-            else:
-                score[open_] += np.tensordot(weight, self.rows[row[:, None], open_[None, :]], 1)
-        score = score.ravel()
-        least = np.partition(score, -k)[-k] if len(score) > k else 0.0
-        found = np.flatnonzero((score > 0) & (score >= least - 1e-9))
-        keep = found[np.lexsort((found, -np.round(score[found], 12)))[:k]]
-        return keep, score[keep]
+    def nearest(self, queries: list[Vector], k: int) -> list[Vector]:
+        """For each query the k examples of the largest cosine above 0 (ties: the smaller example number), and the cosines."""
+        if not self.size:
+            return [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+        score = np.empty((len(queries), self.blocks * self.block))
+        common = np.zeros((len(queries), self.rows.shape[1]))
+        for q, (terms, weights) in enumerate(queries):
+            row = self.row[terms]
+            here = row >= 0
+            common[q, row[here]] = weights[here]
+            first = self.start[terms[~here]]
+            n = self.start[terms[~here] + 1] - first
+            posting = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+            score[q] = np.bincount(self.at[posting], np.repeat(weights[~here], n) * self.weight[posting], score.shape[1])
+        by_block = score.reshape(len(queries), self.blocks, self.block)
+        bound = by_block.max(2) + common @ self.most.T
+        # the block of the largest bound first; then those that may still beat the k-th best of what is known
+        opened = bound >= bound.max(1, keepdims=True)
+        self._add(by_block, common, opened)
+        self._add(by_block, common, ~opened & (bound >= self._least(score, k)[:, None] - 1e-9))
+        least, found = self._least(score, k), []
+        for one, low in zip(score, least):
+            at = np.flatnonzero((one > 0) & (one >= low - 1e-9))
+            example, cosine = self.order[at], one[at]
+            best = np.lexsort((example, -np.round(cosine, 12)))[:k]
+            found.append((example[best], cosine[best]))
+        return found
+
+    def _add(self, score: np.ndarray, common: np.ndarray, opened: np.ndarray) -> None:
+        """Adds the common terms' products in the opened (query, block) cells."""
+        for block in np.flatnonzero(opened.any(0)):
+            some = np.flatnonzero(opened[:, block])
+            score[some, block] += common[some] @ self.rows[block]
+
+    @staticmethod
+    def _least(score: np.ndarray, k: int) -> np.ndarray:
+        """Each row's k-th largest value; 0 if it has fewer."""
+        return np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.zeros(len(score))
 
 
 @dataclass(frozen=True)
@@ -150,19 +194,20 @@ class ToxicityModel:
     slope: float
     offset: float
 
-    def vote(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        """Share of label 1 among the neighbours, each weighing cosine^2 / (0.05 + distance), and the evidence.
+    def votes(self, texts: Iterable[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """For each text the share of label 1 among the neighbours, each weighing cosine^2 / (0.05 + distance), and the evidence.
 
         One unit of weight for label 0 stands for what is unlike every example; so the vote of a text
         without any known term is 0.
         """
-        terms, counts = counted(text, self.numbers)
-        near, cosine = self.index.nearest(terms, weighed(terms, counts, self.idf), self.neighbours)
-        w = cosine**2 / (0.05 + np.maximum(0.0, 1 - cosine))
-        return float((w * self.labels[near]).sum() / (1 + w.sum())), self.ids[near], cosine
+        for part in batched(texts, TOGETHER):
+            known = (counted(text, self.numbers) for text in part)
+            for near, cosine in self.index.nearest([(t, weighed(t, c, self.idf)) for t, c in known], self.neighbours):
+                w = cosine**2 / (0.05 + np.maximum(0.0, 1 - cosine))
+                yield float((w * self.labels[near]).sum() / (1 + w.sum())), self.ids[near], cosine
 
-    def probability(self, vote: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * vote + self.offset, -50, 50))))
+    def probability(self, vote):
+        return 1 / (1 + np.exp(-np.clip(self.slope * vote + self.offset, -50, 50)))
 
 
 #: Calibration needs so many rows of each class; with fewer, a vote of 0.5 decides.
@@ -288,9 +333,9 @@ def fit(
     )
     shared = spark.sparkContext.broadcast(model)
 
-    @F.udf(returnType="double", useArrow=True)
-    def vote(text):
-        return shared.value.vote(text)[0]
+    @F.arrow_udf("double")
+    def vote(texts: pa.Array) -> pa.Array:
+        return pa.array([v for v, _, _ in shared.value.votes(t.as_py() for t in texts)], pa.float64())
 
     votes = sample.where("part = 'calibration'").select(vote("text").alias("v"), "label").collect()
     if not total[1]:
@@ -304,21 +349,25 @@ def fit(
     return replace(model, slope=slope, offset=offset)
 
 
-def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with the struct column ``_toxicity`` (score, predicted, evidence: doc_id and cosine of neighbours).
+def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5, into: str = "_toxicity") -> DataFrame:
+    """``docs`` with the struct column ``into`` (score, predicted, evidence: doc_id and cosine of neighbours).
 
     Every row and whole text is scored; null and empty texts too. A column of that name is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = "score double, predicted int, evidence array<struct<doc_id: bigint, cosine: double>>"
 
-    @F.udf(returnType=kind, useArrow=True)
-    def judged(text):
-        vote, near, cosine = shared.value.vote(text)
-        p = shared.value.probability(vote)
-        return p, int(p >= threshold), list(zip(near.tolist(), cosine.tolist()))
+    @F.arrow_udf(kind)
+    def judged(texts: pa.Array) -> pa.Array:
+        found = list(shared.value.votes(t.as_py() for t in texts))
+        p = shared.value.probability(np.array([v for v, _, _ in found]))
+        near, cosine = (np.concatenate([np.empty(0, t), *(f[i] for f in found)]) for i, t in ((1, np.int64), (2, float)))
+        told = pa.StructArray.from_arrays([pa.array(near), pa.array(cosine)], ["doc_id", "cosine"])
+        ends = np.cumsum([0, *(len(f[1]) for f in found)]).astype(np.int32)
+        columns = [pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), told)]
+        return pa.StructArray.from_arrays(columns, ["score", "predicted", "evidence"])
 
-    return docs.withColumn("_toxicity", judged(F.col(text_col)))
+    return docs.withColumn(into, judged(F.col(text_col)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -336,6 +385,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the model, fitted on the stage's own input, does not find toxic."""
+    """Pipeline stage: documents that the model, fitted on the stage's own input, does not find toxic.
+
+    Null and empty texts, which are like no example, stay; so do all rows if no label marks anything toxic. Repeated
+    rows share their fate. Columns of any name come back as they are; an empty table gives none.
+    """
     model = fit(docs, table(spark, sf_dir, "labels"), usable=~held_out(F.col("doc_id"), 5, 0))
-    return score(docs, model).where(F.col("_toxicity.predicted") == 0).drop("_toxicity")
+    told = free_name(docs, "toxicity")
+    return score(docs, model, into=told).where(F.col(f"{told}.predicted") == 0).drop(told)

@@ -20,7 +20,10 @@ def test_neighbours_equal_full_scoring(seed, block, k):
     for row, (t, w) in zip(dense, vectors):
         row[t] = w
     t, w = vector()
-    ids, scores = index.nearest(t, w, k)
+    other = vector()
+    found = index.nearest([other, (t, w), other], k)
+    ids, scores = found[1]
+    assert np.array_equal(found[0][0], found[2][0])
     full = dense[:, t] @ w if n else np.empty(0)
     want = [i for i in np.lexsort((np.arange(n), -np.round(full, 12))) if full[i] > 0][:k]
     assert ids.tolist() == want and np.allclose(scores, full[want])
@@ -113,7 +116,7 @@ def test_copies_of_examples_with_rare_wording_are_found(spark):
     got = {r.doc_id: r._toxicity for r in X.score(docs, model).collect()}
     for d in model.ids.tolist():
         assert got[1000 + d].evidence[0].doc_id == d and got[1000 + d].evidence[0].cosine > 1 - 1e-9
-        assert (model.vote(text(d))[0] > 0.5) == (d % 4 == 0)
+        assert (next(model.votes([text(d)]))[0] > 0.5) == (d % 4 == 0)
 
 
 def test_evidence_does_not_delete_terms():
