@@ -1,12 +1,12 @@
 """Exact deduplication with the frequent texts split off.
 
-1. Each text is normalised and hashed once; (id, digest) goes to a table, so no later step reads text.
-2. A Misra-Gries summary (Spark's mergeable ``approx_top_k``) over the digests, partial in each task,
-   names the candidates for frequent digests. An exact count over the candidates alone verifies them and
-   finds the row that stays: at most ``capacity`` winners, whatever the input.
-3. The winners are broadcast. Rows with a winner's digest are settled where they lie, without a shuffle;
-   only the row that stays goes on.
-4. All other rows are shuffled by digest. No group there exceeds the share that the summary may miss.
+1. Each text is normalised and hashed once; (id, digest, row) goes to a table, so no later step reads text. ``row``
+   is a number of the row's own, which tells rows apart that repeat an id.
+2. A Misra-Gries summary (Spark's mergeable ``approx_top_k``) over the digests, partial in each task and merged in
+   two levels, names the candidates for frequent digests. An exact count over the candidates alone verifies them and
+   finds the row that stays. A winner holds 1 of ``SHARE`` rows, so there are at most ``SHARE`` of them.
+3. The winners are broadcast. Rows with a winner's digest are settled where they lie, without a shuffle.
+4. All other rows are shuffled by digest. No group there holds 1 of ``SHARE`` rows.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import broadcast_if_small, table, written
+from gridspark.llm.common import broadcast_if_small, free_name, table, written
 
 #: Bytes of whitespace that are folded into one space.
 WHITESPACE = r"[\x20\x09-\x0D]+"
@@ -25,27 +25,40 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), WHITESPACE, " ").cast("binary"), 256))
 
 
-def frequent(digests: DataFrame, capacity: int = 256, tracked: int = 4096) -> DataFrame:
-    """Verified heavy hitters of (id, digest): digest, keep_id, group_size; at most ``capacity`` rows.
+#: A digest that holds one of so many rows is split off.
+SHARE = 1024
+#: Digests that the summary tracks. It may be wrong by under 1 / (2 * SHARE) of the rows, so at most 2 * SHARE digests
+#: can be estimated above 1 / SHARE, and as many candidates miss none that is.
+TRACKED = 4 * SHARE
 
-    A digest is a winner if it holds at least two rows and 1 of ``tracked`` / 4 of all rows: the summary's
-    error is below that share, so every digest above it is among the candidates.
+
+def _first() -> Column:
+    """What orders the rows of a group: ids rise, nulls come last, and rows that repeat an id go by their number."""
+    return F.struct(F.col("id").isNull().alias("none"), "id", "row")
+
+
+def frequent(digests: DataFrame, share: int = SHARE, tracked: int = TRACKED) -> DataFrame:
+    """Verified heavy hitters of (id, digest, row): digest, first (none, id, row), group_size; at most ``share`` rows.
+
+    A digest is a winner if it holds at least two rows and 1 of ``share`` of all rows.
     """
-    key = F.xxhash64("digest")
-    summary = digests.agg(
-        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(xxhash64(digest), {capacity}, {tracked})").alias("top")
-    ).first()
-    least = max(2, 4 * summary["n"] // tracked)
-    names = [x["item"] for x in summary["top"] or [] if x["count"] >= least]
-    hits = digests.where(key.isin(names)) if names else digests.where(F.lit(False))
+    parts = digests.groupBy((F.spark_partition_id() % 64).alias("part")).agg(
+        F.count(F.lit(1)).alias("rows"), F.expr(f"approx_top_k_accumulate(xxhash64(digest), {tracked})").alias("seen")
+    )
+    whole = parts.groupBy(F.lit(0).alias("one")).agg(F.sum("rows").alias("rows"), F.expr(f"approx_top_k_combine(seen, {tracked})").alias("seen"))
+    top = whole.select("rows", F.explode(F.expr(f"approx_top_k_estimate(seen, {2 * share})")).alias("top"))
+    least = F.greatest(F.lit(2), F.ceil(F.col("rows") / share))
+    names = top.where(F.col("top.count") >= least).select(F.col("top.item").alias("name"), least.alias("least"))
+    hits = digests.join(F.broadcast(names), F.xxhash64("digest") == F.col("name"))
     return (
         hits.groupBy("digest")
-        .agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where(F.col("group_size") >= least)
+        .agg(F.min(_first()).alias("first"), F.count(F.lit(1)).alias("group_size"), F.max("least").alias("least"))
+        .where(F.col("group_size") >= F.col("least"))
+        .drop("least")
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 256) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after folding each run of whitespace into one space; null and empty
@@ -54,24 +67,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     An empty table gives an empty result.
     """
     digests = written(
-        docs.select(F.col(id_col).cast("long").alias("id"), text_digest(F.col(text_col)).alias("digest")), "digests"
+        docs.select(F.col(id_col).cast("long").alias("id"), text_digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests"
     )
-    winners = written(frequent(digests, capacity), "winners")
+    winners = written(frequent(digests, share), "winners")
     won = digests.join(F.broadcast(winners), "digest", "left")
-    settled = won.where(F.col("group_size").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep_id"))).select(
-        "id", "keep_id", "group_size", F.lit(False).alias("kept"), "digest"
-    )
     same = Window.partitionBy("digest")
-    first = same.orderBy(F.col("id").asc_nulls_last())
-    shuffled = won.where(F.col("group_size").isNull() | F.col("id").eqNullSafe(F.col("keep_id"))).select(
-        "id",
-        F.min("id").over(same).alias("keep_id"),
-        F.coalesce("group_size", F.count(F.lit(1)).over(same)).alias("group_size"),
-        (F.row_number().over(first) == 1).alias("kept"),
-        "digest",
-    )
-    return settled.unionByName(shuffled).select(
-        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    others = won.where("group_size IS NULL").select("id", "row", F.min(_first()).over(same).alias("first"), F.count(F.lit(1)).over(same).alias("group_size"), "digest")
+    told = won.where("group_size IS NOT NULL").select(others.columns).unionByName(others)
+    return told.select(
+        F.col("id").alias("doc_id"),
+        F.col("first.id").alias("keep_id"),
+        "group_size",
+        (F.col("row") == F.col("first.row")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
@@ -80,18 +88,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts the row with the smallest doc_id stays; a row repeated whole stays once."""
+    """Pipeline stage: of equal texts the row with the smallest doc_id stays; a row repeated whole stays once.
+
+    Null and empty texts are one group. Columns of any name come back as they are; an empty table gives none.
+    """
     found = written(exact_dedup(docs).where(~F.col("kept")), "repeats")
     again = F.col("doc_id").eqNullSafe(F.col("keep_id"))  # repeats the very row that stays
     # the id finds the row; the hash of the digest tells rows apart that share an id
-    pair = [F.col("doc_id").alias("_id"), F.xxhash64("text_sha256").alias("_told")]
+    digest, lost_id, told = (free_name(docs, x) for x in ("digest_hash", "lost_id", "told"))
+    pair = [F.col("doc_id").alias(lost_id), F.xxhash64("text_sha256").alias(told)]
     lost, twice = found.where(~again).select(pair), found.where(again).select(pair).distinct()
-    hashed = docs.withColumn("_digest_hash", F.xxhash64(F.lower(F.hex(text_digest(F.col("text"))))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest_hash") == F.col("_told"))
+    hashed = docs.withColumn(digest, F.xxhash64(F.lower(F.hex(text_digest(F.col("text"))))))
+    same = F.col("doc_id").eqNullSafe(F.col(lost_id)) & (F.col(digest) == F.col(told))
     kept = hashed.join(broadcast_if_small(lost), same, "left_anti")
     if not twice.isEmpty():
         twice = broadcast_if_small(twice)
-        once = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_digest_hash"])
+        once = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", digest])
         kept = kept.join(twice, same, "left_anti").unionByName(once)
     return kept.select(docs.columns)
 

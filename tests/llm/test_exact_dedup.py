@@ -34,12 +34,25 @@ def test_equals_brute_force(spark):
 def test_frequent_digests_never_shuffle(spark):
     rows = [(k, "hot") for k in range(3000)] + [(10_000 + k, f"cold {k // 2}") for k in range(500)]
     df = frame(spark, rows)
-    assert run(df, capacity=4) == brute(rows)
-    digests = df.select(F.col("doc_id").alias("id"), X.text_digest(F.col("text")).alias("digest"))
+    assert run(df, share=4) == brute(rows)
+    digests = df.select(F.col("doc_id").alias("id"), X.text_digest(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("row"))
     winners = X.frequent(digests, 4, 64).collect()
-    assert [(r.keep_id, r.group_size) for r in winners] == [(0, 3000)]
-    # rows of the winner but the one that stays bypass the window
-    assert [r.kept for r in X.exact_dedup(df).where("group_size = 3000 AND kept").collect()] == [True]
+    assert [(r["first"].id, r.group_size) for r in winners] == [(0, 3000)]
+
+
+def test_many_hot_digests_are_all_split_off(spark):
+    rows = [(k, f"hot {k % 400}") for k in range(8000)] + [(10_000 + k, f"cold {k}") for k in range(4000)]
+    df = frame(spark, rows).repartition(16)
+    digests = df.select(F.col("doc_id").alias("id"), X.text_digest(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    winners = X.frequent(digests).collect()
+    assert sorted(r["first"].id for r in winners) == list(range(400)) and {r.group_size for r in winners} == {20}
+    assert run(df) == brute(rows)
+
+
+def test_a_hot_repeated_row_stays_once(spark):
+    rows = [(1, "same")] * 2000 + [(None, "x")] * 2000 + [(2, "y")]
+    got = X.exact_dedup(frame(spark, rows)).collect()
+    assert len(got) == 4001 and sorted((r.doc_id or 0, r.group_size) for r in got if r.kept) == [(0, 2000), (1, 2000), (2, 1)]
 
 
 def test_null_ids_and_repeats(spark):
