@@ -14,7 +14,7 @@ def files(spark, rows):
 
 
 def brute(scanner, text, least):
-    """Best cosine over dense vectors of every unit of a text."""
+    """The unit of the most evidence over dense vectors: (licence, cosine, line)."""
     units, block = [], []
     for k, line in enumerate([*(text or "").split("\n"), ""]):
         if L.words(line):
@@ -36,9 +36,10 @@ def brute(scanner, text, least):
         for name, templates in L.TEMPLATES.items():
             for t in templates:
                 c = round(float(vec(unit) @ vec(t)), 9)
-                if c >= least and (best is None or (-c, name, k) < best):
-                    best = (-c, name, k)
-    return best and (best[1], -best[0], best[2])
+                told = round(c**4 * min(len(L.words(unit)), len(L.words(t))), 6)
+                if c >= least and (best is None or (-told, k, name) < best[:3]):
+                    best = (-told, k, name, c)
+    return best and (best[2], best[3], best[1])
 
 
 TEXTS = [
@@ -71,6 +72,72 @@ def test_nearest_ancestor(spark):
     assert got[5] == ("MIT", None, None, "MIT")
 
 
+def licence_files():
+    """Whole licences and notices as they stand in files, and the licence of each."""
+    head = "Copyright (c) 2020, Jane Doe\nAll rights reserved.\n\n"
+    bsd = [L._REDISTRIBUTION, L._TWO_CLAUSES, L._THIRD_CLAUSE, L._BSD_AS_IS]
+    notice = lambda what, stop, name, version: "# " + L._NOTICE.format(what=what, stop=stop, name=name, version=version).replace(" under ", "\n# under ")
+    mit = L.TEMPLATES["MIT"]
+    yield "MIT", f"MIT License\n\n{head}{L._GRANT}\n\n{mit[6]}\n\n{L._AS_IS}\n"
+    yield "BSD-2-Clause", head + "\n\n".join([bsd[0], bsd[1], bsd[3]])
+    yield "BSD-3-Clause", head + "\n\n".join(bsd)
+    yield "ISC", "ISC License\n\n" + head + "\n\n".join(L.TEMPLATES["ISC"][2:4])
+    for what, stop, name, version, key in (
+        ("program", ":", L._GPL, "3", "GPL-3.0"), ("program", ";", L._GPL, "2", "GPL-2.0"), ("library", ";", L._LGPL, "2.1", "LGPL-2.1"),
+        ("library", ":", L._LGPL, "3", "LGPL-3.0"), ("program", ":", L._AGPL, "3", "AGPL-3.0"),
+    ):
+        yield key, notice(what, stop, name, version) + "\n\nimport os\n"
+        yield key, "\n\n".join(L.TEMPLATES[key][4:5] + L.TEMPLATES[key][7:8]) + "\nEveryone is permitted to copy and distribute verbatim copies"
+    yield "Apache-2.0", "/*\n * " + L.TEMPLATES["Apache-2.0"][3].replace("; ", ";\n * ") + "\n *\n * " + L.TEMPLATES["Apache-2.0"][4] + "\n */\ncode"
+    yield "Apache-2.0", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n1. Definitions."
+    yield "MPL-2.0", "// " + L.TEMPLATES["MPL-2.0"][3].replace("If ", "\n// If ")
+    yield "EPL-2.0", L.TEMPLATES["EPL-2.0"][2]
+    yield "BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + L.TEMPLATES["BSL-1.0"][2]
+    yield "Zlib", head + "\n\n".join(L.TEMPLATES["Zlib"][1:3])
+    yield "Unlicense", "\n\n".join(L.TEMPLATES["Unlicense"][1:3])
+    yield "CC0-1.0", L.TEMPLATES["CC0-1.0"][2]
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        yield f"CC-{kind}-4.0", f"some prose\nLicensed under CC {kind} 4.0.\nmore prose"
+    for name in L.TEMPLATES:
+        yield name, f"// SPDX-License-Identifier: {name + '-only' if 'GPL' in name else name}\nint x;"
+
+
+def test_licences_that_are_easily_confused():
+    for files in (200, 100_000):
+        scanner = L.Scanner(files, np.full(len(L.VOCABULARY), files // 50))
+        templates = scanner.prepared()
+        for name, text in licence_files():
+            got = scanner.scan(text, templates, 0.75)
+            assert got[0] == name and not got[5], (name, text, got)
+        for text in ("This is not licensed under the MIT License", "Not released under the Apache License, Version 2.0."):
+            assert scanner.scan(text, templates, 0.75)[0] is None
+        assert scanner.scan(L._REDISTRIBUTION, templates, 0.75)[5]  # two licences begin so
+
+
+def test_inheritance_equals_brute_force(spark):
+    import random
+
+    rnd = random.Random(4)
+    paths = ["/".join(rnd.choice("abc") for _ in range(rnd.randint(0, 5))) for _ in range(150)]
+    rows = [(k, f"{p}/{rnd.choice(['x', 'y'])}{k}".lstrip("/"), rnd.choice([None, None, "MIT", "GPL-3.0", "ISC"]), rnd.choice([0.8, 0.9]), rnd.random() < 0.3) for k, p in enumerate(paths)]
+    rows += [(900, "a/LICENSE", "MIT", 0.9, True), (901, "a/COPYING", "ISC", 0.9, True), (902, "LICENSE", "ISC", 0.9, True), (903, "q/r/s", None, 0.0, False), (904, "q/r/s", None, 0.0, False)]
+    rows = [(k, p, lic, c if lic else 0.0, bool(lic) and f) for k, p, lic, c, f in rows]
+    for root in (True, False):
+        mine = [r for r in rows if root or "/" in r[1]]
+        got = {r.file_id: r for r in L.inherit(spark.createDataFrame(mine, "file_id long, path string, license string, cosine double, is_license_file boolean")).collect()}
+        for k, path, lic, _, _ in mine:
+            at, want = path.rpartition("/")[0], (None, None)
+            while lic is None:
+                here = sorted((-c, p, x) for _, p, x, c, f in mine if f and p.rpartition("/")[0] == at)
+                if here:
+                    want = (here[0][2], at)
+                if here or not at:
+                    break
+                at = at.rpartition("/")[0]
+            assert (got[k].inherited_license, got[k].inherited_from, got[k].effective_license) == (*want, lic or want[0]), path
+        assert len(got) == len(mine)
+
+
 def test_none(spark):
     assert L.license_scan(files(spark, [])).count() == 0
     assert L.license_scan(files(spark, [("a", "x")])).first().effective_license is None
