@@ -1,9 +1,10 @@
 """Language identification by compression.
 
-Every language has a raw-content zstandard dictionary: whole texts of that language up to ``dictionary_bytes``.
+Every language has a raw-content zstandard dictionary: whole texts of that language up to ``dictionary_bytes``, the
+last of them cut there.
 A text is compressed with each dictionary, and the language whose dictionary gives the smallest result is chosen;
-a narrow margin to the second is a rejection. The dictionaries come from a bounded sample, so their size depends
-on the number of languages alone. Identification is a map over the documents: no shuffle and no join.
+a narrow margin to the second is a rejection. Every language is learnt; the dictionaries come from a bounded sample,
+and share ``all_bytes`` where there are many of them. Identification is a map over the documents: no shuffle and no join.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import held_out, table, written
@@ -45,6 +46,11 @@ def prepared(text: str) -> bytes:
     return f" {text.lower()} ".encode("utf-8", "replace")
 
 
+def cut(data: bytes, most: int) -> bytes:
+    """The first ``most`` bytes, less a character that they would break."""
+    return data[:most].decode("utf-8", "ignore").encode("utf-8")
+
+
 def judge(text: str | None, languages: Languages, compressors: list) -> tuple[str, float, float, bool]:
     """(language, score, margin, accepted).
 
@@ -69,36 +75,40 @@ def fit(
     sample_rows: int = 200,
     level: int = 7,
     margin: float = 0.02,
-    languages: int = 256,
+    all_bytes: int = 64_000_000,
 ) -> Languages:
     """Learns from text and lang of the ``usable`` rows; rows without a lang or without letters teach nothing.
 
-    At most the ``languages`` most frequent languages are learnt, which bounds the model and the sample.
-
-    The sample takes about ``sample_rows`` documents of a language, or all if it has fewer, by the hash of
-    doc_id; their texts, in the order of that hash, are cut to ``dictionary_bytes``.
+    The bounded sample takes about twice ``sample_rows`` documents of a language, or all if it has fewer, by the hash
+    of doc_id. In the order of that hash, texts of more than a quarter of the dictionary last, they fill the dictionary;
+    the text that overfills it is cut at a character. ``dictionary_bytes`` falls where the dictionaries of all
+    languages would take more than ``all_bytes``, but not below 1,000.
     """
     order = F.xxhash64(F.col("doc_id"), F.lit(3))
     known = docs.where(F.col("lang").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
     known = known.where(usable) if usable is not None else known
     known = known.select("lang", "text", order.alias("_h"))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(languages)
+    counts = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "language-counts")
+    dictionary_bytes = min(dictionary_bytes, max(1_000, all_bytes // max(1, counts.count())))
     share = F.lit(2.0 * sample_rows) / F.col("_n")
     drawn = F.shiftrightunsigned("_h", 1).cast("double") / float(1 << 63) < share
-    # about 2 * sample_rows rows a language at most remain before rows of one language meet
-    sample = written(known.join(F.broadcast(counts), "lang").where(drawn).select("lang", "text", "_h"), "languages")
-    text = F.substring("text", 1, dictionary_bytes)
-    parts = sample.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("_h", text.alias("text")))), 1, sample_rows).alias("p"))
-    joined = parts.select("lang", F.substring(F.array_join("p.text", "\n"), 1, dictionary_bytes).alias("text"))
-    joined = joined.join(counts, "lang").orderBy(F.col("_n").desc(), "lang")
-    rows = joined.collect()  # one row of bounded size for each language
-    return Languages([r["lang"] for r in rows], [prepared(r["text"])[:dictionary_bytes] for r in rows], level, margin)
+    # a character takes a byte at least, so no more than this of a text can be used
+    drawn = known.join(counts, "lang").where(drawn).select("lang", "_n", F.substring("text", 1, dictionary_bytes).alias("text"), "_h")
+    size = F.octet_length("text") + 1
+    mine = Window.partitionBy("lang").orderBy(size > dictionary_bytes // 4, "_h", "text").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(size).over(mine), F.lit(0))
+    used = drawn.select("lang", "_n", "text", before.alias("_before")).where(F.col("_before") < dictionary_bytes)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_before", "text"))), lambda x: x["text"]), "\n")
+    rows = used.groupBy("lang", "_n").agg(whole.alias("text")).orderBy(F.col("_n").desc(), "lang").collect()  # all_bytes or so
+    return Languages([r["lang"] for r in rows], [cut(prepared(r["text"]), dictionary_bytes) for r in rows], level, margin)
 
 
 def identify(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, margin, accepted of every row, from its whole text.
 
-    Null texts and those without a letter are 'und' with score 0, as is every text if nothing was learnt.
+    Null and empty texts and those without a letter are 'und' with score 0, as is every text if nothing was learnt.
+    Languages of equal size go by their number of rows, then by name. Repeated rows are rows of their own, other
+    columns are not read, and an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(languages)
 
