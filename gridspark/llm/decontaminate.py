@@ -9,6 +9,8 @@ q-grams with it, all in one band of e + 1 neighbouring diagonals (document posit
 shared q-grams are counted in bands of ``BAND`` + e diagonals that overlap by e; only windows that reach the bound
 in a band are kept, and a banded alignment decides on each. The filter loses nothing.
 
+An item of under q characters has no q-gram; it is found where it stands as a whole word or words, without edits.
+
 The items of a block go to every task in a table of bounded size; a larger benchmark takes several blocks, each
 one more map over the documents. There is no shuffle and no join.
 """
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -89,10 +92,32 @@ class Items:
         need = np.maximum(1, windows + 1 - self.q * (edits + 1))
         found = dict(lengths=lengths, windows=windows, edits=edits, need=need, codes=codes("".join(self.texts)), offset=np.cumsum(lengths) - lengths)
         found |= dict(grams=grams, first=np.append(first, len(gram)), item=item[order], place=place[order], there=there)
+        found["short"] = self._automaton()
         for name, value in found.items():
             object.__setattr__(self, "_" + name, value)
         return self
 
+    def _automaton(self) -> ahocorasick.Automaton | None:
+        """Finds the items that are too short for a q-gram; an item's word ends are told by the spaces around it."""
+        numbers: dict[str, list[int]] = {}
+        for number, text in enumerate(self.texts):
+            if len(text) < self.q:
+                numbers.setdefault(text, []).append(number)
+        short = ahocorasick.Automaton()
+        for text, same in numbers.items():
+            short.add_word(text, (len(text), same))
+        if not numbers:
+            return None
+        short.make_automaton()
+        return short
+
+    def _whole_words(self, text: str) -> Iterator[tuple[int, int]]:
+        """(number, end) of every short item where no letter, digit or underscore adjoins it."""
+        for last, (length, numbers) in self._short.iter(text):
+            around = text[max(0, last - length) : last - length + 1] + text[last + 1 : last + 2]
+            if not any(c.isalnum() or c == "_" for c in around):
+                yield from ((number, last + 1) for number in numbers)
+
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
         return ((h * np.uint64(_P)) >> np.uint64(42)).astype(np.int64)
@@ -165,6 +190,9 @@ class Items:
                         number = int(item[k[j]])
                         row = (int(edits[j]), int(start[k[j]]), low + int(end[j]))
                         best[number] = min(best.get(number, row), row)
+        if self._short:
+            for number, end in self._whole_words(text):
+                best.setdefault(number, (0, 0, end))
         return [
             (self.ids[n], edits, s, s + min(self.window, len(self.texts[n])), end) for n, (edits, s, end) in sorted(best.items())
         ]
@@ -202,14 +230,14 @@ def banded(pattern: np.ndarray, text: np.ndarray, first: np.ndarray, width: int,
 
 
 def item_blocks(benchmark: DataFrame, q: int, window: int, step: int, error_rate: float, block_chars: int) -> Iterator[Items]:
-    """The benchmark in blocks of about ``block_chars``; items without q characters are no evidence of anything."""
+    """The benchmark in blocks of about ``block_chars``; items without a character are no evidence of anything."""
     items = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for k in range(blocks):
         rows = sorted((folded(r["text"]), r["item_id"]) for r in items.where(block == k).collect() if r["item_id"] is not None)
-        rows = [r for r in rows if len(r[0]) >= q]
+        rows = [r for r in rows if r[0]]
         yield Items([i for _, i in rows], [t for t, _ in rows], q, window, step, error_rate)
 
 
@@ -239,8 +267,9 @@ def matches(
     """One row for every document and item that occurs in it: doc_id, item_id, edits, item_start, item_end, doc_end.
 
     The row is that of the window with the fewest edits (ties: the smaller item_start); positions are in the
-    folded texts. Null and empty documents contain nothing, null items and items of under q characters are
-    skipped, items or documents that repeat give their rows again, and without items the result is empty.
+    folded texts. Null and empty documents contain nothing, null and empty items are contained in nothing, documents
+    that repeat give their rows again, items that repeat whole don't, and without items the result is empty. Other
+    columns are not read.
     """
 
     def search(get):
@@ -287,5 +316,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold no passage of the benchmark."""
+    """Pipeline stage: documents that hold no passage of the benchmark.
+
+    Null and empty texts stay, repeated rows share their fate, columns of any name come back as they are; an empty
+    table gives none, and without a benchmark all rows stay.
+    """
     return clean(docs, table(spark, sf_dir, "benchmark"))

@@ -71,6 +71,7 @@ def test_odd_rows_and_columns(spark):
     rows = [(1, item.upper().replace(" ", "\n  "), 5), (2, None, 5), (3, "", 5), (4, item[:50], 5), (5, "é" * 2000 + item, 5), (None, item, 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
     got = D.matches(docs, bench).collect()
+    assert not [r for r in got if r.item_id == 3]
     assert {(r.doc_id, r.item_id, r.edits) for r in got} == {(1, 1, 0), (5, 1, 0), (None, 1, 0)}
     kept = D.clean(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 3, 4}
@@ -84,3 +85,12 @@ def test_banded_is_exact_inside_the_band():
         p, t = ["".join(rnd.choice("ab") for _ in range(n)) for n in (12, 30)]
         cost, _ = D.banded(D.codes(p)[None, :], D.codes(t), np.array([-12]), 54)
         assert cost[0] == sellers(p, t)
+
+
+def test_short_items_are_whole_words(spark):
+    bench = spark.createDataFrame([(1, "Xyzzy"), (2, "c++"), (3, ""), (4, " a  b "), (5, "xyzzy")], "item_id long, text string")
+    rows = [(1, "say XYZZY."), (2, "xyzzyx _xyzzy"), (3, "in c++ and a\tb"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.edits, r.doc_end) for r in D.matches(docs, bench).collect()}
+    assert got == {(1, 1, 0, 9), (1, 5, 0, 9), (3, 2, 0, 6), (3, 4, 0, 14)}
+    assert {r.doc_id for r in D.clean(docs, bench).collect()} == {2, 4, 5}
