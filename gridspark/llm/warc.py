@@ -1,14 +1,15 @@
 """WARC archives with revisit records for repeated payloads.
 
-1. Every page gets a header row (page_id, payload digest, length); payloads stay where they are. The headers are
+1. Every page gets a header row (page_id, url, payload digest, length); payloads stay where they are. The headers are
    grouped by digest to find, for each repeated payload, the capture that stays as the response.
 2. Headers of the other captures join their response on the digest; that join carries no payload, and Spark's
    adaptive skew handling splits a digest that many pages share.
 3. Pages meet their decision on (page_id, digest); a short list of revisits is broadcast, so that no payload moves.
-   Each record is built anew: a response with its payload, or a revisit with fresh headers and none. An archive
-   takes as many records as make about ``archive_bytes``.
-4. Spark's text sink writes the archives: a record is a row, and the row end it adds, CR LF, is the last line end
-   of the record, so the files are plain WARC/1.1. Reading follows Content-Length, whatever payloads contain.
+   Each record is built anew: a response with its payload, or a revisit with fresh headers and none.
+4. A task fills an archive, which a warcinfo record opens, up to ``archive_bytes`` and starts the next; only a record
+   that is longer by itself makes a longer archive. Spark's text sink writes each as one row into one file; the row
+   end it adds, CR LF, is the last line end of the last record, so the files are plain WARC/1.1. Reading follows
+   Content-Length, whatever payloads contain, and a task holds one archive.
 """
 
 from __future__ import annotations
@@ -38,30 +39,46 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode("ascii")
 
 
-def build(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
+    """One record without its last CR LF."""
+    lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in headers), f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode("utf-8") + END + END + block + END
+
+
+def opening(first: bytes) -> bytes:
+    """The warcinfo record of the archive whose first record is given."""
+    block = b"software: gridspark\r\nformat: WARC File Format 1.1\r\n"
+    name = uuid.uuid5(uuid.NAMESPACE_URL, "archive:" + hashlib.sha1(first).hexdigest())
+    kind = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")]
+    return _record(kind, block)
+
+
+def target(url: str | None) -> str:
+    return "".join(c if c > " " else "%20" for c in url or "about:blank")
+
+
+def build(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, refers_url: str | None = None) -> bytes:
     """One record without its last CR LF; a revisit names its response and keeps the payload's length and digest."""
     digest = base32_sha1(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode("ascii")
-    block = http if revisit else http + payload
-    target = "".join(c if c > " " else "%20" for c in url or "about:blank")
-    lines = [
-        "WARC/1.1",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id, digest)}",
-        f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {target}",
-        f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Page-ID: {'' if page_id is None else page_id}",
-        "Content-Type: application/http;msgtype=response",
-        f"Content-Length: {len(block)}",
+    headers = [
+        ("WARC-Type", "revisit" if revisit else "response"),
+        ("WARC-Record-ID", record_id(page_id, digest)),
+        ("WARC-Date", DATE),
+        ("WARC-Target-URI", target(url)),
+        ("WARC-Payload-Digest", f"sha1:{digest}"),
+        ("X-Page-ID", "" if page_id is None else str(page_id)),
+        ("Content-Type", "application/http;msgtype=response"),
     ]
     if revisit:
-        lines += [
-            f"WARC-Profile: {PROFILE}",
-            f"WARC-Refers-To: {record_id(refers_to, digest)}",
-            f"X-Refers-To-Page-ID: {'' if refers_to is None else refers_to}",
+        headers += [
+            ("WARC-Profile", PROFILE),
+            ("WARC-Refers-To", record_id(refers_to, digest)),
+            ("WARC-Refers-To-Target-URI", target(refers_url)),
+            ("WARC-Refers-To-Date", DATE),
+            ("X-Refers-To-Page-ID", "" if refers_to is None else str(refers_to)),
         ]
-    return "\r\n".join(lines).encode("utf-8") + END + END + block + END
+    return _record(headers, http if revisit else http + payload)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -86,50 +103,60 @@ def _payload(html) -> F.Column:
 
 
 def resolve(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, digest, refers_to) of the captures that become revisits; each pair once.
+    """(page_id, digest, refers_to, refers_url) of the captures that become revisits; each once.
 
     Of captures with equal payloads of at least ``least_bytes`` the one with the largest page_id is the response.
     """
     payload = _payload(F.col("html"))
-    headers = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
-    headers = written(headers.where(F.col("bytes") >= least_bytes).select("page_id", "digest"), "headers")
-    shared = headers.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    found = headers.join(shared, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    return found.select("page_id", "digest", "refers_to").distinct()
+    headers = pages.select("page_id", "url", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
+    headers = written(headers.where(F.col("bytes") >= least_bytes).select("page_id", "url", "digest"), "headers")
+    last = F.max(F.struct("page_id", "url"))  # a null page_id is less than any
+    shared = headers.groupBy("digest").agg(last.alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = shared.select("digest", F.col("last.page_id").alias("refers_to"), F.col("last.url").alias("refers_url"))
+    found = headers.select("page_id", "digest").join(shared, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return found.select("page_id", "digest", "refers_to", "refers_url").distinct()
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = 32 << 20) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = 16 << 20) -> None:
     """Writes page_id, url, html as deduplicated archives below ``path``."""
     revisits = written(resolve(pages, least_bytes), "revisits")
-    size = pages.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(_payload(F.col("html"))) + 600).alias("bytes")).first()
-    records_each = max(1, archive_bytes * size["n"] // max(1, size["bytes"] or 0))
     rows = pages.select("page_id", "url", "html", F.sha1(_payload(F.col("html"))).alias("digest"))
-    told = revisits.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to", F.lit(True).alias("revisit"))
-    joined = rows.join(broadcast_if_small(told), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    told = revisits.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to", "refers_url", F.lit(True).alias("revisit"))
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest"))
+    joined = rows.join(broadcast_if_small(told, 250_000), same, "left")
     dealt = joined.select(
         "page_id",
         "url",
         F.coalesce(F.col("html"), F.lit("")).alias("html"),
         "refers_to",
         F.coalesce("revisit", F.lit(False)).alias("revisit"),
+        "refers_url",
     )
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def closed() -> pa.RecordBatch:
+            whole = END.join([opening(held[0]), *held])
+            return pa.RecordBatch.from_arrays([pa.array([whole], pa.large_binary()).cast(pa.binary())], names=["archive"])
+
         for batch in batches:
-            made = [
-                build(page, url, html.as_py().encode("utf-8"), refers, again)
-                for page, url, html, refers, again in zip(
-                    batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()
-                )
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
+            for page, url, html, refers, again, refers_url in zip(*(batch.column(k) for k in range(6))):
+                record = build(page.as_py(), url.as_py(), html.as_py().encode("utf-8"), refers.as_py(), again.as_py(), refers_url.as_py())
+                if held and size + len(record) > archive_bytes:
+                    yield closed()
+                    held, size = [], 0
+                held.append(record)
+                size += len(record) + 2
+        if held:
+            yield closed()
 
-    made = dealt.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
-    made.write.option("lineSep", "\r\n").option("maxRecordsPerFile", records_each).text(path)
+    made = dealt.mapInArrow(archives, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    made.write.option("lineSep", "\r\n").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits) of every record.
+    """page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits) of every capture.
 
     Length and digest of a response are taken from its payload, those of a revisit from its headers.
     """
@@ -139,6 +166,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for data in batch["content"]:
                 for headers, block in parse(data):
+                    if headers["WARC-Type"] == "warcinfo":
+                        continue
                     head, _, payload = block.partition(END + END)
                     number = lambda k: int(headers[k]) if headers.get(k) else None
                     if headers["WARC-Type"] == "response":

@@ -41,3 +41,19 @@ def test_broken_archives_are_told():
         list(warc.parse(warc.build(1, "u", b"abc", None, False) + b"xx"))
     with pytest.raises(ValueError):
         list(warc.parse(b"HTTP/1.1\r\n\r\n"))
+
+
+def test_archives_keep_their_size(spark, tmp_path):
+    rows = [(k, f"http://h/{k}", f"page {k} " * 40) for k in range(3000)] + [(9000, "http://big", "b" * 20_000_000), (9001, None, "b" * 20_000_000)]
+    pages = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "page_id long, url string, html string")
+    got = warc.deduplicated_archives(pages, path=f"{tmp_path}/a", archive_bytes=100_000).drop("payload").collect()
+    assert len(got) == 3002 and {r.page_id: r.refers_to for r in got if r.record_type == "revisit"} == {9000: 9001}
+    sizes = sorted(f.stat().st_size for f in tmp_path.glob("a/part-*"))
+    assert 20_000_000 < sizes[-1] < 20_010_000 and sizes[-2] < 101_000 and len(sizes) > 10
+
+
+def test_records_of_an_archive():
+    data = warc.END.join([warc.opening(b"x"), warc.build(1, "http://a", b"abc", 5, True, "http://b"), b""])
+    (info, fields), (revisit, _) = warc.parse(data)
+    assert info["WARC-Type"] == "warcinfo" and b"software" in fields
+    assert revisit["WARC-Refers-To-Target-URI"] == "http://b" and revisit["WARC-Refers-To-Date"] == warc.DATE
