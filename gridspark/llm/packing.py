@@ -63,16 +63,21 @@ def encoder(path: str):
     def encode(text: str) -> np.ndarray:
         try:
             return fast.encode_to_numpy(text, allowed_special="all")
-        except (KeyboardInterrupt, SystemExit):
-            raise
-        except BaseException:  # the library panics, outside Exception, where its pattern engine runs out of stack
-            from tokenizers import Tokenizer
-
-            return np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        except BaseException as e:  # a panic, where the library's pattern engine runs out of stack, is no Exception
+            if type(e).__name__ != "PanicException":
+                raise
+            return np.array(plain_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     return encode
 
 
+@lru_cache(maxsize=2)
+def plain_tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def piece_bounds(tokens: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of each piece: one if it fits, else pieces of the capacity, of which the first may be shorter."""
     first = tokens % capacity or capacity
@@ -179,5 +184,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the placed pieces of all documents."""
+    """Pipeline stage, the last: the placed pieces of all documents.
+
+    Null and empty texts are one token each; rows that repeat a doc_id are documents of their own. Other columns are
+    not read, so no name clashes. An empty table gives an empty result.
+    """
     return pack_documents(docs)

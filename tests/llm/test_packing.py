@@ -78,3 +78,24 @@ def test_few_sequences_and_empty_table(spark):
 def test_public_file_is_the_default():
     pytest.importorskip("public_tokenizers")
     assert packing.default_vocabulary().endswith("byte_bpe_50k.json")
+
+
+def test_only_a_panic_falls_back(monkeypatch):
+    import tiktoken
+
+    class PanicException(BaseException):
+        pass
+
+    path = packing.default_vocabulary()
+    whole = Tokenizer.from_file(path)
+    for error, falls_back in ((PanicException, True), (MemoryError, False), (KeyboardInterrupt, False)):
+        def fail(*_, error=error, **__):
+            raise error
+        monkeypatch.setattr(tiktoken.Encoding, "encode_to_numpy", fail)
+        packing.encoder.cache_clear()
+        if falls_back:
+            assert packing.encoder(path)("naïve text").tolist() == whole.encode("naïve text", add_special_tokens=False).ids
+        else:
+            with pytest.raises(error):
+                packing.encoder(path)("naïve text")
+    packing.encoder.cache_clear()
