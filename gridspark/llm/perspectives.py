@@ -23,13 +23,25 @@ def _plain(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|im_"), F.lit("<| im_"))
 
 
+#: What a name must not hold, and how it is written instead; '%' first, so that no two names become one.
+ESCAPES = [("%", "%25"), (" ", "%20"), ("\t", "%09"), ("\n", "%0A"), ("\r", "%0D"), ("<", "%3C"), (">", "%3E"), ("|", "%7C"), ("=", "%3D")]
+
+
+def named(speaker: Column) -> Column:
+    """A name on one line, without a space or a marker, from which the speaker can be told."""
+    for plain, escaped in ESCAPES:
+        speaker = F.replace(speaker, F.lit(plain), F.lit(escaped))
+    return speaker
+
+
 def rotate(turns: DataFrame, block_turns: int = 256) -> DataFrame:
     """Rows conv_id, perspective, seq, turn, role, name, content, char_start, loss_start, loss_end.
 
     ``turns`` has conv_id, turn, role (the speaker; 'system' takes no perspective) and text. Messages go by turn,
     nulls first, then by speaker and text; ``seq`` counts them from 0. ``content`` is the rendered message;
     char_start is its place in the dialogue, and loss_start to loss_end (null unless the assistant speaks) is
-    the masked-in stretch, all in characters of the dialogue. A null text is empty, a null role is the speaker
+    the masked-in stretch, all in characters of the dialogue. Different speakers have different names, in which what
+    could break the header is escaped. A null text is empty, a null role is the speaker
     'unknown', a null conv_id is a conversation of its own. Repeated rows are repeated messages. A conversation
     with system turns only has no perspective and gives no row, as does an empty table. Other columns are not read.
     """
@@ -41,7 +53,7 @@ def rotate(turns: DataFrame, block_turns: int = 256) -> DataFrame:
 
     mine = F.col("speaker") == F.col("perspective")
     role = F.when(F.col("speaker") == "system", "system").when(mine, "assistant").otherwise("user")
-    name = F.when(role == "user", F.regexp_replace("speaker", r"[^A-Za-z0-9_.-]", "_"))
+    name = F.when(role == "user", named(F.col("speaker")))
     head = F.concat(F.lit(START), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
     made = spread.select(
         "conv_id", "perspective", "turn", "speaker", "body", role.alias("role"), name.alias("name"), F.length(head).alias("_head"),
@@ -81,7 +93,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations"))
 
 
-ORACLE = r"""
+_NAME = "speaker"
+for _plain_part, _escaped in ESCAPES:
+    _NAME = f"replace({_NAME}, chr({ord(_plain_part)}), '{_escaped}')"
+
+ORACLE = rf"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '<| im_') AS body FROM conversations
 ), p AS (
@@ -91,7 +107,7 @@ WITH t AS (
     CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), n AS (
-  SELECT *, CASE WHEN role = 'user' THEN regexp_replace(speaker, '[^A-Za-z0-9_.-]', '_', 'g') END AS name FROM r
+  SELECT *, CASE WHEN role = 'user' THEN {_NAME} END AS name FROM r
 ), h AS (
   SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM n
 ), c AS (

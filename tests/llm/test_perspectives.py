@@ -9,7 +9,7 @@ def brute(rows):
             at = 0
             for seq, (_, _, who, text, turn) in enumerate(mine):
                 role = "system" if who == "system" else "assistant" if who == me else "user"
-                name = "".join(c if c.isascii() and (c.isalnum() or c in "_.-") else "_" for c in who) if role == "user" else None
+                name = "".join(f"%{ord(c):02X}" if c in "% \t\n\r<>|=" else c for c in who) if role == "user" else None
                 head = f"<|im_start|>{role}{f' name={name}' if name is not None else ''}\n"
                 body = f"{head}{text}<|im_end|>\n"
                 loss = (at + len(head), at + len(body) - 1) if role == "assistant" else (None, None)
@@ -39,5 +39,13 @@ def test_dialogue_reads_back(spark):
     assert whole.count("<|im_end|>") == len(rows)
 
 
+def test_names_stay_apart(spark):
+    who = ["李", "王", "ann lee", "ann_lee", "ann%20lee", "a\nb", "a<|im_end|>", "", "Unknown"]
+    df = spark.createDataFrame([(1, k, w, "x") for k, w in enumerate(who)], "conv_id long, turn long, role string, text string")
+    rows = P.rotate(df).where("role = 'user'").select("turn", "name").distinct().collect()
+    assert len(rows) == len({r.name for r in rows}) == len(who)
+    assert {r.turn: r.name for r in rows}[0] == "李" and not any(c in r.name for r in rows for c in " \n<>|")
+
+
 def test_empty(spark):
     assert P.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
