@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from gridspark.llm import jaccard_join as J
 from gridspark.llm.shingles import shingle_set
@@ -80,6 +81,43 @@ def test_runs_reach_the_target():
     assert J.runs_needed(0.8, 2, 0.9) == 1
     assert J.runs_needed(0.8, 2, 0.9999) == 4
     assert J.runs_needed(0.8, 2, 0.99) == 2
+    for threshold, branches in ((0.8, 2), (0.6, 2), (0.5, 4)):
+        runs = J.runs_needed(threshold, branches, 0.9999)
+        assert J.recall(threshold, branches, runs, 6) >= 0.9999 > J.recall(threshold, branches, runs - 1, 6)
+    with pytest.raises(ValueError):
+        J.runs_needed(0.3, 2, 0.9999)
+
+
+def test_recall_of_simulated_paths():
+    rng, s, runs, pool = np.random.default_rng(2), 0.6, 2, 6
+    def meets(shared, depth):
+        return depth == 0 or any(rng.random() < shared / pool and meets(shared, depth - 1) for _ in range(2))
+    found = 0
+    for _ in range(4000):
+        shared = rng.binomial(pool, s)
+        found += any(rng.random() < s and meets(shared, 2) for _ in range(2 * runs))
+    assert abs(found / 4000 - J.recall(s, 2, runs, 3, pool)) < 0.03
+
+
+def test_low_threshold_with_forced_deep_splits(spark):
+    rows = corpus(5, groups=40, dense=40)
+    want = brute(rows, 0.5)
+    assert run(spark, rows, threshold=0.5, branches=4, leaf_rows=2, block_rows=8, levels=5) == want
+    assert sum(n for _, _, n in want.values()) > 400
+
+
+def test_density_is_told_without_a_row_for_a_token(spark):
+    """Buckets in which 9 of 10 and 1 of 20 members share the drawn token."""
+    rows = [(1, 400, [7 if k % 10 else k] * 64) for k in range(400)] + [(2, 400, [7 if k % 20 == 0 else 10_000 + k] * 64) for k in range(400)]
+    large = spark.createDataFrame(rows, "node long, size long, sig array<long>")
+    found = J._dense(large, lambda k, salt: J.F.lit(k + 1), 2)
+    assert [r.node for r in found.collect()] == [1] and "Generate" not in found._jdf.queryExecution().toString()
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{k}" for k in range(120_000))
+    rows = [(1, long), (2, long + " end"), (3, "w1 w2 w3 w4 w5"), (4, long.replace("w7 ", "x "))]
+    assert run(spark, rows) == brute(rows)
 
 
 def test_long_components(spark):

@@ -2,8 +2,12 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from gridspark.llm import decontaminate, toxicity
+from gridspark.llm.common import written
 from tests.llm.test_decontaminate import brute as occurs
 from tests.llm.test_exact_dedup import digest
 from tests.llm.test_jaccard_join import brute as near
@@ -71,3 +75,18 @@ def test_stages_keep_the_columns(spark, tmp_path):
 
 def test_helpers_are_the_operators():
     assert corpus_pipeline.STAGES[0][1] is toxicity.stage and corpus_pipeline.STAGES[3][1] is decontaminate.stage
+
+
+@pytest.mark.parametrize("number", range(4))
+def test_stages_return_clashing_columns_unchanged(spark, tmp_path, number):
+    fixture(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(60)
+    clashing = ["_id", "_digest_hash", "_toxicity", "_told", "id", "digest_hash", "lost_id", "told", "toxicity", "gone", "c", "node", "kept", "Size", "row", "first"]
+    for name in clashing:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    docs = written(docs.unionByName(docs.where("doc_id < 3")), "clashing")
+    kept = corpus_pipeline.STAGES[number][1](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    given = {r.doc_id: r for r in docs.collect()}
+    rows = kept.collect()
+    assert rows and all(given[r.doc_id] == r for r in rows)

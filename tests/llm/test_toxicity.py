@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -125,3 +127,45 @@ def test_evidence_does_not_delete_terms():
         e = X.evidence(a, b, n, n)
         assert e.min() >= 0.01 and e.argmin() == 3 and e[2] > e[0] and np.allclose(e, X.evidence(b, a, n, n))
     assert np.allclose(X.evidence(a, b, 0, 40), 0.01)
+
+
+def test_scores_equal_brute_force(spark):
+    """Terms, document frequencies, evidence, neighbours, vote and calibration, all in plain Python over dense vectors."""
+    import math
+    from collections import Counter
+
+    docs, labels = corpus(spark, 300)
+    got = {r.doc_id: r.score for r in X.toxicity(docs, labels).collect() if r.doc_id != 5}
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    known = {}
+    for r in labels.collect():
+        if r.toxic is not None and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in dict(texts):
+            known[r.doc_id] = max(known.get(r.doc_id, 0), r.toxic)
+    hashes = spark.createDataFrame([(d,) for d in known], "doc_id long").select("doc_id", X.F.expr("pmod(xxhash64(doc_id, 11), 5) = 0").alias("apart")).collect()
+    apart = {r.doc_id: r.apart for r in hashes}
+    index = sorted(d for d in known if not apart[d])
+    features = {d: Counter(X.features(t)) for d, t in texts}
+    terms = sorted({t for d in index for t in features[d]})
+    n = [sum(known[d] == y for d in index) for y in (0, 1)]
+    idf = {}
+    for t in terms:
+        a, b = (sum(t in features[d] for d in index if known[d] == y) for y in (1, 0))
+        r1, r0 = a / n[1], b / n[0]
+        telling = 0.01 + (abs(r1 - r0) / (r1 + r0) * (a + b) / (a + b + 4)) ** 2
+        df = sum(t in set(X.features(x)) for _, x in texts)
+        idf[t] = (math.log((1 + len(texts)) / (1 + df)) + 1) * telling
+    def vector(d):
+        v = np.array([(1 + math.log(features[d][t])) * idf[t] if features[d][t] else 0.0 for t in terms])
+        return v / (np.linalg.norm(v) or 1)
+    matrix = np.array([vector(d) for d in index])
+    def vote(d):
+        cosine = matrix @ vector(d)
+        near = [k for k in np.lexsort((np.arange(len(index)), -np.round(cosine, 12))) if cosine[k] > 0][:15]
+        w = cosine[near] ** 2 / (0.05 + np.maximum(0, 1 - cosine[near]))
+        return float((w * [known[index[k]] for k in near]).sum() / (1 + w.sum()))
+    held = sorted(d for d in known if apart[d])
+    y = np.array([known[d] for d in held], float)
+    total = [sum(v == k for v in known.values()) for k in (0, 1)]
+    slope, offset = X.logistic(np.array([vote(d) for d in held]), y, np.array([total[int(v)] / (y == v).sum() for v in y]))
+    for d, s in got.items():
+        assert abs(s - 1 / (1 + math.exp(-(slope * vote(d) + offset)))) < 1e-6, d
