@@ -26,13 +26,13 @@ def sort(t: TensorFrame, axis: int | None = None) -> TensorFrame:
     if not t.rank:
         return t
     if axis is None:
-        df = ranked(t.df.select(t.flat().alias("_k"), "v"), _lead(t, False), _order(t, F.col("_k"), False), t.num_elements, "k")
+        df = ranked(t.df.select(t.flat().alias("_k"), "v"), _lead(t, False), _order(t, F.col("_k"), False), t.num_elements, "k", F.col("_k"))
         return t.with_df(from_flat(df, t.shape))
     axis = shapes.axis_of(axis, t.rank, "sort")
     others = [c for d, c in enumerate(t.coords) if d != axis]
     w = Window.partitionBy(*others or [F.lit(0)]).orderBy(*_order(t, F.col(f"i{axis}"), False))
     if not others:
-        df = ranked(t.df, _lead(t, False), _order(t, F.col("i0"), False), t.num_elements, "_k")
+        df = ranked(t.df, _lead(t, False), _order(t, F.col("i0"), False), t.num_elements, "_k", F.col("i0"))
     else:
         df = t.df.withColumn("_k", (F.row_number().over(w) - 1).cast("long"))
     return t.with_df(df.select(*[F.col("_k" if d == axis else c).alias(c) for d, c in enumerate(t.coords)], "v"))
@@ -45,7 +45,7 @@ def argsort(t: TensorFrame, axis: int | None = None, descending: bool = False) -
     if axis is not None:
         axis = shapes.axis_of(axis, t.rank, "argsort")
     if whole:
-        df = ranked(t.df.select(t.flat().alias("_at"), "v"), _lead(t, descending), _order(t, F.col("_at"), descending), t.num_elements, "i0")
+        df = ranked(t.df.select(t.flat().alias("_at"), "v"), _lead(t, descending), _order(t, F.col("_at"), descending), t.num_elements, "i0", F.col("_at"))
         out = df.select("i0", F.col("_at").cast(TensorFrame(dtype=UINT64).sql_type).alias("v"))
         return t.with_df(out, (t.num_elements,), UINT64)
     others = [c for d, c in enumerate(t.coords) if d != axis]

@@ -6,11 +6,15 @@ window inside each block adds the rest. All blocks work at once.
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 65_536
-MAX_BOUNDS = 1_000
+#: Bounds that the blocks of a ranking have at most; a search for a row's block looks at twice the square root of it.
+MAX_BOUNDS = 4_096
 
 
 def running_sum(df: DataFrame, keys: list[str], at: Column, length: int, value: str, name: str, kind: str, block: int = BLOCK) -> DataFrame:
@@ -26,33 +30,64 @@ def running_sum(df: DataFrame, keys: list[str], at: Column, length: int, value:
     return inside.join(offsets, [*keys, "_block"]).withColumn(name, (F.col("_own") + F.col("_before")).cast(kind)).drop("_block", "_own", "_before")
 
 
-def ranked(df: DataFrame, lead: Column, order: list[Column], rows: int, name: str, block: int = BLOCK) -> DataFrame:
+def _literals(values: list, kind: str) -> Column:
+    """An array of numbers as one constant."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
+def _below(value: Column, bounds: list[float]) -> Column:
+    """How many of the rising bounds lie below the value: among every width-th bound first, then among the few after it."""
+    width = max(1, int(len(bounds) ** 0.5))
+    coarse = F.size(F.filter(_literals(bounds[width - 1 :: width], "double"), lambda b: b < value))
+    fine = F.slice(_literals(bounds, "double"), coarse * width + 1, F.lit(width))
+    return coarse * width + F.size(F.filter(fine, lambda b: b < value))
+
+
+def dealt(df: DataFrame, lead: Column, rows: int, at: Column | None, block: int) -> DataFrame:
+    """``df`` with ``_block``, rising with ``lead`` (a double, NaN last) and, among equal leads, with ``at`` if it is given.
+
+    Bounds are percentiles of the lead. Equal leads share a block, unless ``at`` (0 to ``rows`` - 1) tells them apart:
+    then a lead that holds several blocks' rows, and NaN, are split evenly by it.
+    """
+    parts = min(MAX_BOUNDS, -(-2 * rows // block))
+    nan = F.isnan(lead)
+    shares = _literals([k / parts for k in range(1, parts)], "double")
+    found = df.agg(F.percentile_approx(F.when(~nan, lead), shares, F.lit(10_000)).alias("bounds"), F.count_if(nan).alias("nan")).first()
+    often = Counter(found["bounds"] or [])
+    bounds = sorted(often)
+    number = F.when(nan, F.lit(len(bounds) + 1)).otherwise(_below(lead, bounds))
+    if at is None:
+        return df.withColumn("_block", number)
+    # a bound that comes k times is a value of k - 1 blocks' rows at least
+    split = [*(often[b] for b in bounds), 1, max(1, -(-found["nan"] * parts // rows))]
+    first = list(accumulate(split, initial=0))[:-1]
+    of_block = lambda numbers, kind: F.get(_literals(numbers, kind), F.col("_block"))
+    held = lead.eqNullSafe(of_block(bounds, "double")) | nan
+    among = F.floor(at / F.lit(float(rows)) * of_block(split, "int")).cast("int")
+    # what lies below the value that a block ends with comes before it
+    return df.withColumn("_block", number).withColumn("_block", of_block(first, "int") * 2 + F.when(held, among * 2 + 1).otherwise(F.lit(0)))
+
+
+def ranked(df: DataFrame, lead: Column, order: list[Column], rows: int, name: str, at: Column | None = None, block: int = BLOCK) -> DataFrame:
     """``df`` with ``name``: the position, from 0, by ``order``, of which ``lead`` (a double, NaN last) is the first key.
 
-    ``lead`` must rise with ``order``. Bounds for the blocks are percentiles of it, so equal leads share a block.
+    ``lead`` must rise with ``order``, and so must ``at`` among equal leads, if given: a number from 0 to ``rows`` - 1.
     """
     if rows <= block:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).cast("long"))
-    parts = min(MAX_BOUNDS, -(-2 * rows // block))
-    shares = F.array(*[F.lit(k / parts) for k in range(1, parts)])
-    finite = F.when(~F.isnan(lead), lead)
-    bounds = df.agg(F.percentile_approx(finite, shares, F.lit(10_000)).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
-    where = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    number = F.when(F.isnan(lead), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(where, lambda b: b < lead)))
-    dealt = df.withColumn("_block", number)
-    counts = {r["_block"]: r["n"] for r in dealt.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()}  # MAX_BOUNDS rows
-    starts = [sum(n for b, n in counts.items() if b < k) for k in range(len(bounds) + 2)]
+    blocks = dealt(df, lead, rows, at, block)
+    counts = blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).orderBy("_block").collect()  # some MAX_BOUNDS rows
+    start = dict(zip((r["_block"] for r in counts), accumulate((r["n"] for r in counts), initial=0)))
+    starts = _literals([start.get(b, 0) for b in range(max(start, default=0) + 1)], "bigint")
     inside = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
     # a projection, so that what does not use the position does not pay for it
-    before = F.element_at(F.array(*[F.lit(n).cast("long") for n in starts]), F.col("_block") + 1)
-    return dealt.withColumn(name, (inside + before - 1).cast("long")).drop("_block")
+    return blocks.withColumn(name, (inside + F.get(starts, F.col("_block")) - 1).cast("long")).drop("_block")
 
 
-def numbered(df: DataFrame, order: list[str], name: str, block: int = BLOCK) -> DataFrame:
-    """``df`` with dense row numbers by ``order`` (ascending, nulls first); the first column is numeric.
+def numbered(df: DataFrame, order: list[str], name: str, rows: int, block: int = BLOCK) -> DataFrame:
+    """``df``, of ``rows`` rows, with dense row numbers by ``order`` (ascending, nulls first); the first column is numeric.
 
     Rows that are equal in all of ``order`` are interchangeable.
     """
     lead = F.coalesce(F.col(order[0]).cast("double"), F.lit(float("-inf")))
-    return ranked(df, lead, [F.col(c).asc_nulls_first() for c in order], df.count(), name, block)
+    return ranked(df, lead, [F.col(c).asc_nulls_first() for c in order], rows, name, block=block)

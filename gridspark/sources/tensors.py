@@ -70,13 +70,15 @@ def from_columns(df: DataFrame, key: str, columns: list[str], rows: int) -> Tens
 def from_table(df: DataFrame, order: list[str], columns: list[str]) -> TensorFrame:
     """A matrix of a table without a dense key: rows go by ``order``, of which the first column is numeric."""
     kept = df.select(*dict.fromkeys([*order, *columns]))
-    return from_columns(numbered(kept, order, "_row"), "_row", columns, max(1, df.count()))
+    rows = df.count()
+    return from_columns(numbered(kept, order, "_row", rows), "_row", columns, max(1, rows))
 
 
 def to_table(t: TensorFrame) -> DataFrame:
-    """The rows of a matrix with a column for each of its columns; of other tensors the long form."""
-    if t.rank != 2 or t.shape[1] > 1024:
+    """The rows of a matrix with a column for each of its columns, of which there may be 1,024; of other tensors the long form."""
+    if t.rank != 2:
         return t.df
+    require(t.shape[1] <= 1024, ValidationError, "to_table", f"a table of {t.shape[1]} columns is too wide; use the long form, df")
     cells = [F.max(F.when(F.col("i1") == k, F.col("v"))).alias(f"c{k}") for k in range(t.shape[1])]
     return t.df.groupBy("i0").agg(*cells)
 

@@ -192,13 +192,51 @@ def test_blocked_scans_equal_plain_ones(spark, monkeypatch):
     v[::97] = np.nan
     x = T.from_values(spark, v)
     want = np.argsort(np.where(np.isnan(v), np.inf, v), kind="stable")
-    monkeypatch.setattr(scan.ranked, "__defaults__", (50,))
+    monkeypatch.setattr(scan.ranked, "__defaults__", (None, 50))
     same(order.argsort(x), want)
+    falling = np.argsort(np.where(np.isnan(v), np.inf, -v), kind="stable")
+    same(order.argsort(x, None, True), falling)
+    same(order.sort(x), np.sort(v))
     whole = np.arange(1.0, 501)
     monkeypatch.setattr(scan.running_sum, "__defaults__", (37,))
     same(reduce.cumsum(T.from_values(spark, whole)), whole.cumsum())
 
 
+@pytest.mark.parametrize("kind", ["equal", "half NaN", "mixed", "infinite"])
+def test_ties_are_split_over_blocks(spark, kind):
+    from pyspark.sql import functions as F
+
+    from gridspark.plans import scan
+
+    rng = np.random.default_rng(4)
+    n = 4000
+    v = {"equal": np.full(n, 3.0), "half NaN": np.where(np.arange(n) % 2, math.nan, np.arange(n) % 7), "mixed": np.where(rng.random(n) < 0.6, 5.0, rng.normal(size=n)), "infinite": np.where(rng.random(n) < 0.5, math.inf, -math.inf)}[kind]
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "k long, v double")
+    got = scan.ranked(df, F.col("v"), [F.isnan("v"), F.col("v"), F.col("k")], n, "at", F.col("k"), block=200)
+    rows = got.select("k", "at").toPandas().sort_values("at")
+    assert rows["at"].tolist() == list(range(n)) and rows["k"].tolist() == np.argsort(np.where(np.isnan(v), np.inf if kind != "infinite" else 0, v), kind="stable").tolist()
+    sizes = [r["count"] for r in scan.dealt(df, F.col("v"), n, F.col("k"), 200).groupBy("_block").count().collect()]
+    assert max(sizes) <= 2 * 200 and sum(sizes) == n
+
+
+def test_graph_edge_remembers_its_result(spark):
+    from gridspark.operators.autograd import AddEdge
+
+    x = T.from_values(spark, [1.0])
+    edge = AddEdge((x, x), x)
+    assert edge.output is x and AddEdge((x, x)).output is None
+
+
+def test_too_wide_a_table_is_an_error(spark):
+    with pytest.raises(ValidationError):
+        T.to_table(T.zeros(spark, (2, 1025)))
+
+
+def test_moving_back_gives_the_cache_back(spark):
+    here = T.arange(spark, 10.0).to("HOST")
+    assert here.df.storageLevel.useMemory and not here.to("DEVICE").df.storageLevel.useMemory
+
+
 def test_sources(spark):
     same(T.arange(spark, 0, 1, 0.2), [0, 0.2, 0.4, 0.6, 0.8])
     same(T.arange(spark, 5.0, 0.0), [0])
