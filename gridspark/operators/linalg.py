@@ -18,8 +18,12 @@ from gridspark.plans import shapes
 
 #: Products of elements from which a matrix product multiplies blocks instead of pairing elements.
 BLOCK_PRODUCTS = 2_000_000
-#: Elements of one operand in one block.
+#: Elements of one operand in one block, and of one block's product.
 BLOCK_ELEMENTS = 1_000_000
+#: Rows, and columns, of one block's product.
+TILE = 1_000
+#: Events up to which covariances are sums of products in one aggregate.
+FEW_EVENTS = 16
 
 
 def matmul(a: TensorFrame, b: TensorFrame) -> TensorFrame:
@@ -36,7 +40,7 @@ def matmul(a: TensorFrame, b: TensorFrame) -> TensorFrame:
     batch = shapes.broadcast([left.shape[:-2] or (1,), right.shape[:-2] or (1,)], "matmul") if max(left.rank, right.rank) > 2 else ()
     m, k, n = left.shape[-2], left.shape[-1], right.shape[-1]
     sides = [_side(left, batch, 0), _side(right, batch, 1)]
-    if a.is_float and prod(batch) * m * k * n > BLOCK_PRODUCTS and m * n <= BLOCK_ELEMENTS:
+    if a.is_float and prod(batch) * m * k * n > BLOCK_PRODUCTS:
         df = _blocks(*sides, left, right, batch, m, k, n)
     else:
         df = _pairs(*sides, a.is_float, batch)
@@ -80,36 +84,47 @@ def _batch_column(d: int, axes_a: list[int], axes_b: list[int]):
 
 
 def _blocks(left, right, a: TensorFrame, b: TensorFrame, batch: shapes.Shape, m: int, k: int, n: int) -> DataFrame:
-    """Stretches of the inner axis meet as dense blocks, and NumPy multiplies them; the partial products are summed.
+    """Tiles of the outer axes and of the inner one meet as dense blocks, and NumPy multiplies them; partial products are summed.
 
-    A group holds a block of each side, of about BLOCK_ELEMENTS elements, whatever the inner axis' length.
+    A group holds a block of each side, of about BLOCK_ELEMENTS elements at most, whatever the axes' lengths. An
+    element goes to as many groups as the other side has tiles.
     """
     (x, axes_a), (y, axes_b) = left, right
-    width = max(1, min(k, BLOCK_ELEMENTS // max(m, n)))
+    high, wide = min(m, TILE), min(n, TILE)
+    width = max(1, min(k, BLOCK_ELEMENTS // max(high, wide)))
+    tiles = -(-m // high), -(-n // wide)
     every = sorted({*axes_a, *axes_b})
 
+    def repeated(df: DataFrame, name: str, times: int) -> DataFrame:
+        return df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))) if times > 1 else F.lit(0).cast("long"))
+
     def spread(df: DataFrame, number: int, axes: list[int]) -> DataFrame:
         for d in every:
             if d not in axes:  # the other side extends along this axis: repeat over it
-                df = df.withColumn(f"_{number}_{d}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batch[d] - 1).cast("long"))))
+                df = repeated(df, f"_{number}_{d}", batch[d])
+        mine, other, size = ("rows", "columns", high) if number == 0 else ("columns", "rows", wide)
+        df = repeated(df.withColumn(mine, F.floor(F.col(f"_o{number}") / F.lit(size))), other, tiles[1 - number])
         renamed = [F.col(f"_{number}_{d}").alias(f"b{d}") for d in every]
-        return df.select(*renamed, F.floor(F.col(f"_k{number}") / F.lit(width)).alias("part"), F.col(f"_o{number}").alias("o"), F.col(f"_k{number}").alias("k"), F.col(f"_v{number}").alias("v"))
+        inner = F.floor(F.col(f"_k{number}") / F.lit(width)).alias("part")
+        return df.select(*renamed, "rows", "columns", inner, F.col(f"_o{number}").alias("o"), F.col(f"_k{number}").alias("k"), F.col(f"_v{number}").alias("v"))
 
-    keys = [*[f"b{d}" for d in every], "part"]
+    keys = [*[f"b{d}" for d in every], "rows", "columns", "part"]
 
     def multiply(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        low = int(key[-1]) * width
-        u, w = np.zeros((m, width)), np.zeros((width, n))
-        u[p["o"].to_numpy(), p["k"].to_numpy() - low] = p["v"].to_numpy()
-        w[q["k"].to_numpy() - low, q["o"].to_numpy()] = q["v"].to_numpy()
-        r, c = np.divmod(np.arange(m * n), n)
-        out = {f"b{d}": x for d, x in zip(every, key)} | {"r": r, "c": c, "v": (u @ w).ravel()}
-        return pd.DataFrame(out)
+        row, column, low = (int(x) * size for x, size in zip(key[-3:], (high, wide, width)))
+        u, w = np.zeros((min(high, m - row), width)), np.zeros((width, min(wide, n - column)))
+        u[p["o"].to_numpy() - row, p["k"].to_numpy() - low] = p["v"].to_numpy()
+        w[q["k"].to_numpy() - low, q["o"].to_numpy() - column] = q["v"].to_numpy()
+        product = u @ w
+        r, c = np.divmod(np.arange(product.size), product.shape[1])
+        return pd.DataFrame({f"b{d}": x for d, x in zip(every, key)} | {"r": r + row, "c": c + column, "v": product.ravel()})
 
     schema = ", ".join([*[f"b{d} long" for d in every], "r long", "c long", "v double"])
     parts = spread(x, 0, axes_a).groupBy(*keys).cogroup(spread(y, 1, axes_b).groupBy(*keys)).applyInPandas(multiply, schema)
     coords = [F.col(f"b{d}").alias(f"i{d}") if d in every else F.lit(0).cast("long").alias(f"i{d}") for d in range(len(batch))]
     rows = parts.select(*coords, F.col("r").alias(f"i{len(batch)}"), F.col("c").alias(f"i{len(batch) + 1}"), "v")
+    if k <= width:  # each element of the product comes from one group
+        return rows.withColumn("v", finite(F.col("v"), "matmul"))
     return rows.groupBy(*[f"i{d}" for d in range(len(batch) + 2)]).agg(finite(F.sum("v"), "matmul").alias("v"))
 
 
@@ -130,6 +145,8 @@ def cov(t: TensorFrame, sample_axes: list[int] | None = None, event_axes: list[i
     n, e = prod(t.shape[d] for d in samples), prod(t.shape[d] for d in events)
     require(0 <= ddof < n, ValidationError, where, f"ddof {ddof} with {n} samples")
     flat = structure.reshape(structure.transpose(t, [*batch, *samples, *events]), (*[t.shape[d] for d in batch], n, e))
+    if e <= FEW_EVENTS:
+        return _few_events(flat, n, e, ddof)
     centered = reduce.center(flat, -2)
     last = list(range(flat.rank))
     turned = structure.transpose(centered, [*last[:-2], last[-1], last[-2]])
@@ -137,6 +154,22 @@ def cov(t: TensorFrame, sample_axes: list[int] | None = None, event_axes: list[i
     return product.map(lambda v: finite(v / F.lit(float(n - ddof)), where))
 
 
+def _few_events(t: TensorFrame, n: int, e: int, ddof: int) -> TensorFrame:
+    """Each sample's events side by side, then one aggregate of all pairs' co-moments, which merge without losing digits."""
+    *batch, sample, event = t.coords
+    value = no_nan(F.col("v"), "cov")
+    wide = t.df.groupBy(*batch, sample).agg(*[F.max(F.when(F.col(event) == k, value)).alias(f"_{k}") for k in range(e)])
+    pairs = [(a, b) for a in range(e) for b in range(a, e)]
+    moments = wide.groupBy(*batch).agg(*[F.covar_pop(f"_{a}", f"_{b}").alias(f"_{a}_{b}") for a, b in pairs])
+    cells = [
+        F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.col(f"_{min(a, b)}_{max(a, b)}").alias("v"))
+        for a in range(e) for b in range(e)
+    ]
+    long = moments.select(*batch, F.explode(F.array(*cells)).alias("x"))
+    out = long.select(*batch, F.col("x.a").alias(sample), F.col("x.b").alias(event), finite(F.col("x.v") * F.lit(n / (n - ddof)), "cov").alias("v"))
+    return t.with_df(out, (*t.shape[:-2], e, e))
+
+
 def jacobi(a: np.ndarray, max_iters: int = 100, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues, in the order the rotations leave them, and eigenvectors (columns) of a symmetric matrix.
 

@@ -239,3 +239,34 @@ def test_empty_operands(t):
     for f in (elementwise.sqrt, reduce.mean, ml.softmax, linalg.eig, ml.pca):
         with pytest.raises(ValidationError):
             f(EMPTY)
+
+
+def test_tiles_of_both_outer_axes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(23, 17)), rng.normal(size=(17, 31))
+    batch = rng.normal(size=(2, 9, 6))
+    for name, value in (("BLOCK_PRODUCTS", 0), ("TILE", 7), ("BLOCK_ELEMENTS", 40)):
+        monkeypatch.setattr(linalg, name, value)
+    made = lambda x: T.from_values(spark, x)
+    assert np.allclose(linalg.matmul(made(a), made(b)).to_numpy(), a @ b)
+    assert np.allclose(linalg.matmul(made(batch), made(batch[0].T)).to_numpy(), batch @ batch[0].T)
+
+
+def test_few_and_many_events_agree(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = 1e6 + rng.normal(size=(3, 40, 5)) * [1, 2, 3, 0.5, 1e-3]
+    want = np.stack([np.cov(m.T) for m in x])
+    for few in (16, 0):
+        monkeypatch.setattr(linalg, "FEW_EVENTS", few)
+        got = linalg.cov(T.from_values(spark, x), ddof=1).to_numpy()
+        assert np.allclose(got, want, rtol=1e-6, atol=1e-8)
+
+
+def test_covariance_spectrum_equals_numpy(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(50, 12)) @ rng.normal(size=(12, 12))
+    values, vectors = linalg.eig(linalg.cov(T.from_values(spark, x)))
+    v, q = values.to_numpy().ravel(), vectors.to_numpy()
+    c = np.cov(x.T, ddof=0)
+    assert np.allclose(np.sort(v), np.linalg.eigvalsh(c)) and np.isclose(v.sum(), np.trace(c))
+    assert np.allclose(q.T @ q, np.eye(12)) and np.allclose(c @ q, q * v)
