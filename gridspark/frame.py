@@ -207,12 +207,12 @@ class TensorFrame:
         return replace(self, is_view=False)
 
     def to(self, location: str) -> TensorFrame:
-        """HOST keeps the elements cached close by; DEVICE leaves them distributed as the plan has them."""
+        """HOST keeps the elements cached close by; DEVICE gives the cache back and leaves them as the plan has them."""
         require(bool(self.shape) and not self.is_view, ValidationError, "to", "a view or an empty tensor can't move")
         require(location in ("HOST", "DEVICE"), ValidationError, "to", f"no location {location}")
         if location == self.memory_location:
             return self
-        return replace(self, df=self.df.cache() if location == "HOST" else self.df, memory_location=location)
+        return replace(self, df=self.df.cache() if location == "HOST" else self.df.unpersist(), memory_location=location)
 
 
 EMPTY = TensorFrame()

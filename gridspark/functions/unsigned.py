@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,4 +45,10 @@ def from_bits(x: Column) -> Column:
 
 @pandas_udf(DecimalType(20, 0))
 def power(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([pow(int(x), int(y), MODULUS) for x, y in zip(a, b)], dtype=object)
+    """Squares and multiplies whole columns, 64 times at most; NumPy's products wrap as they should."""
+    base, left = (np.array([int(x) for x in c], np.uint64) for c in (a, b))
+    out = np.ones(len(base), np.uint64)
+    while left.any():
+        out = np.where(left & np.uint64(1), out * base, out)
+        base, left = base * base, left >> np.uint64(1)
+    return pd.Series([Decimal(x) for x in out.tolist()], dtype=object)

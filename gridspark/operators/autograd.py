@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import weakref
 from abc import ABC, abstractmethod
 
 
 class FunctionEdge(ABC):
-    """An operation: its name, its inputs, and what it does forwards and backwards."""
+    """An operation: its name, its inputs, the result it gave, and what it does forwards and backwards."""
 
-    def __init__(self, inputs: tuple):
+    def __init__(self, inputs: tuple = (), output=None):
         self.inputs = tuple(inputs)
+        self._output = (lambda: None) if output is None else weakref.ref(output)
+
+    @property
+    def output(self):
+        """The result, if it is still held elsewhere; the graph alone doesn't keep it."""
+        return self._output()
 
     @property
     @abstractmethod
