@@ -114,6 +114,11 @@ for _name, _end, _parts in (("linspace", True, 4), ("linspace_no_endpoint", Fals
     register(_name, lambda s, d, e=_end: spaced(s, d, e), f"SELECT i0, p AS i1, m + p * 2.0::DOUBLE / {_parts} AS v FROM (SELECT i0, avg(v) AS m FROM ({EMB}) GROUP BY i0), range(5) r(p)", rank=2)
 
 
+register("linspace_step", lambda s, d: (e := reduce.mean(emb(s, d), 1)) and tensors.linspace(e, elementwise.mul(e, scalar(s, 3.0)), 9)[1], f"SELECT i0, 0 AS i1, avg(v) / 4 AS v FROM ({EMB}) GROUP BY i0", rank=2)
+register("linspace_scalars", lambda s, d: tensors.linspace(scalar(s, -1.0), scalar(s, 2.0), read(s, d, "events").count())[0], "SELECT i - 1 AS i0, -1 + 3.0::DOUBLE * (i - 1) / (n - 1) AS v FROM (SELECT row_number() OVER () AS i, count(*) OVER () AS n FROM events)")
+register("arange_stop", lambda s, d: tensors.arange(s, float(read(s, d, "orders").count())), "SELECT i - 1 AS i0, i - 1 AS v FROM (SELECT row_number() OVER () AS i FROM orders)")
+
+
 def simpson(s: SparkSession, d: str) -> TensorFrame:
     found = read(s, d, "events").agg(F.max("value").alias("b"), F.count("*").alias("n")).first()
     return tensors.integral(s, lambda x: x * x, 0.0, found["b"], found["n"])
@@ -192,6 +197,20 @@ for _name, _op, _sql in (
 register("sum_uint64", lambda s, d: as_signed(reduce.sum(unsigned_events(s, d, 999999999999937))), f"SELECT 0 AS i0, (sum({_U.format(f=999999999999937)}) % 18446744073709551616::HUGEINT) % 4611686018427387904 AS v FROM events", whole=True)
 
 
+def exponents(s: SparkSession, d: str, modulus: int, least: int) -> TensorFrame:
+    t = values(s, d)
+    return TensorFrame(read(s, d, "events").select(F.col("event_id").alias("i0"), (F.col("event_id") % modulus + least).cast("decimal(20,0)").alias("v")), t.shape, UINT64)
+
+
+_TIMES = lambda x, y: f"((({x}) % 4294967296) * ({y}) + ((({x}) // 4294967296) * ({y}) % 4294967296) * 4294967296) % m"
+_POWERS = f"CASE event_id % 3 WHEN 0 THEN a WHEN 1 THEN {_TIMES('a', 'a')} ELSE {_TIMES(_TIMES('a', 'a'), 'a')} END"
+register(
+    "pow_uint64", lambda s, d: as_signed(elementwise.power(unsigned_events(s, d, 999999999999937), exponents(s, d, 3, 1))),
+    f"SELECT event_id AS i0, ({_POWERS}) % 4611686018427387904 AS v FROM (SELECT event_id, {_U.format(f=999999999999937)} AS a, 18446744073709551616::HUGEINT AS m FROM events)", whole=True,
+)
+register("factorial_uint64", lambda s, d: as_signed(elementwise.factorial(exponents(s, d, 21, 0))), "SELECT event_id AS i0, factorial((event_id % 21)::INTEGER) % 4611686018427387904 AS v FROM events", whole=True)
+
+
 def same_tensor(s: SparkSession, d: str) -> DataFrame:
     e = emb(s, d)
     return s.createDataFrame([(elementwise.equal(e, mirrored(mirrored(e))), elementwise.equal(e, mirrored(e)))], "same boolean, other boolean")
@@ -230,6 +249,8 @@ register("matvec", lambda s, d: (e := emb(s, d)) and linalg.matmul(e, structure.
 register("vecmat", lambda s, d: (e := emb(s, d)) and linalg.matmul(structure.reshape(reduce.mean(e, 1), (e.shape[0],)), e), f"WITH e AS ({EMB}), m AS (SELECT i0, avg(v) AS m FROM e GROUP BY i0) SELECT i1 AS i0, sum(v * m) AS v FROM e JOIN m USING (i0) GROUP BY i1")
 register("dot", lambda s, d: (v := elementwise.sqrt(values(s, d))) and linalg.matmul(v, v), f"SELECT 0 AS i0, sum(v) AS v FROM ({EV})", 3)
 register("matmul_batched", lambda s, d: (g := images(s, d)) and linalg.matmul(g, structure.transpose(g, (0, 2, 1))), f"WITH e AS ({IMG}) SELECT a.i0, a.i1, b.i1 AS i2, sum(a.v * b.v) AS v FROM e a JOIN e b ON a.i0 = b.i0 AND a.i2 = b.i2 GROUP BY a.i0, a.i1, b.i1", rank=3)
+register("matmul_outer", lambda s, d: (e := emb(s, d)) and linalg.matmul(e, structure.transpose(e)), f"WITH e AS ({EMB}) SELECT a.i0, b.i0 AS i1, sum(a.v * b.v) AS v FROM e a JOIN e b USING (i1) GROUP BY a.i0, b.i0", rank=2)
+register("cov_wide", lambda s, d: linalg.cov(emb(s, d)), f"WITH e AS ({EMB}) SELECT a.i1 AS i0, b.i1, covar_pop(a.v, b.v) AS v FROM e a JOIN e b USING (i0) GROUP BY a.i1, b.i1", rank=2)
 register("cov", lambda s, d: linalg.cov(lines(s, d, FEATURES), ddof=1), f"WITH l AS ({LINES}), f AS ({FEAT}) SELECT a.i1 AS i0, b.i1, covar_samp(a.v, b.v) AS v FROM f a JOIN f b USING (i0) GROUP BY a.i1, b.i1", 3, 2)
 register("cov_batched", lambda s, d: linalg.cov(images(s, d), [1], [2]), f"WITH e AS ({IMG}) SELECT a.i0, a.i2 AS i1, b.i2, covar_pop(a.v, b.v) AS v FROM e a JOIN e b ON a.i0 = b.i0 AND a.i1 = b.i1 GROUP BY a.i0, a.i2, b.i2", rank=3)
 _TURN = "(CASE WHEN d >= 0 THEN 1 ELSE -1 END) / (abs(d) + sqrt(1 + d * d))"
@@ -259,6 +280,33 @@ register(
     "SELECT 0 AS i0, k AS i1, CASE WHEN k = 0 THEN 1 + abs(r) ELSE 1 - abs(r) END AS v FROM (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem), range(2) x(k)",
     rank=2,
 )
+
+
+def cubes(s: SparkSession, d: str) -> TensorFrame:
+    """{rows, 3, 3}: the first nine columns, as matrices of which the upper triangle counts"""
+    e = emb(s, d)
+    return structure.reshape(e.view((0, 0), (e.shape[0], 9)), (e.shape[0], 3, 3))
+
+
+register(
+    "eig_values_sorted",
+    lambda s, d: order.sort(linalg.eig(cubes(s, d))[0], 2),
+    """WITH m AS (SELECT vec_id AS i0, embedding[1]::DOUBLE AS a, embedding[5]::DOUBLE AS b, embedding[9]::DOUBLE AS c, embedding[2]::DOUBLE AS x, embedding[3]::DOUBLE AS y, embedding[6]::DOUBLE AS z FROM embeddings),
+    q AS (SELECT *, (a + b + c) / 3 AS q FROM m),
+    p AS (SELECT *, sqrt(((a - q) ** 2 + (b - q) ** 2 + (c - q) ** 2 + 2 * (x * x + y * y + z * z)) / 6) AS p FROM q),
+    r AS (SELECT *, ((a - q) * ((b - q) * (c - q) - z * z) - x * (x * (c - q) - y * z) + y * (x * z - y * (b - q))) / (2 * p ** 3) AS r FROM p),
+    t AS (SELECT i0, q, p, acos(greatest(-1, least(1, r))) / 3 AS t FROM r)
+    SELECT i0, 0 AS i1, k AS i2, q + 2 * p * cos(t + 2 * pi() * CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END / 3) AS v FROM t, range(3) g(k)""",
+    rank=3,
+)
+register("eig_covariance", lambda s, d: linalg.eig(linalg.cov(emb(s, d)))[0], None)
+
+PAIRED = ["l_quantity", "l_extendedprice"]
+_Z2 = f"SELECT i0, (l_quantity - a) / s AS x, (l_extendedprice - b) / t * sign(r) AS y FROM ({LINES}), (SELECT avg(l_quantity) AS a, stddev_samp(l_quantity) AS s, avg(l_extendedprice) AS b, stddev_samp(l_extendedprice) AS t, corr(l_quantity, l_extendedprice) AS r FROM lineitem)"
+# a component's sign is free, so squares are compared
+_SQUARED = lambda t: elementwise.mul(t, t)
+register("pca_projections_squared", lambda s, d: _SQUARED(ml.pca(lines(s, d, PAIRED)).projections), f"SELECT i0, k AS i1, CASE WHEN k = 0 THEN (x + y) ** 2 / 2 ELSE (x - y) ** 2 / 2 END AS v FROM ({_Z2}), range(2) g(k)", rank=2)
+register("pca_loadings_products", lambda s, d: (p := ml.pca(lines(s, d, PAIRED)).loadings) and linalg.matmul(p, structure.transpose(elementwise.mul(p, structure.copy_from(p, tensors.from_values(s, [[2.0, 1.0]]))))), "SELECT i AS i0, j AS i1, CASE WHEN i = j THEN 1.5 ELSE sign(r) / 2 END AS v FROM (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem), range(2) f(i), range(2) g(j)", rank=2)
 register("pca_projections", lambda s, d: ml.pca(emb(s, d), 3).projections, None)
 
 # -- learning ---------------------------------------------------------------------------------------------------
