@@ -13,7 +13,7 @@ def test_ratio_within_a_host(spark):
     got = run(spark, rows, ratio=0.3)
     assert [got[k].text for k in (0, 5)] == ["own 0\nsome", "own 5"]
     assert (got[0].n_lines, got[0].n_dropped, got[0].host) == (3, 1, "big.example")
-    assert got[100].text == "Menu\nown 100"  # too few pages
+    assert got[100].text == "own 100"  # small hosts too
     assert got[200].text == "Menu" and got[201].text == "" and got[202].n_lines == 0
     assert (got[203].text, got[203].n_dropped) == ("x y", 2)
 
@@ -28,3 +28,24 @@ def test_repeated_and_empty(spark):
     assert run(spark, []) == {}
     df = spark.createDataFrame([(1, "http://h/", "<p>a</p>")] * 6, "page_id long, url string, html string")
     assert [r.text for r in L.drop_lines(df).collect()] == [""] * 6
+
+
+def test_malformed_pages_take_linear_time(spark):
+    import time
+
+    odd = ["<script>" * 20_000, "<!--" * 40_000, "<p " * 40_000, "<" * 160_000, "</script" * 20_000, "<style x" * 20_000, "<script>" + "</script" * 20_000, "< p" * 50_000]
+    run(spark, [(k, "http://h/", "<p>a</p>") for k in range(len(odd))])
+    began = time.perf_counter()
+    got = run(spark, [(k, "http://h/", x) for k, x in enumerate(odd)])
+    took = time.perf_counter() - began
+    rest = run(spark, [(k, "http://h/", "<p>a</p>") for k in range(len(odd))])
+    assert len(rest) == len(got) == len(odd) and got[0].text == got[1].text == "" and got[3].n_lines == 1
+    assert took < 8  # that is all of the query; quadratic patterns took 44 s for the first page alone
+
+
+def test_hidden_parts():
+    import re
+
+    hidden = lambda x: re.sub(L.HIDDEN.replace("\\z", "\\Z"), "", x)
+    assert hidden("a<SCRIPT src='x'>y</script >b<style>c</style>d<!-- e -->f") == "abdf"
+    assert hidden("a<script>b") == hidden("a<!-- b <script>c</script>") == "a" and hidden("<scripture>a</scripture>") == "<scripture>a</scripture>"
