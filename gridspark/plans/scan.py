@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 65_536
+#: Rows that a ranking sorts in one task: some 100 MB. Up to here it takes no pass over the rows to find bounds.
+RANK_BLOCK = 1_000_000
 #: Bounds that the blocks of a ranking have at most; a search for a row's block looks at twice the square root of it.
 MAX_BOUNDS = 4_096
 
@@ -68,7 +70,7 @@ def dealt(df: DataFrame, lead: Column, rows: int, at: Column | None, block: int)
     return df.withColumn("_block", number).withColumn("_block", of_block(first, "int") * 2 + F.when(held, among * 2 + 1).otherwise(F.lit(0)))
 
 
-def ranked(df: DataFrame, lead: Column, order: list[Column], rows: int, name: str, at: Column | None = None, block: int = BLOCK) -> DataFrame:
+def ranked(df: DataFrame, lead: Column, order: list[Column], rows: int, name: str, at: Column | None = None, block: int = RANK_BLOCK) -> DataFrame:
     """``df`` with ``name``: the position, from 0, by ``order``, of which ``lead`` (a double, NaN last) is the first key.
 
     ``lead`` must rise with ``order``, and so must ``at`` among equal leads, if given: a number from 0 to ``rows`` - 1.
@@ -84,7 +86,7 @@ def ranked(df: DataFrame, lead: Column, order: list[Column], rows: int, name: st
     return blocks.withColumn(name, (inside + F.get(starts, F.col("_block")) - 1).cast("long")).drop("_block")
 
 
-def numbered(df: DataFrame, order: list[str], name: str, rows: int, block: int = BLOCK) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str, rows: int, block: int = RANK_BLOCK) -> DataFrame:
     """``df``, of ``rows`` rows, with dense row numbers by ``order`` (ascending, nulls first); the first column is numeric.
 
     Rows that are equal in all of ``order`` are interchangeable.
