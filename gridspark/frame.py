@@ -135,6 +135,13 @@ class TensorFrame:
                 for row in self.df.orderBy(self.flat()).toLocalIterator():
                     yield row["v"] if self.is_float else int(row["v"])
 
+    def begin(self) -> Position:
+        """The position of the first element; with ``end`` the bounds of the flat row-major order."""
+        return Position(self, 0)
+
+    def end(self) -> Position:
+        return Position(self, self.num_elements)
+
     def at(self, flat: int) -> TensorFrame:
         """A one-element view of the element at a row-major position."""
         coords = self.index_to_coords(flat)
@@ -218,6 +225,41 @@ class TensorFrame:
 EMPTY = TensorFrame()
 
 
+@dataclass(frozen=True, eq=False)
+class Position:
+    """A place in the flat order of one tensor, which may lie outside; only ``value`` looks at the tensor.
+
+    Positions of different tensors are neither equal nor one before the other. ``+=`` and ``-=`` give new positions.
+    """
+
+    owner: TensorFrame
+    flat: int
+
+    @property
+    def value(self) -> TensorFrame:
+        """A one-element view."""
+        return self.owner.at(self.flat)
+
+    def __add__(self, n: int) -> Position:
+        return replace(self, flat=self.flat + n)
+
+    def __sub__(self, other):
+        """The position ``other`` places before, or the distance from the position ``other``."""
+        return self.flat - other.flat if isinstance(other, Position) else replace(self, flat=self.flat - other)
+
+    def __eq__(self, other) -> bool:
+        return isinstance(other, Position) and self.owner is other.owner and self.flat == other.flat
+
+    def __hash__(self) -> int:
+        return hash((id(self.owner), self.flat))
+
+    def __lt__(self, other: Position) -> bool:
+        return self.owner is other.owner and self.flat < other.flat
+
+    def __le__(self, other: Position) -> bool:
+        return self.owner is other.owner and self.flat <= other.flat
+
+
 def small(df: DataFrame, elements: int) -> DataFrame:
     """``df`` to be broadcast if its known number of rows is small."""
     return F.broadcast(df) if elements <= BROADCAST_ELEMENTS else df

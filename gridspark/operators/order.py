@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.errors import ValidationError, require
 from gridspark.frame import UINT64, TensorFrame, from_flat
 from gridspark.plans import shapes
-from gridspark.plans.scan import ranked
+from gridspark.plans.scan import ranked, ranked_along
 
 
 def _order(t: TensorFrame, at, descending: bool) -> list:
@@ -21,6 +21,13 @@ def _lead(t: TensorFrame, descending: bool):
     return -v if descending else v
 
 
+def _along(t: TensorFrame, axis: int, descending: bool) -> DataFrame:
+    """The elements with ``_k``, their place in the order along the axis of a tensor of two or more."""
+    others = [c for d, c in enumerate(t.coords) if d != axis]
+    at = F.col(f"i{axis}")
+    return ranked_along(t.df, others, _lead(t, descending), _order(t, at, descending), t.num_elements, t.shape[axis], "_k", at)
+
+
 def sort(t: TensorFrame, axis: int | None = None) -> TensorFrame:
     """Ascending along an axis, or all elements into row-major order; the shape stays. An empty tensor stays empty."""
     if not t.rank:
@@ -29,12 +36,10 @@ def sort(t: TensorFrame, axis: int | None = None) -> TensorFrame:
         df = ranked(t.df.select(t.flat().alias("_k"), "v"), _lead(t, False), _order(t, F.col("_k"), False), t.num_elements, "k", F.col("_k"))
         return t.with_df(from_flat(df, t.shape))
     axis = shapes.axis_of(axis, t.rank, "sort")
-    others = [c for d, c in enumerate(t.coords) if d != axis]
-    w = Window.partitionBy(*others or [F.lit(0)]).orderBy(*_order(t, F.col(f"i{axis}"), False))
-    if not others:
+    if t.rank == 1:
         df = ranked(t.df, _lead(t, False), _order(t, F.col("i0"), False), t.num_elements, "_k", F.col("i0"))
     else:
-        df = t.df.withColumn("_k", (F.row_number().over(w) - 1).cast("long"))
+        df = _along(t, axis, False)
     return t.with_df(df.select(*[F.col("_k" if d == axis else c).alias(c) for d, c in enumerate(t.coords)], "v"))
 
 
@@ -48,8 +53,6 @@ def argsort(t: TensorFrame, axis: int | None = None, descending: bool = False) -
         df = ranked(t.df.select(t.flat().alias("_at"), "v"), _lead(t, descending), _order(t, F.col("_at"), descending), t.num_elements, "i0", F.col("_at"))
         out = df.select("i0", F.col("_at").cast(TensorFrame(dtype=UINT64).sql_type).alias("v"))
         return t.with_df(out, (t.num_elements,), UINT64)
-    others = [c for d, c in enumerate(t.coords) if d != axis]
     at = F.col(f"i{axis}")
-    df = t.df.withColumn("_k", (F.row_number().over(Window.partitionBy(*others).orderBy(*_order(t, at, descending))) - 1).cast("long"))
-    out = df.select(*[F.col("_k" if d == axis else c).alias(f"_{c}") for d, c in enumerate(t.coords)], at.cast(TensorFrame(dtype=UINT64).sql_type).alias("v"))
+    out = _along(t, axis, descending).select(*[F.col("_k" if d == axis else c).alias(f"_{c}") for d, c in enumerate(t.coords)], at.cast(TensorFrame(dtype=UINT64).sql_type).alias("v"))
     return t.with_df(out.toDF(*t.coords, "v"), dtype=UINT64)

@@ -86,6 +86,22 @@ def ranked(df: DataFrame, lead: Column, order: list[Column], rows: int, name: st
     return blocks.withColumn(name, (inside + F.get(starts, F.col("_block")) - 1).cast("long")).drop("_block")
 
 
+def ranked_along(df: DataFrame, keys: list[str], lead: Column, order: list[Column], rows: int, length: int, name: str, at: Column, block: int = RANK_BLOCK) -> DataFrame:
+    """``df`` with ``name``: the position, from 0, by ``order`` among rows of equal ``keys``, each of which has ``length`` of the ``rows``.
+
+    As in ``ranked``, ``lead`` must rise with ``order`` and ``at``, here from 0 to ``length`` - 1, with it among equal leads.
+    Longer axes are dealt to the same blocks for all keys; what of one key is in one block is sorted together.
+    """
+    if length <= block:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
+    blocks = dealt(df, lead, rows, at * F.lit(rows // length), block)
+    counts = blocks.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # some MAX_BOUNDS rows a key
+    inside = blocks.withColumn("_own", F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order)))
+    return inside.join(starts, [*keys, "_block"]).withColumn(name, (F.col("_own") + F.col("_start") - 1).cast("long")).drop("_block", "_own", "_start")
+
+
 def numbered(df: DataFrame, order: list[str], name: str, rows: int, block: int = RANK_BLOCK) -> DataFrame:
     """``df``, of ``rows`` rows, with dense row numbers by ``order`` (ascending, nulls first); the first column is numeric.
 

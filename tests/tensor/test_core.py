@@ -219,6 +219,40 @@ def test_ties_are_split_over_blocks(spark, kind):
     assert max(sizes) <= 2 * 200 and sum(sizes) == n
 
 
+@pytest.mark.parametrize("kind", ["equal", "apart", "ties and NaN"])
+def test_long_axes_are_ranked_in_blocks(spark, monkeypatch, kind):
+    from gridspark.plans import scan
+
+    rng = np.random.default_rng(6)
+    a = {
+        "equal": np.full((400, 3), 2.0),
+        "apart": rng.normal(size=(400, 3)) + [0.0, 100.0, -50.0],
+        "ties and NaN": np.where(rng.random((400, 3)) < 0.3, math.nan, rng.integers(0, 6, (400, 3))),
+    }[kind]
+    monkeypatch.setattr(scan.ranked_along, "__defaults__", (50,))
+    x = T.from_values(spark, a)
+    for descending, key in ((False, a), (True, -a)):
+        same(order.argsort(x, 0, descending), np.where(np.isnan(key), np.inf, key).argsort(0, kind="stable"))
+    same(order.sort(x, 0), np.sort(a, 0))
+    same(order.sort(S.transpose(x), 1), np.sort(a, 0).T)
+
+
+def test_positions_in_the_flat_order(t):
+    x, other = t([[1.0, 2.0], [3.0, 4.0]]), t([5.0, 6.0])
+    first, last = x.begin(), x.end()
+    assert last - first == 4 and first + 4 == last and last - 4 == first and hash(first + 4) == hash(last)
+    assert first < last and first <= first and last > first and last >= first + 2 and first != last
+    assert not first == other.begin() and not first < other.end() and not first >= other.begin()
+    assert (first + 2).value.item() == 3.0 and (last - 1).value.is_view
+    moved = first
+    moved += 1
+    assert moved.value.item() == 2.0 and first.flat == 0
+    assert EMPTY.begin() == EMPTY.end()
+    for outside in (last, first - 1):
+        with pytest.raises(BoundsError):
+            outside.value
+
+
 def test_graph_edge_remembers_its_result(spark):
     from gridspark.operators.autograd import AddEdge
 
