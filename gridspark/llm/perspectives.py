@@ -5,7 +5,8 @@ speakers as named users and system turns as system, and only the assistant's wor
 
 The result has a row for each message of each dialogue, with its place in the rendered dialogue, so a dialogue
 of any length is never gathered in one task: the running position is a two-level sum, over blocks of
-``block_turns`` turns and then inside each block. Only DataFrame functions are used.
+``block_turns`` turns and then inside each block. Messages without a turn number are in blocks of one speaker and of the
+``PREFIX`` characters that they begin with. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from gridspark.llm.common import table
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Characters by which messages without a turn number are dealt to blocks; any number gives the same result.
+PREFIX = 4
 
 
 def _plain(text: Column) -> Column:
@@ -55,10 +58,17 @@ def rotate(turns: DataFrame, block_turns: int = 256) -> DataFrame:
     role = F.when(F.col("speaker") == "system", "system").when(mine, "assistant").otherwise("user")
     name = F.when(role == "user", named(F.col("speaker")))
     head = F.concat(F.lit(START), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
+    # rises with the order of the messages: turn, nulls first, then speaker and text
+    loose = F.col("turn").isNull()
+    block = F.struct(
+        F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-(1 << 62))).alias("turns"),
+        F.when(loose, F.col("speaker")).otherwise("").alias("speaker"),
+        F.when(loose, F.substring("body", 1, PREFIX)).otherwise("").alias("begins"),
+    )
     made = spread.select(
         "conv_id", "perspective", "turn", "speaker", "body", role.alias("role"), name.alias("name"), F.length(head).alias("_head"),
         F.concat(head, F.col("body"), F.lit(END + "\n")).alias("content"),
-        F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-(1 << 62))).alias("_block"),
+        block.alias("_block"),
     )
     size = F.length("content").cast("long")
     dialogue = Window.partitionBy("conv_id", "perspective")

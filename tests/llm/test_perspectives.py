@@ -31,6 +31,16 @@ def test_equals_brute_force(spark):
         assert sorted(repr(tuple(r)) for r in P.rotate(df, block).collect()) == brute(rows)
 
 
+def test_messages_without_turn_numbers_are_split(spark):
+    texts = [f"{word}{k % 40}" for k, word in enumerate(["so", "so ", "é", "\U0001f600 ", "", "so it"] * 60)]
+    rows = [(1, None, f"p{k % 2}", x) for k, x in enumerate(texts)] + [(1, k, "p0", f"m{k}") for k in range(-3, 9)] + [(1, None, "p1", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = P.rotate(df, 4)
+    assert sorted(repr(tuple(r)) for r in found.collect()) == brute(rows)
+    ordered = [r.seq for r in found.where("perspective = 'p0'").orderBy("seq").collect()]
+    assert ordered == list(range(len(rows)))
+
+
 def test_dialogue_reads_back(spark):
     df = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
     rows = [r for r in P.rotate(df).collect() if (r.conv_id, r.perspective) == (1, "ann")]
