@@ -265,8 +265,6 @@ def small(df: DataFrame, elements: int) -> DataFrame:
     return F.broadcast(df) if elements <= BROADCAST_ELEMENTS else df
 
 
-
-
 def flat_grid(spark: SparkSession, shape: Shape) -> DataFrame:
     """Every coordinate of a shape."""
     exact = [
