@@ -51,8 +51,9 @@ def rotate(turns: DataFrame, block_turns: int = 256) -> DataFrame:
     rows = turns.select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("speaker"), _plain(F.col("text")).alias("body")
     )
-    speakers = rows.where("speaker <> 'system'").groupBy(F.col("conv_id").alias("_conv")).agg(F.collect_set("speaker").alias("speakers"))
-    spread = rows.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv"))).withColumn("perspective", F.explode("speakers"))
+    # one row for each participant, so the participants of a conversation are never one value
+    speakers = rows.where("speaker <> 'system'").select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")).distinct()
+    spread = rows.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv")))
 
     mine = F.col("speaker") == F.col("perspective")
     role = F.when(F.col("speaker") == "system", "system").when(mine, "assistant").otherwise("user")

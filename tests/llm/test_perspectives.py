@@ -41,6 +41,14 @@ def test_messages_without_turn_numbers_are_split(spark):
     assert ordered == list(range(len(rows)))
 
 
+def test_many_speakers_in_one_conversation(spark):
+    rows = [(1, k // 2, f"p{k % 150}", f"m{k}") for k in range(300)] + [(None, k, f"q{k % 5}", "x") for k in range(10)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = P.rotate(df)
+    assert sorted(repr(tuple(r)) for r in found.collect()) == brute(rows)
+    assert "collect_set" not in found._jdf.queryExecution().toString()
+
+
 def test_dialogue_reads_back(spark):
     df = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
     rows = [r for r in P.rotate(df).collect() if (r.conv_id, r.perspective) == (1, "ann")]
