@@ -6,7 +6,8 @@ speakers as named users and system turns as system, and only the assistant's wor
 The result has a row for each message of each dialogue, with its place in the rendered dialogue, so a dialogue
 of any length is never gathered in one task: the running position is a two-level sum, over blocks of
 ``block_turns`` turns and then inside each block. Messages without a turn number are in blocks of one speaker and of the
-``PREFIX`` characters that they begin with. Only DataFrame functions are used.
+``PREFIX`` characters that they begin with. Texts are shuffled once, by block, before they are repeated for each
+participant; what is summed for blocks and participants is numbers. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -37,6 +38,17 @@ def named(speaker: Column) -> Column:
     return speaker
 
 
+def _head(role: Column, name: Column | None = None) -> Column:
+    """What stands before a message; without a name where it is null."""
+    said = F.lit("") if name is None else F.coalesce(F.concat(F.lit(" name="), name), F.lit(""))
+    return F.concat(F.lit(START), role, said, F.lit("\n"))
+
+
+def _size(head: Column) -> Column:
+    """Characters of a rendered message."""
+    return (F.length(head) + F.length("body") + F.lit(len(END) + 1)).cast("long")
+
+
 def rotate(turns: DataFrame, block_turns: int = 256) -> DataFrame:
     """Rows conv_id, perspective, seq, turn, role, name, content, char_start, loss_start, loss_end.
 
@@ -51,52 +63,48 @@ def rotate(turns: DataFrame, block_turns: int = 256) -> DataFrame:
     rows = turns.select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("speaker"), _plain(F.col("text")).alias("body")
     )
-    # one row for each participant, so the participants of a conversation are never one value
-    speakers = rows.where("speaker <> 'system'").select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")).distinct()
-    spread = rows.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv")))
-
-    mine = F.col("speaker") == F.col("perspective")
-    role = F.when(F.col("speaker") == "system", "system").when(mine, "assistant").otherwise("user")
-    name = F.when(role == "user", named(F.col("speaker")))
-    head = F.concat(F.lit(START), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
-    # rises with the order of the messages: turn, nulls first, then speaker and text
+    # rises, in a conversation, with the order of the messages: turn, nulls first, then speaker and text
     loose = F.col("turn").isNull()
-    block = F.struct(
+    block = [
         F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-(1 << 62))).alias("turns"),
         F.when(loose, F.col("speaker")).otherwise("").alias("speaker"),
         F.when(loose, F.substring("body", 1, PREFIX)).otherwise("").alias("begins"),
+    ]
+    rows = rows.withColumn("_key", F.struct("conv_id", *block))  # structs are equal where nulls meet nulls
+    person, conversation = F.col("speaker") != "system", F.struct(F.col("_key.conv_id")).alias("_conv")
+
+    # where every block begins in every dialogue; an assistant's messages differ from a user's by their heads only
+    heard = _head(F.when(person, "user").otherwise("system"), F.when(person, named(F.col("speaker"))))
+    parts = rows.groupBy("_key", "speaker").agg(F.sum(_size(heard)).alias("_chars"), F.count(F.lit(1)).alias("_n"))
+    blocks = parts.groupBy("_key").agg(F.sum("_chars").alias("_chars"), F.sum("_n").alias("_n")).withColumn("_conv", conversation)
+    people = parts.where(person).select(conversation, F.col("speaker").alias("perspective")).distinct()
+    own = parts.where(person).select("_key", F.col("speaker").alias("perspective"), F.col("_n").alias("_own"))
+    longer = F.length(_head(F.lit("assistant"))) - F.length(_head(F.lit("user"), named(F.col("perspective"))))
+    chars = F.col("_chars") + F.coalesce("_own", F.lit(0)) * longer
+    before = Window.partitionBy("_conv", "perspective").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.join(people, "_conv").join(own, ["_key", "perspective"], "left").select(
+        "_key", "perspective", F.coalesce(F.sum(chars).over(before), F.lit(0)).alias("_chars"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n")
     )
-    made = spread.select(
-        "conv_id", "perspective", "turn", "speaker", "body", role.alias("role"), name.alias("name"), F.length(head).alias("_head"),
-        F.concat(head, F.col("body"), F.lit(END + "\n")).alias("content"),
-        block.alias("_block"),
-    )
-    size = F.length("content").cast("long")
-    dialogue = Window.partitionBy("conv_id", "perspective")
-    before = dialogue.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        made.groupBy("conv_id", "perspective", "_block")
-        .agg(F.sum(size).alias("_chars"), F.count(F.lit(1)).alias("_n"))
-        .select(
-            F.col("conv_id").alias("_conv"), F.col("perspective").alias("_persp"), F.col("_block").alias("_at"),
-            F.coalesce(F.sum("_chars").over(before), F.lit(0)).alias("_chars"),
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"),
-        )
-    )
-    inside = Window.partitionBy("conv_id", "perspective", "_block").orderBy(F.col("turn").asc_nulls_first(), "speaker", "body")
+
+    # messages meet the dialogues block by block, and stay where that join has put them
+    mine = F.col("speaker") == F.col("perspective")
+    role = F.when(~person, "system").when(mine, "assistant").otherwise("user")
+    name = F.when(role == "user", named(F.col("speaker")))
+    made = rows.join(starts, "_key").withColumns({"role": role, "name": name}).withColumn("head", _head(F.col("role"), F.col("name")))
+    inside = Window.partitionBy("_key", "perspective").orderBy(F.col("turn").asc_nulls_first(), "speaker", "body")
+    above = F.sum(_size(F.col("head"))).over(inside.rowsBetween(Window.unboundedPreceding, -1))
     placed = made.select(
         "*",
-        (F.row_number().over(inside) - 1).cast("long").alias("_k"),
-        F.coalesce(F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_c"),
+        (F.row_number().over(inside) - 1 + F.col("_n")).cast("long").alias("seq"),
+        (F.coalesce(above, F.lit(0)) + F.col("_chars")).alias("char_start"),
     )
-    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("perspective") == F.col("_persp")) & (F.col("_block") == F.col("_at"))
-    start = F.col("_c") + F.col("_chars")
     spoken = F.col("role") == "assistant"
-    return placed.join(blocks, same).select(
-        "conv_id", "perspective", (F.col("_k") + F.col("_n")).alias("seq"), "turn", "role", "name", "content",
-        start.alias("char_start"),
-        F.when(spoken, start + F.col("_head")).alias("loss_start"),
-        F.when(spoken, start + F.length("content") - 1).alias("loss_end"),
+    return placed.select(
+        "conv_id", "perspective", "seq", "turn", "role", "name",
+        F.concat("head", "body", F.lit(END + "\n")).alias("content"),
+        "char_start",
+        F.when(spoken, F.col("char_start") + F.length("head")).alias("loss_start"),
+        F.when(spoken, F.col("char_start") + _size(F.col("head")) - 1).alias("loss_end"),
     )
 
 
