@@ -1,0 +1,103 @@
+import hashlib
+import random
+import zlib
+
+import duckdb
+import pytest
+
+from gridspark.llm import merkle
+
+SCHEMA = "doc_id long, source string, lang string, n_chars long, text string"
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def leaf_of(row):
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def climbed(nodes, pos):
+    """The siblings of a node up to the root, and the root."""
+    steps = []
+    while len(nodes) > 1:
+        low = pos // 16 * 16
+        steps.append(("".join(nodes[low:pos]), "".join(nodes[pos + 1 : low + 16])))
+        nodes = [sha("".join(nodes[k : k + 16])) for k in range(0, len(nodes), 16)]
+        pos //= 16
+    return steps, nodes[0]
+
+
+def by_force(rows):
+    """(doc_id, leaf, subroot, root, proof, folded root, verified) of every row."""
+    sources = {}
+    for r in rows:
+        sources.setdefault(r[1], []).append(r)
+    names = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: sorted(((r[0] is not None, r[0] or 0), leaf_of(r), r) for r in sources[s]) for s in names}
+    subroots = [climbed([x[1] for x in trees[s]], 0)[1] for s in names]
+    out = []
+    for k, s in enumerate(names):
+        above, root = climbed(subroots, k)
+        for pos, (_, leaf, row) in enumerate(trees[s]):
+            steps = climbed([x[1] for x in trees[s]], pos)[0] + above
+            node = leaf
+            if zlib.crc32(b"" if row[0] is None else str(row[0]).encode()) % 5 == 0 and row[4] is not None:
+                node = leaf_of((*row[:4], "".join(c.lower() if "A" <= c <= "Z" else c for c in row[4])))
+            for left, right in steps:
+                node = sha(left + node + right)
+            out.append((row[0], leaf, subroots[k], root, sha("".join(a + b for a, b in steps)), node, node == root))
+    return out
+
+
+def ordered(rows):
+    return sorted(map(tuple, rows), key=repr)
+
+
+def made(n, seed, sources):
+    """Odd rows: nulls in any column, letters that only ASCII folding leaves, rows that repeat, one source with most rows."""
+    rng = random.Random(seed)
+    texts = [None, "", "Abc Ünïcode ÄÖ", "plain text", "CAPITALS", "-", "3:abc", "x" * 20_000 + "Y"]
+    rows = [(k, rng.choice(sources), rng.choice([None, "en", "de"]), rng.choice([None, 0, 17]), rng.choice(texts)) for k in range(n)]
+    return rows + rows[:3] + [(None, sources[0], None, None, "Nobody"), (rows[0][0], sources[-1], "en", 5, "Again")]
+
+
+@pytest.mark.parametrize(("n", "sources", "depth"), [(40, [None, "b", "a", "é", "Z", ""], 3), (400, ["a"] * 8 + ["b", None], 1), (60, [f"s{k}" for k in range(50)], 1), (700, ["one"], 1), (1, ["only"], 3)])
+def test_equals_brute_force(spark, n, sources, depth):
+    """Also with superblocks of one level, of which a long source then needs several stages."""
+    rows = made(n, n, sources)
+    docs = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", leaf string").repartition(5)
+    got = merkle.manifest(merkle.leaves(docs, merkle.held_out(merkle.F.col("doc_id"), 5, 0)), depth, 100)
+    assert ordered(got.collect()) == ordered(by_force(rows))
+
+
+def test_empty(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    got = merkle.manifest(merkle.leaves(docs, merkle.F.lit(False)))
+    assert got.collect() == [] and got.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+
+
+def test_units_are_bounded(spark):
+    """No unit holds twice a superblock's nodes, whatever the sources' sizes."""
+    size = merkle.FAN**merkle.DEPTH
+    sizes = [1] * 5000 + [10_000, 1, 1, 4096, 4097] + [3] * 3000
+    starts, rows = 0, []
+    for tree, n in enumerate(sizes):
+        rows.append((tree, starts, n))
+        starts += n
+    trees = spark.createDataFrame(rows, "tree long, start long, n long")
+    for _ in range(2):
+        nodes = trees.selectExpr("*", "explode(sequence(0L, n - 1)) AS pos").withColumn("unit", merkle.unit(size))
+        assert nodes.groupBy("tree", (merkle.F.col("pos") / size).cast("long")).agg(merkle.F.countDistinct("unit").alias("u")).where("u > 1").count() == 0
+        assert nodes.groupBy("unit").count().agg({"count": "max"}).first()[0] < 2 * size
+        trees = trees.selectExpr("tree", f"start div {size} + tree AS start", f"(n + {size - 1}) div {size} AS n")
+
+
+def test_query_equals_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = duckdb.sql(merkle.ORACLE)
+    got = merkle.query(spark, folder)
+    assert got.columns == want.columns
+    assert ordered(got.collect()) == ordered(want.fetchall())
