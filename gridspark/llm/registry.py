@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import decontaminate, exact_dedup, jaccard_join, language_id, licenses, line_dedup, merkle, packing, perspectives, tiers, toxicity, warc
+from gridspark.llm import decontaminate, exact_dedup, jaccard_join, language_id, licenses, line_dedup, merkle, packing, perspectives, runs, tiers, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard_join": jaccard_join.query,
         "op9_perspective_rotation": perspectives.query,
         "op10_toxicity_neighbours": toxicity.query,
+        "op11_periodic_runs": runs.query,
         "op12_merkle_manifest": merkle.query,
         "op13_tiered_packing": tiers.query,
     }
