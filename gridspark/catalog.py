@@ -147,7 +147,7 @@ register("gather_flat", lambda s, d: (e := emb(s, d)) and structure.gather(e, or
 
 # -- element-wise -----------------------------------------------------------------------------------------------
 
-PAIR = f"WITH e AS ({EMB}) SELECT a.i0, a.i1, {{}} AS v FROM e a JOIN e b ON b.i0 = a.i0 AND b.i1 = 63 - a.i1"
+PAIR = "SELECT vec_id AS i0, (k - 1)::BIGINT AS i1, embedding[k]::DOUBLE {} embedding[65 - k]::DOUBLE AS v FROM embeddings, range(1, 65) r(k)"
 
 
 def mirrored(t: TensorFrame) -> TensorFrame:
@@ -155,7 +155,7 @@ def mirrored(t: TensorFrame) -> TensorFrame:
     return t.with_df(t.df.select("i0", (F.lit(t.shape[1] - 1) - F.col("i1")).alias("i1"), "v"))
 
 
-for _name, _op, _sql in (("add", elementwise.add, "a.v + b.v"), ("sub", elementwise.sub, "a.v - b.v"), ("mul", elementwise.mul, "a.v * b.v")):
+for _name, _op, _sql in (("add", elementwise.add, "+"), ("sub", elementwise.sub, "-"), ("mul", elementwise.mul, "*")):
     register(_name, lambda s, d, f=_op: (e := emb(s, d)) and f(e, mirrored(e)), PAIR.format(_sql), rank=2)
 register("div", lambda s, d: elementwise.div(values(s, d), values(s, d, F.col("event_id") + 1)), "SELECT event_id AS i0, value / (event_id + 1) AS v FROM events")
 register("neg", lambda s, d: elementwise.neg(emb(s, d)), f"SELECT i0, i1, -v AS v FROM ({EMB})", rank=2)
