@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from math import prod
+from collections.abc import Iterator
+from math import ceil, prod, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,17 +15,23 @@ from gridspark.errors import NanError, NonFiniteError, ValidationError, message,
 from gridspark.frame import TensorFrame
 from gridspark.functions import unsigned
 from gridspark.functions.guards import finite, no_nan
-from gridspark.operators import reduce, structure
-from gridspark.plans import shapes
+from gridspark.operators import moments, reduce, structure
+from gridspark.plans import shapes, tiles
 
 #: Products of elements from which a matrix product multiplies blocks instead of pairing elements.
 BLOCK_PRODUCTS = 2_000_000
-#: Elements of one operand in one block, and of one block's product.
-BLOCK_ELEMENTS = 1_000_000
-#: Rows, and columns, of one block's product.
-TILE = 1_000
+#: Elements of one operand in one tile.
+BLOCK_ELEMENTS = 1 << 20
+#: Rows, and columns, of one tile's product.
+TILE = 1_024
+#: Bytes of packed tiles up to which a side is broadcast.
+BROADCAST_BYTES = 32 << 20
+#: Elements of partial products that a task holds at once.
+HELD_ELEMENTS = 4 << 20
 #: Events up to which covariances are sums of products in one aggregate.
 FEW_EVENTS = 16
+#: Events up to which a task adds up all covariances of its samples: 32 MB.
+GRAM_EVENTS = 2_048
 
 
 def matmul(a: TensorFrame, b: TensorFrame) -> TensorFrame:
@@ -84,48 +92,83 @@ def _batch_column(d: int, axes_a: list[int], axes_b: list[int]):
 
 
 def _blocks(left, right, a: TensorFrame, b: TensorFrame, batch: shapes.Shape, m: int, k: int, n: int) -> DataFrame:
-    """Tiles of the outer axes and of the inner one meet as dense blocks, and NumPy multiplies them; partial products are summed.
+    """Both sides as packed tiles, joined on the inner axis; NumPy multiplies each pair, and partial products are added as tiles.
 
-    A group holds a block of each side, of about BLOCK_ELEMENTS elements at most, whatever the axes' lengths. An
-    element goes to as many groups as the other side has tiles.
+    A side of few bytes, which its shape tells, is broadcast. Otherwise tiles are dealt to groups of rows and of columns,
+    as many as keep the session's cores busy, and a tile goes to the other side's groups, not to all its tiles.
     """
     (x, axes_a), (y, axes_b) = left, right
     high, wide = min(m, TILE), min(n, TILE)
     width = max(1, min(k, BLOCK_ELEMENTS // max(high, wide)))
-    tiles = -(-m // high), -(-n // wide)
-    every = sorted({*axes_a, *axes_b})
-
-    def repeated(df: DataFrame, name: str, times: int) -> DataFrame:
-        return df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))) if times > 1 else F.lit(0).cast("long"))
-
-    def spread(df: DataFrame, number: int, axes: list[int]) -> DataFrame:
-        for d in every:
-            if d not in axes:  # the other side extends along this axis: repeat over it
-                df = repeated(df, f"_{number}_{d}", batch[d])
-        mine, other, size = ("rows", "columns", high) if number == 0 else ("columns", "rows", wide)
-        df = repeated(df.withColumn(mine, F.floor(F.col(f"_o{number}") / F.lit(size))), other, tiles[1 - number])
-        renamed = [F.col(f"_{number}_{d}").alias(f"b{d}") for d in every]
-        inner = F.floor(F.col(f"_k{number}") / F.lit(width)).alias("part")
-        return df.select(*renamed, "rows", "columns", inner, F.col(f"_o{number}").alias("o"), F.col(f"_k{number}").alias("k"), F.col(f"_v{number}").alias("v"))
-
-    keys = [*[f"b{d}" for d in every], "rows", "columns", "part"]
-
-    def multiply(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        row, column, low = (int(x) * size for x, size in zip(key[-3:], (high, wide, width)))
-        u, w = np.zeros((min(high, m - row), width)), np.zeros((width, min(wide, n - column)))
-        u[p["o"].to_numpy() - row, p["k"].to_numpy() - low] = p["v"].to_numpy()
-        w[q["k"].to_numpy() - low, q["o"].to_numpy() - column] = q["v"].to_numpy()
-        product = u @ w
-        r, c = np.divmod(np.arange(product.size), product.shape[1])
-        return pd.DataFrame({f"b{d}": x for d, x in zip(every, key)} | {"r": r + row, "c": c + column, "v": product.ravel()})
-
-    schema = ", ".join([*[f"b{d} long" for d in every], "r long", "c long", "v double"])
-    parts = spread(x, 0, axes_a).groupBy(*keys).cogroup(spread(y, 1, axes_b).groupBy(*keys)).applyInPandas(multiply, schema)
+    every, common = sorted({*axes_a, *axes_b}), sorted({*axes_a} & {*axes_b})
+    names = {0: [f"_0_{d}" for d in axes_a], 1: [f"_1_{d}" for d in axes_b]}
+    one = tiles.packed(x, names[0], F.col("_o0"), F.col("_k0"), F.col("_v0"), (m, k), (high, width))
+    two = tiles.packed(y, names[1], F.col("_k1"), F.col("_o1"), F.col("_v1"), (k, n), (width, wide))
+    p = one.df.select(*names[0], "row", F.col("col").alias("part"), F.col("block").alias("a"))
+    q = two.df.select(*names[1], F.col("row").alias("_part"), "col", F.col("block").alias("b"))
+    on = F.col("part") == F.col("_part")
+    for d in common:
+        on = on & (F.col(f"_0_{d}") == F.col(f"_1_{d}"))
+    bytes_of = [8 * prod(batch[d] for d in axes) * size for axes, size in ((axes_a, m * k), (axes_b, k * n))]
+    if min(bytes_of) <= BROADCAST_BYTES:
+        pairs = F.broadcast(p).join(q, on) if bytes_of[0] < bytes_of[1] else p.join(F.broadcast(q), on)
+    else:
+        wanted = 2 * p.sparkSession.sparkContext.defaultParallelism
+        apart = prod(batch[d] for d in common) * one.counts[1]
+        downs = min(one.counts[0], max(1, ceil(sqrt(wanted / apart))))
+        acrosses = min(two.counts[1], max(1, ceil(wanted / apart / downs)))
+        each = lambda times: F.explode(F.sequence(F.lit(0), F.lit(times - 1)))
+        p = p.withColumn("_down", (F.col("row") % downs).cast("int")).withColumn("_across", each(acrosses))
+        q = q.withColumn("_across_", (F.col("col") % acrosses).cast("int")).withColumn("_down_", each(downs))
+        pairs = p.join(q, on & (F.col("_down") == F.col("_down_")) & (F.col("_across") == F.col("_across_")))
+    outer = [f"b{d}" for d in every]
+    renamed = [F.col(f"_0_{d}" if d in axes_a else f"_1_{d}").alias(f"b{d}") for d in every]
+    pairs = pairs.select(*renamed, "row", "col", "part", "a", "b")
+
+    def products(batches: tiles.Batches) -> Iterator[tuple[tuple, np.ndarray]]:
+        for found in batches:
+            keys = list(zip(*(found.column(i).to_pylist() for i in range(len(outer) + 3))))
+            for key, u, v in zip(keys, found.column(len(outer) + 3), found.column(len(outer) + 4)):
+                yield key[:-1], tiles.as_block(u.as_buffer(), tiles.edge(key[-3], high, m)) @ tiles.as_block(v.as_buffer(), tiles.edge(key[-1], width, k))
+
+    def elements(key: tuple, block: np.ndarray) -> tiles.Batches:
+        return tiles.rows_of(list(zip(outer, key)), block, key[-2] * high, key[-1] * wide, ("r", "c"))
+
+    def whole(batches: tiles.Batches) -> tiles.Batches:
+        for key, block in products(batches):
+            yield from elements(key, block)
+
+    def partial(batches: tiles.Batches) -> tiles.Batches:
+        """Products of one tile of the result are added up in the task, as long as there are few."""
+        held: dict[tuple, np.ndarray] = {}
+
+        def sent() -> tiles.Batches:
+            for key, block in held.items():
+                columns = [pa.array([x], pa.int64()) for x in key] + [pa.array([block.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*outer, "row", "col", "block"])
+            held.clear()
+
+        for key, block in products(batches):
+            held[key] = held[key] + block if key in held else block
+            if len(held) * high * wide > HELD_ELEMENTS:
+                yield from sent()
+        yield from sent()
+
+    def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = tuple(x.as_py() for x in key), 0.0
+        for found in batches:
+            for block in found.column(found.schema.get_field_index("block")):
+                total = total + tiles.as_block(block.as_buffer(), tiles.edge(key[-2], high, m))
+        yield from elements(key, total)
+
+    schema = ", ".join([*[f"{c} long" for c in outer], "r long", "c long", "v double"])
+    if k <= width:  # each tile of the product comes from one pair
+        cells = pairs.mapInArrow(whole, schema)
+    else:
+        parts = pairs.mapInArrow(partial, ", ".join([*[f"{c} long" for c in outer], "row long", "col long", "block binary"]))
+        cells = parts.groupBy(*outer, "row", "col").applyInArrow(added, schema)
     coords = [F.col(f"b{d}").alias(f"i{d}") if d in every else F.lit(0).cast("long").alias(f"i{d}") for d in range(len(batch))]
-    rows = parts.select(*coords, F.col("r").alias(f"i{len(batch)}"), F.col("c").alias(f"i{len(batch) + 1}"), "v")
-    if k <= width:  # each element of the product comes from one group
-        return rows.withColumn("v", finite(F.col("v"), "matmul"))
-    return rows.groupBy(*[f"i{d}" for d in range(len(batch) + 2)]).agg(finite(F.sum("v"), "matmul").alias("v"))
+    return cells.select(*coords, F.col("r").alias(f"i{len(batch)}"), F.col("c").alias(f"i{len(batch) + 1}"), finite(F.col("v"), "matmul").alias("v"))
 
 
 def cov(t: TensorFrame, sample_axes: list[int] | None = None, event_axes: list[int] | None = None, ddof: int = 0) -> TensorFrame:
@@ -147,6 +190,8 @@ def cov(t: TensorFrame, sample_axes: list[int] | None = None, event_axes: list[i
     flat = structure.reshape(structure.transpose(t, [*batch, *samples, *events]), (*[t.shape[d] for d in batch], n, e))
     if e <= FEW_EVENTS:
         return _few_events(flat, n, e, ddof)
+    if e <= GRAM_EVENTS:
+        return moments.covariances(flat, ddof)
     centered = reduce.center(flat, -2)
     last = list(range(flat.rank))
     turned = structure.transpose(centered, [*last[:-2], last[-1], last[-2]])
