@@ -54,6 +54,11 @@ def lines(spark: SparkSession, d: str, columns: list[str]) -> TensorFrame:
     return tensors.from_table(read(spark, d, "lineitem"), LINE_ORDER, columns)
 
 
+def any_lines(spark: SparkSession, d: str, columns: list[str]) -> TensorFrame:
+    """{lineitems, columns}, in the files' order, for what does not depend on it"""
+    return tensors.from_table(read(spark, d, "lineitem"), None, columns)
+
+
 def degrees(spark: SparkSession, d: str) -> TensorFrame:
     """{events}: 1 to 7 degrees of freedom"""
     return values(spark, d, F.col("event_id") % 7 + 1)
@@ -99,7 +104,7 @@ def zscore(spark: SparkSession, d: str) -> TensorFrame:
 
 
 register("zscore", zscore, f"WITH l AS ({LINES}), f AS ({FEAT}), m AS (SELECT i1, avg(v) AS a, stddev_samp(v) AS s FROM f GROUP BY i1) SELECT i0, i1, (v - a) / s AS v FROM f JOIN m USING (i1)", rank=2)
-register("feature_means", lambda s, d: reduce.mean(lines(s, d, FEATURES), 0), f"WITH l AS ({LINES}), f AS ({FEAT}) SELECT 0 AS i0, i1, avg(v) AS v FROM f GROUP BY i1", 4, 2)
+register("feature_means", lambda s, d: reduce.mean(any_lines(s, d, FEATURES), 0), f"WITH l AS ({LINES}), f AS ({FEAT}) SELECT 0 AS i0, i1, avg(v) AS v FROM f GROUP BY i1", 4, 2)
 register("zeros", lambda s, d: tensors.zeros(s, emb(s, d).shape), f"SELECT i0, i1, 0 AS v FROM ({EMB})", rank=2)
 register("arange", lambda s, d: tensors.arange(s, 1.0, 1.0 + 0.5 * read(s, d, "events").count(), 0.5), "SELECT i - 1 AS i0, 1 + 0.5 * (i - 1) AS v FROM (SELECT row_number() OVER () AS i FROM events)")
 
@@ -251,7 +256,7 @@ register("dot", lambda s, d: (v := elementwise.sqrt(values(s, d))) and linalg.ma
 register("matmul_batched", lambda s, d: (g := images(s, d)) and linalg.matmul(g, structure.transpose(g, (0, 2, 1))), f"WITH e AS ({IMG}) SELECT a.i0, a.i1, b.i1 AS i2, sum(a.v * b.v) AS v FROM e a JOIN e b ON a.i0 = b.i0 AND a.i2 = b.i2 GROUP BY a.i0, a.i1, b.i1", rank=3)
 register("matmul_outer", lambda s, d: (e := emb(s, d)) and linalg.matmul(e, structure.transpose(e)), f"WITH e AS ({EMB}) SELECT a.i0, b.i0 AS i1, sum(a.v * b.v) AS v FROM e a JOIN e b USING (i1) GROUP BY a.i0, b.i0", rank=2)
 register("cov_wide", lambda s, d: linalg.cov(emb(s, d)), f"WITH e AS ({EMB}) SELECT a.i1 AS i0, b.i1, covar_pop(a.v, b.v) AS v FROM e a JOIN e b USING (i0) GROUP BY a.i1, b.i1", rank=2)
-register("cov", lambda s, d: linalg.cov(lines(s, d, FEATURES), ddof=1), f"WITH l AS ({LINES}), f AS ({FEAT}) SELECT a.i1 AS i0, b.i1, covar_samp(a.v, b.v) AS v FROM f a JOIN f b USING (i0) GROUP BY a.i1, b.i1", 3, 2)
+register("cov", lambda s, d: linalg.cov(any_lines(s, d, FEATURES), ddof=1), f"WITH l AS ({LINES}), f AS ({FEAT}) SELECT a.i1 AS i0, b.i1, covar_samp(a.v, b.v) AS v FROM f a JOIN f b USING (i0) GROUP BY a.i1, b.i1", 3, 2)
 register("cov_batched", lambda s, d: linalg.cov(images(s, d), [1], [2]), f"WITH e AS ({IMG}) SELECT a.i0, a.i2 AS i1, b.i2, covar_pop(a.v, b.v) AS v FROM e a JOIN e b ON a.i0 = b.i0 AND a.i1 = b.i1 GROUP BY a.i0, a.i2, b.i2", rank=3)
 _TURN = "(CASE WHEN d >= 0 THEN 1 ELSE -1 END) / (abs(d) + sqrt(1 + d * d))"
 
@@ -276,7 +281,7 @@ register(
 )
 register(
     "pca_variance",
-    lambda s, d: ml.pca(lines(s, d, ["l_quantity", "l_extendedprice"])).explained_variance,
+    lambda s, d: ml.pca(any_lines(s, d, ["l_quantity", "l_extendedprice"])).explained_variance,
     "SELECT 0 AS i0, k AS i1, CASE WHEN k = 0 THEN 1 + abs(r) ELSE 1 - abs(r) END AS v FROM (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem), range(2) x(k)",
     rank=2,
 )
@@ -306,7 +311,7 @@ _Z2 = f"SELECT i0, (l_quantity - a) / s AS x, (l_extendedprice - b) / t * sign(r
 # a component's sign is free, so squares are compared
 _SQUARED = lambda t: elementwise.mul(t, t)
 register("pca_projections_squared", lambda s, d: _SQUARED(ml.pca(lines(s, d, PAIRED)).projections), f"SELECT i0, k AS i1, CASE WHEN k = 0 THEN (x + y) ** 2 / 2 ELSE (x - y) ** 2 / 2 END AS v FROM ({_Z2}), range(2) g(k)", rank=2)
-register("pca_loadings_products", lambda s, d: (p := ml.pca(lines(s, d, PAIRED)).loadings) and linalg.matmul(p, structure.transpose(elementwise.mul(p, structure.copy_from(p, tensors.from_values(s, [[2.0, 1.0]]))))), "SELECT i AS i0, j AS i1, CASE WHEN i = j THEN 1.5 ELSE sign(r) / 2 END AS v FROM (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem), range(2) f(i), range(2) g(j)", rank=2)
+register("pca_loadings_products", lambda s, d: (p := ml.pca(any_lines(s, d, PAIRED)).loadings) and linalg.matmul(p, structure.transpose(elementwise.mul(p, structure.copy_from(p, tensors.from_values(s, [[2.0, 1.0]]))))), "SELECT i AS i0, j AS i1, CASE WHEN i = j THEN 1.5 ELSE sign(r) / 2 END AS v FROM (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem), range(2) f(i), range(2) g(j)", rank=2)
 register("pca_projections", lambda s, d: ml.pca(emb(s, d), 3).projections, None)
 
 # -- learning ---------------------------------------------------------------------------------------------------

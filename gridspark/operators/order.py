@@ -16,16 +16,10 @@ def _order(t: TensorFrame, at, descending: bool) -> list:
     return [*nan, F.col("v").desc() if descending else F.col("v").asc(), at.asc()]
 
 
-def _lead(t: TensorFrame, descending: bool):
-    v = F.col("v").cast("double")
-    return -v if descending else v
-
-
 def _along(t: TensorFrame, axis: int, descending: bool) -> DataFrame:
     """The elements with ``_k``, their place in the order along the axis of a tensor of two or more."""
     others = [c for d, c in enumerate(t.coords) if d != axis]
-    at = F.col(f"i{axis}")
-    return ranked_along(t.df, others, _lead(t, descending), _order(t, at, descending), t.num_elements, t.shape[axis], "_k", at)
+    return ranked_along(t.df, others, _order(t, F.col(f"i{axis}"), descending), t.num_elements, t.shape[axis], "_k")
 
 
 def sort(t: TensorFrame, axis: int | None = None) -> TensorFrame:
@@ -33,11 +27,11 @@ def sort(t: TensorFrame, axis: int | None = None) -> TensorFrame:
     if not t.rank:
         return t
     if axis is None:
-        df = ranked(t.df.select(t.flat().alias("_k"), "v"), _lead(t, False), _order(t, F.col("_k"), False), t.num_elements, "k", F.col("_k"))
+        df = ranked(t.df.select(t.flat().alias("_k"), "v"), _order(t, F.col("_k"), False), t.num_elements, "k")
         return t.with_df(from_flat(df, t.shape))
     axis = shapes.axis_of(axis, t.rank, "sort")
     if t.rank == 1:
-        df = ranked(t.df, _lead(t, False), _order(t, F.col("i0"), False), t.num_elements, "_k", F.col("i0"))
+        df = ranked(t.df, _order(t, F.col("i0"), False), t.num_elements, "_k")
     else:
         df = _along(t, axis, False)
     return t.with_df(df.select(*[F.col("_k" if d == axis else c).alias(c) for d, c in enumerate(t.coords)], "v"))
@@ -50,7 +44,7 @@ def argsort(t: TensorFrame, axis: int | None = None, descending: bool = False) -
     if axis is not None:
         axis = shapes.axis_of(axis, t.rank, "argsort")
     if whole:
-        df = ranked(t.df.select(t.flat().alias("_at"), "v"), _lead(t, descending), _order(t, F.col("_at"), descending), t.num_elements, "i0", F.col("_at"))
+        df = ranked(t.df.select(t.flat().alias("_at"), "v"), _order(t, F.col("_at"), descending), t.num_elements, "i0")
         out = df.select("i0", F.col("_at").cast(TensorFrame(dtype=UINT64).sql_type).alias("v"))
         return t.with_df(out, (t.num_elements,), UINT64)
     at = F.col(f"i{axis}")

@@ -1,111 +1,78 @@
 """Running sums and ranks over more rows than a task should hold.
 
-A position or a sorted value is dealt to blocks; the blocks' sums or counts are scanned (one row a block), and a
-window inside each block adds the rest. All blocks work at once.
+Ranks take Spark's range exchange: rows are dealt to parts by the whole sort order, which tells them apart, and sorted
+there; the parts' sizes are the offsets of their rows' numbers. Running sums deal positions to blocks; the blocks' sums
+are scanned in the same way, level by level, and a window inside each block adds the rest.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.plans.storage import stored
+
 BLOCK = 65_536
-#: Rows that a ranking sorts in one task: some 100 MB. Up to here it takes no pass over the rows to find bounds.
-RANK_BLOCK = 1_000_000
-#: Bounds that the blocks of a ranking have at most; a search for a row's block looks at twice the square root of it.
-MAX_BOUNDS = 4_096
+#: Rows that are ranked by one task, without an exchange.
+FEW = 4_096
+#: Rows of a part of the range exchange.
+PART_ROWS = 250_000
 
 
 def running_sum(df: DataFrame, keys: list[str], at: Column, length: int, value: str, name: str, kind: str, block: int = BLOCK) -> DataFrame:
-    """``df`` with ``name``: the sum of ``value`` up to position ``at`` (0 to ``length`` - 1) among equal ``keys``."""
-    total = lambda w: F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    if length <= block and keys:
-        return df.withColumn(name, total(Window.partitionBy(*keys).orderBy(at)).cast(kind))
-    dealt = df.withColumn("_block", F.floor(at / F.lit(block)))
-    sums = dealt.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = dealt.withColumn("_own", total(Window.partitionBy(*keys, "_block").orderBy(at)))
-    return inside.join(offsets, [*keys, "_block"]).withColumn(name, (F.col("_own") + F.col("_before")).cast(kind)).drop("_block", "_own", "_before")
-
-
-def _literals(values: list, kind: str) -> Column:
-    """An array of numbers as one constant."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
-
-
-def _below(value: Column, bounds: list[float]) -> Column:
-    """How many of the rising bounds lie below the value: among every width-th bound first, then among the few after it."""
-    width = max(1, int(len(bounds) ** 0.5))
-    coarse = F.size(F.filter(_literals(bounds[width - 1 :: width], "double"), lambda b: b < value))
-    fine = F.slice(_literals(bounds, "double"), coarse * width + 1, F.lit(width))
-    return coarse * width + F.size(F.filter(fine, lambda b: b < value))
+    """``df`` with ``name``: the sum of ``value`` up to position ``at`` (0 to ``length`` - 1) among equal ``keys``.
 
-
-def dealt(df: DataFrame, lead: Column, rows: int, at: Column | None, block: int) -> DataFrame:
-    """``df`` with ``_block``, rising with ``lead`` (a double, NaN last) and, among equal leads, with ``at`` if it is given.
-
-    Bounds are percentiles of the lead. Equal leads share a block, unless ``at`` (0 to ``rows`` - 1) tells them apart:
-    then a lead that holds several blocks' rows, and NaN, are split evenly by it.
+    No window has more than ``block`` rows: blocks' sums are themselves summed in blocks, in as many levels as it takes.
     """
-    parts = min(MAX_BOUNDS, -(-2 * rows // block))
-    nan = F.isnan(lead)
-    shares = _literals([k / parts for k in range(1, parts)], "double")
-    found = df.agg(F.percentile_approx(F.when(~nan, lead), shares, F.lit(10_000)).alias("bounds"), F.count_if(nan).alias("nan")).first()
-    often = Counter(found["bounds"] or [])
-    bounds = sorted(often)
-    number = F.when(nan, F.lit(len(bounds) + 1)).otherwise(_below(lead, bounds))
-    if at is None:
-        return df.withColumn("_block", number)
-    # a bound that comes k times is a value of k - 1 blocks' rows at least
-    split = [*(often[b] for b in bounds), 1, max(1, -(-found["nan"] * parts // rows))]
-    first = list(accumulate(split, initial=0))[:-1]
-    of_block = lambda numbers, kind: F.get(_literals(numbers, kind), F.col("_block"))
-    held = lead.eqNullSafe(of_block(bounds, "double")) | nan
-    among = F.floor(at / F.lit(float(rows)) * of_block(split, "int")).cast("int")
-    # what lies below the value that a block ends with comes before it
-    return df.withColumn("_block", number).withColumn("_block", of_block(first, "int") * 2 + F.when(held, among * 2 + 1).otherwise(F.lit(0)))
-
-
-def ranked(df: DataFrame, lead: Column, order: list[Column], rows: int, name: str, at: Column | None = None, block: int = RANK_BLOCK) -> DataFrame:
-    """``df`` with ``name``: the position, from 0, by ``order``, of which ``lead`` (a double, NaN last) is the first key.
-
-    ``lead`` must rise with ``order``, and so must ``at`` among equal leads, if given: a number from 0 to ``rows`` - 1.
+    total = lambda w: F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if length <= block:
+        one = Window.partitionBy(*(keys or [F.lit(0)]))
+        return df.withColumn(name, total(one.orderBy(at)).cast(kind))
+    level = f"_block{length}"
+    dealt = df.withColumn(level, F.floor(at / F.lit(block)))
+    sums = dealt.groupBy(*keys, level).agg(F.sum(value).alias("_sum"))
+    above = running_sum(sums, keys, F.col(level), -(-length // block), "_sum", "_up_to", sums.schema["_sum"].dataType.simpleString(), block)
+    offsets = above.select(*keys, (F.col(level) + 1).alias(level), F.col("_up_to").alias("_before"))  # what the next block adds
+    inside = dealt.withColumn("_own", total(Window.partitionBy(*keys, level).orderBy(at)))
+    added = F.col("_own") + F.coalesce(F.col("_before"), F.lit(0))
+    return inside.join(offsets, [*keys, level], "left").withColumn(name, added.cast(kind)).drop(level, "_own", "_before")
+
+
+def ranked(df: DataFrame, order: list[Column], rows: int, name: str, few: int = FEW, part_rows: int = PART_ROWS) -> DataFrame:
+    """``df``, of ``rows`` rows, with ``name``: the position, from 0, by ``order``, which should tell all rows apart.
+
+    Rows are dealt and sorted by Spark's range exchange and kept, since another exchange would draw other bounds.
     """
-    if rows <= block:
+    if rows <= few:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).cast("long"))
-    blocks = dealt(df, lead, rows, at, block)
-    counts = blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).orderBy("_block").collect()  # some MAX_BOUNDS rows
-    start = dict(zip((r["_block"] for r in counts), accumulate((r["n"] for r in counts), initial=0)))
-    starts = _literals([start.get(b, 0) for b in range(max(start, default=0) + 1)], "bigint")
-    inside = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
-    # a projection, so that what does not use the position does not pay for it
-    return blocks.withColumn(name, (inside + F.get(starts, F.col("_block")) - 1).cast("long")).drop("_block")
-
-
-def ranked_along(df: DataFrame, keys: list[str], lead: Column, order: list[Column], rows: int, length: int, name: str, at: Column, block: int = RANK_BLOCK) -> DataFrame:
+    parts = max(-(-rows // part_rows), min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // few)))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    kept = stored(dealt.withColumn("_place", F.monotonically_increasing_id()), "ranked")  # the part in the upper 31 bits, the row in the lower 33
+    part = F.shiftright("_place", 33)
+    sizes = sorted((r["part"], r["n"]) for r in kept.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row a part
+    offsets = list(zip((p for p, _ in sizes), accumulate((n for _, n in sizes), initial=0)))
+    found = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part long, _before long"))
+    joined = kept.join(found, part == F.col("_part"))
+    return joined.select(*df.columns, (F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+
+
+def ranked_along(df: DataFrame, keys: list[str], order: list[Column], rows: int, length: int, name: str, block: int = BLOCK) -> DataFrame:
     """``df`` with ``name``: the position, from 0, by ``order`` among rows of equal ``keys``, each of which has ``length`` of the ``rows``.
 
-    As in ``ranked``, ``lead`` must rise with ``order`` and ``at``, here from 0 to ``length`` - 1, with it among equal leads.
-    Longer axes are dealt to the same blocks for all keys; what of one key is in one block is sorted together.
+    Axes of over ``block`` rows are ranked with all keys together: as each key has as many rows, the rest of the position
+    is the one along the axis.
     """
     if length <= block:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
-    blocks = dealt(df, lead, rows, at * F.lit(rows // length), block)
-    counts = blocks.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # some MAX_BOUNDS rows a key
-    inside = blocks.withColumn("_own", F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order)))
-    return inside.join(starts, [*keys, "_block"]).withColumn(name, (F.col("_own") + F.col("_start") - 1).cast("long")).drop("_block", "_own", "_start")
+    return ranked(df, [*map(F.col, keys), *order], rows, name).withColumn(name, F.col(name) % F.lit(length))
 
 
-def numbered(df: DataFrame, order: list[str], name: str, rows: int, block: int = RANK_BLOCK) -> DataFrame:
-    """``df``, of ``rows`` rows, with dense row numbers by ``order`` (ascending, nulls first); the first column is numeric.
+def numbered(df: DataFrame, order: list[str], name: str, rows: int) -> DataFrame:
+    """``df``, of ``rows`` rows, with dense row numbers by ``order`` (ascending, nulls first).
 
     Rows that are equal in all of ``order`` are interchangeable.
     """
-    lead = F.coalesce(F.col(order[0]).cast("double"), F.lit(float("-inf")))
-    return ranked(df, lead, [F.col(c).asc_nulls_first() for c in order], rows, name, block=block)
+    told = df.withColumn("_tie", F.monotonically_increasing_id())
+    return ranked(told, [*[F.col(c).asc_nulls_first() for c in order], F.col("_tie")], rows, name).drop("_tie")

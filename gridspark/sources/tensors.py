@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import builtins
 import math
-from itertools import chain
+from itertools import accumulate, chain
 from math import prod
 
 import numpy as np
@@ -17,6 +18,9 @@ from gridspark.functions.guards import finite, no_nan, no_null
 from gridspark.plans import shapes
 from gridspark.plans.scan import numbered
 
+#: Files up to which their offsets are broadcast.
+MANY_FILES = 1_000_000
+
 
 def zeros(spark: SparkSession, shape, dtype: str = FLOAT, requires_grad: bool = False) -> TensorFrame:
     shape = shapes.checked(shape, "zeros")
@@ -67,13 +71,33 @@ def from_columns(df: DataFrame, key: str, columns: list[str], rows: int) -> Tens
     return from_array_column(packed, "_key", "_values", rows, len(columns))
 
 
-def from_table(df: DataFrame, order: list[str], columns: list[str]) -> TensorFrame:
-    """A matrix of a table without a dense key: rows go by ``order``, of which the first column is numeric."""
+def from_table(df: DataFrame, order: list[str] | None, columns: list[str]) -> TensorFrame:
+    """A matrix of a table without a dense key. Rows go by ``order``, which takes a sort; without one, as the files have them.
+
+    For the files' order the table must be read from Parquet, not yet joined or aggregated: a row's number is its place in
+    its file, which the reader knows, after the rows of the files before by name. That takes no sort and no shuffle of
+    rows, only a count of each file's rows (of which the read needs no column).
+    """
+    if order is None:
+        return from_columns(*_by_file(df, columns))
     kept = df.select(*dict.fromkeys([*order, *columns]))
     rows = df.count()
     return from_columns(numbered(kept, order, "_row", rows), "_row", columns, max(1, rows))
 
 
+def _by_file(df: DataFrame, columns: list[str]) -> tuple[DataFrame, str, list[str], int]:
+    """The columns with ``_row``, and how many rows there are."""
+    file = F.col("_metadata.file_path")
+    counts = df.select(file.alias("_file")).groupBy("_file").count()
+    sizes = sorted((r["_file"], r["count"]) for r in counts.collect())  # a row a file
+    offsets = list(zip((f for f, _ in sizes), accumulate((n for _, n in sizes), initial=0)))
+    rows = builtins.sum(n for _, n in sizes)
+    found = df.sparkSession.createDataFrame(offsets, "_file string, _before long")
+    placed = df.select(*dict.fromkeys(columns), file.alias("_in"), F.col("_metadata.row_index").alias("_at"))
+    joined = placed.join(F.broadcast(found) if len(offsets) <= MANY_FILES else found, F.col("_in") == F.col("_file"))
+    return joined.select(*dict.fromkeys(columns), (F.col("_before") + F.col("_at")).alias("_row")), "_row", columns, max(1, rows)
+
+
 def to_table(t: TensorFrame) -> DataFrame:
     """The rows of a matrix with a column for each of its columns, of which there may be 1,024; of other tensors the long form."""
     if t.rank != 2:

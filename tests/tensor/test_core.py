@@ -184,7 +184,7 @@ def test_order(t):
     same(order.argsort(t([1.0, nan, 0, 2]), None, True), [3, 0, 2, 1])
 
 
-def test_blocked_scans_equal_plain_ones(spark, monkeypatch):
+def test_ranks_by_range_exchange_equal_plain_ones(spark, monkeypatch):
     from gridspark.plans import scan
 
     rng = np.random.default_rng(2)
@@ -192,35 +192,47 @@ def test_blocked_scans_equal_plain_ones(spark, monkeypatch):
     v[::97] = np.nan
     x = T.from_values(spark, v)
     want = np.argsort(np.where(np.isnan(v), np.inf, v), kind="stable")
-    monkeypatch.setattr(scan.ranked, "__defaults__", (None, 50))
+    monkeypatch.setattr(scan.ranked, "__defaults__", (20, 100))
     same(order.argsort(x), want)
     falling = np.argsort(np.where(np.isnan(v), np.inf, -v), kind="stable")
     same(order.argsort(x, None, True), falling)
     same(order.sort(x), np.sort(v))
-    whole = np.arange(1.0, 501)
-    monkeypatch.setattr(scan.running_sum, "__defaults__", (37,))
+    big = [(1 << 64) - 1 - k % 50 for k in range(300)]  # beyond what a double tells apart
+    same(order.sort(T.from_values(spark, big, dtype="uint64")), sorted(big))
+
+
+def test_running_sums_of_three_levels(spark, monkeypatch):
+    from gridspark.plans import scan
+
+    monkeypatch.setattr(scan.running_sum, "__defaults__", (7,))
+    whole = np.arange(1.0, 301)
     same(reduce.cumsum(T.from_values(spark, whole)), whole.cumsum())
+    x = np.random.default_rng(3).normal(size=(3, 120))
+    same(reduce.cumsum(T.from_values(spark, x), 1), x.cumsum(1))
+    high = [(1 << 64) - 1, 5, *range(80)]
+    same(reduce.cumsum(T.from_values(spark, high, dtype="uint64")), [sum(high[: k + 1]) % (1 << 64) for k in range(len(high))])
 
 
 @pytest.mark.parametrize("kind", ["equal", "half NaN", "mixed", "infinite"])
-def test_ties_are_split_over_blocks(spark, kind):
+def test_ties_are_even_over_parts(spark, kind):
     from pyspark.sql import functions as F
 
     from gridspark.plans import scan
 
     rng = np.random.default_rng(4)
-    n = 4000
+    n = 20_000
     v = {"equal": np.full(n, 3.0), "half NaN": np.where(np.arange(n) % 2, math.nan, np.arange(n) % 7), "mixed": np.where(rng.random(n) < 0.6, 5.0, rng.normal(size=n)), "infinite": np.where(rng.random(n) < 0.5, math.inf, -math.inf)}[kind]
     df = spark.createDataFrame(list(enumerate(v.tolist())), "k long, v double")
-    got = scan.ranked(df, F.col("v"), [F.isnan("v"), F.col("v"), F.col("k")], n, "at", F.col("k"), block=200)
+    by = [F.isnan("v"), F.col("v"), F.col("k")]
+    got = scan.ranked(df, by, n, "at", few=100, part_rows=2000)
     rows = got.select("k", "at").toPandas().sort_values("at")
     assert rows["at"].tolist() == list(range(n)) and rows["k"].tolist() == np.argsort(np.where(np.isnan(v), np.inf if kind != "infinite" else 0, v), kind="stable").tolist()
-    sizes = [r["count"] for r in scan.dealt(df, F.col("v"), n, F.col("k"), 200).groupBy("_block").count().collect()]
-    assert max(sizes) <= 2 * 200 and sum(sizes) == n
+    sizes = [r["count"] for r in df.repartitionByRange(10, *by).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 10 and max(sizes) <= 2 * 2000
 
 
 @pytest.mark.parametrize("kind", ["equal", "apart", "ties and NaN"])
-def test_long_axes_are_ranked_in_blocks(spark, monkeypatch, kind):
+def test_long_axes_are_ranked_with_all_keys(spark, monkeypatch, kind):
     from gridspark.plans import scan
 
     rng = np.random.default_rng(6)
@@ -230,6 +242,7 @@ def test_long_axes_are_ranked_in_blocks(spark, monkeypatch, kind):
         "ties and NaN": np.where(rng.random((400, 3)) < 0.3, math.nan, rng.integers(0, 6, (400, 3))),
     }[kind]
     monkeypatch.setattr(scan.ranked_along, "__defaults__", (50,))
+    monkeypatch.setattr(scan.ranked, "__defaults__", (20, 100))
     x = T.from_values(spark, a)
     for descending, key in ((False, a), (True, -a)):
         same(order.argsort(x, 0, descending), np.where(np.isnan(key), np.inf, key).argsort(0, kind="stable"))
@@ -237,6 +250,21 @@ def test_long_axes_are_ranked_in_blocks(spark, monkeypatch, kind):
     same(order.sort(S.transpose(x), 1), np.sort(a, 0).T)
 
 
+def test_table_rows_by_file(spark, tmp_path):
+    """Several files of several row groups: dense numbers in the files' order, without a sort or a shuffle of rows."""
+    rows = [(float(k), float(k * k % 11), "x") for k in range(1000)]
+    spark.createDataFrame(rows, "a double, b double, _row string").repartition(4).write.option("parquet.block.size", 2048).parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    x = T.from_table(table, None, ["b", "a"])
+    assert x.shape == (1000, 2)
+    got = x.to_numpy()
+    assert sorted(map(tuple, got.tolist())) == sorted((b, a) for a, b, _ in rows)
+    files = sorted((tmp_path / "t").glob("*.parquet"))
+    want = [r["a"] for f in files for r in spark.read.parquet(str(f)).collect()]
+    assert len(files) == 4 and got[:, 1].tolist() == want
+    assert "Exchange hashpartitioning" not in (plan := x.df._jdf.queryExecution().executedPlan().toString()) and "Sort" not in plan
+
+
 def test_positions_in_the_flat_order(t):
     x, other = t([[1.0, 2.0], [3.0, 4.0]]), t([5.0, 6.0])
     first, last = x.begin(), x.end()
