@@ -314,6 +314,31 @@ register("pca_projections_squared", lambda s, d: _SQUARED(ml.pca(lines(s, d, PAI
 register("pca_loadings_products", lambda s, d: (p := ml.pca(any_lines(s, d, PAIRED)).loadings) and linalg.matmul(p, structure.transpose(elementwise.mul(p, structure.copy_from(p, tensors.from_values(s, [[2.0, 1.0]]))))), "SELECT i AS i0, j AS i1, CASE WHEN i = j THEN 1.5 ELSE sign(r) / 2 END AS v FROM (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem), range(2) f(i), range(2) g(j)", rank=2)
 register("pca_projections", lambda s, d: ml.pca(emb(s, d), 3).projections, None)
 
+
+def spectrum_sums(s: SparkSession, d: str) -> TensorFrame:
+    """{2}: the sum of a covariance's eigenvalues and that of their squares"""
+    values = linalg.eig(linalg.cov(emb(s, d)))[0].df.agg(F.array(F.sum("v"), F.sum(F.col("v") * F.col("v"))).alias("x"))
+    return TensorFrame(values.select(F.posexplode("x").alias("i0", "v")).select(F.col("i0").cast("long"), "v"), (2,))
+
+
+register(
+    "eig_covariance_sums", spectrum_sums,
+    f"WITH e AS ({EMB}), c AS (SELECT a.i1 AS x, b.i1 AS y, covar_pop(a.v, b.v) AS v FROM e a JOIN e b USING (i0) GROUP BY a.i1, b.i1) SELECT k AS i0, CASE WHEN k = 0 THEN sum(CASE WHEN x = y THEN v END) ELSE sum(v * v) END AS v FROM c, range(2) g(k) GROUP BY k", 5,
+)
+
+
+def mixtures(s: SparkSession, d: str) -> TensorFrame:
+    """{rows, 24}: 24 mixtures of the first two columns"""
+    df = read(s, d, "embeddings")
+    mixed = F.expr("transform(sequence(0, 23), k -> (k + 1) * embedding[0] + (24 - k) * embedding[1])")
+    return tensors.from_array_column(df.select("vec_id", mixed.alias("x")), "vec_id", "x", df.count(), 24)
+
+
+# two components hold all that mixtures of two columns spread over: squared lengths and variances stay
+_MIXED = "SELECT vec_id AS i0, k AS i1, (k + 1) * embedding[1]::DOUBLE + (24 - k) * embedding[2]::DOUBLE AS v FROM embeddings, range(24) r(k)"
+register("pca_panel_lengths", lambda s, d: reduce.sum(_SQUARED(ml.pca(mixtures(s, d), 2, False).projections), 1), f"WITH e AS ({_MIXED}), m AS (SELECT i1, avg(v) AS a FROM e GROUP BY i1) SELECT i0, 0 AS i1, sum((v - a) ** 2) AS v FROM e JOIN m USING (i1) GROUP BY i0", 4, 2)
+register("pca_panel_variance", lambda s, d: reduce.sum(ml.pca(mixtures(s, d), 2, False).explained_variance, 1), f"WITH e AS ({_MIXED}), m AS (SELECT i1, var_samp(v) AS a FROM e GROUP BY i1) SELECT 0 AS i0, 0 AS i1, sum(a) AS v FROM m", 4, 2)
+
 # -- learning ---------------------------------------------------------------------------------------------------
 
 

@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.errors import NanError, NonFiniteError, ValidationError, message, require
+from gridspark.errors import NanError, NonFiniteError, ValidationError, message, raised, require
 from gridspark.frame import TensorFrame
 from gridspark.functions import unsigned
 from gridspark.functions.guards import finite, no_nan
-from gridspark.operators import moments, reduce, structure
+from gridspark.operators import moments, reduce, spectra, structure
 from gridspark.plans import shapes, tiles
 
 #: Products of elements from which a matrix product multiplies blocks instead of pairing elements.
@@ -28,6 +28,8 @@ TILE = 1_024
 BROADCAST_BYTES = 32 << 20
 #: Elements of partial products that a task holds at once.
 HELD_ELEMENTS = 4 << 20
+#: Rows of a matrix up to which one task finds its spectrum, in the order of row-by-row rotations.
+EIG_TASK = 128
 #: Events up to which covariances are sums of products in one aggregate.
 FEW_EVENTS = 16
 #: Events up to which a task adds up all covariances of its samples: 32 MB.
@@ -251,8 +253,6 @@ def _spectra(t: TensorFrame, max_iters: int, tol: float, largest: int | None) ->
     With ``largest``, only so many, by falling eigenvalue (ties in the order of the rotations). A group is one
     matrix, so its size is the tensor's last two dimensions.
     """
-    require(t.rank >= 2 and t.is_float, ValidationError, "eig", "a float tensor of two axes or more is needed")
-    require(t.shape[-1] == t.shape[-2], ValidationError, "eig", "the matrices are not square")
     n, lead = t.shape[-1], t.rank - 2
     keys = t.coords[:lead]
     r, c = t.coords[lead:]
@@ -280,15 +280,34 @@ def _spectra(t: TensorFrame, max_iters: int, tol: float, largest: int | None) ->
     return (t.df.groupBy(*keys) if keys else t.df.withColumn("_one", F.lit(0)).groupBy("_one")).applyInPandas(solve, schema)
 
 
+def _large_spectra(t: TensorFrame, max_iters: int, largest: int | None) -> DataFrame:
+    """As ``_spectra``, by falling value, with every matrix in blocks of columns."""
+    *keys, r, c = t.coords
+    flat = F.lit(0).cast("long")
+    for name, size in zip(keys, t.shape):
+        flat = flat * size + F.col(name)
+    cells = t.df.select(flat.alias("b"), F.col(r).alias("r"), F.col(c).alias("c"), finite(no_nan(F.col("v"), "eig"), "eig").alias("v"))
+    with raised():
+        found = spectra.block_jacobi(cells, t.shape[-1], max_iters)
+    if largest is not None:
+        found = found.where(F.col("c") < largest)
+    step, names = prod(t.shape[:-2]), []
+    for name, size in zip(keys, t.shape):
+        step //= size
+        names.append(F.expr(f"(b div {step}) % {size}").cast("long").alias(name))
+    return found.select(*names, F.col("r").alias(r), F.col("c").alias(c), "v")
+
+
 def eig(t: TensorFrame, max_iters: int = 100, tol: float = 1e-4, largest: int | None = None) -> tuple[TensorFrame, TensorFrame]:
     """(values {batch..., 1, N}, vectors {batch..., N, N} by columns) of symmetric matrices on the last two axes.
 
-    ``largest``: only so many, by falling value; otherwise all, in the order that the rotations leave.
+    ``largest``: only so many, by falling value; otherwise all, in the order that the rotations leave. Matrices of over
+    EIG_TASK rows are rotated by blocks in many tasks: theirs always come by falling value, and ``max_iters`` counts sweeps.
     """
-    both = _spectra(t, max_iters, tol, largest)
+    require(t.rank >= 2 and t.is_float, ValidationError, "eig", "a float tensor of two axes or more is needed")
+    require(t.shape[-1] == t.shape[-2], ValidationError, "eig", "the matrices are not square")
+    both = _spectra(t, max_iters, tol, largest) if t.shape[-1] <= EIG_TASK else _large_spectra(t, max_iters, largest)
     r, k = t.coords[-2], largest or t.shape[-1]
     values = both.where(F.col(r) == -1).withColumn(r, F.lit(0).cast("long"))
     vectors = both.where(F.col(r) >= 0).select(*t.coords, "v")
     return t.with_df(values.select(*t.coords, "v"), (*t.shape[:-2], 1, k)), t.with_df(vectors, (*t.shape[:-1], k))
-
-

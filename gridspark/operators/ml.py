@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from gridspark.errors import BoundsError, ValidationError, require
 from gridspark.frame import TensorFrame, joined
 from gridspark.functions.guards import ensure, finite, no_nan
-from gridspark.operators import elementwise, linalg, reduce
+from gridspark.operators import elementwise, linalg, reduce, spectra
 from gridspark.plans import shapes
 from gridspark.plans.scan import BLOCK
+from gridspark.sources import tensors
+
+#: Components are few if there are so many columns for each.
+PANEL_SHARE = 4
 
 
 def one_hot_expand_at(t: TensorFrame, axis: int, axis_index: int, depth: int, on: float = 1, off: float = 0) -> TensorFrame:
@@ -95,13 +99,17 @@ class PCAResult(NamedTuple):
 def pca(data: TensorFrame, n_components: int | None = None, standardize: bool = True) -> PCAResult:
     """Principal components of {batch..., rows, columns}: eigenvalues of the covariance (ddof 1), largest first.
 
-    Only the covariance, of columns x columns, meets in one task; rows stay distributed.
+    A few components of many columns are found by panels that go through the rows; then no matrix of columns x columns
+    arises, and the work is done when this is called. Otherwise the covariance is solved; rows stay distributed either way.
     """
     require(data.rank >= 2 and data.is_float, ValidationError, "pca", "a float tensor of two axes or more is needed")
     rows, columns = data.shape[-2:]
     k = columns if n_components is None else n_components
     require(1 <= k <= columns, ValidationError, "pca", f"{k} components of {columns}")
     require(rows >= 2, ValidationError, "pca", "two rows are needed")
+    if data.rank == 2 and columns > linalg.FEW_EVENTS and PANEL_SHARE * k <= columns:
+        found, spark = spectra.components(data, k, standardize), data.df.sparkSession
+        return PCAResult(found.projections, tensors.from_values(spark, found.variances, (1, k)), tensors.from_values(spark, found.vectors))
     x = reduce.center(data, -2)
     if standardize:
         x = elementwise.div(x, reduce.stddev(data, -2, 1))
