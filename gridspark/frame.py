@@ -194,14 +194,34 @@ class TensorFrame:
         first = shapes.ravel(start, self.shape)
         reach = first + sum((n - 1) * s for n, s in zip(shape, strides))
         require(all(s >= 0 for s in strides) and reach < self.num_elements, BoundsError, where, "the view reaches outside")
-        grid = flat_grid(self.df.sparkSession, shape)
-        offset = F.lit(first).cast("long")
-        for d, step in enumerate(strides):
-            offset = offset + F.col(f"i{d}") * F.lit(int(step))
-        grid = grid.withColumn("_k", offset)
-        source = self.df.select(self.flat().alias("_k"), "v")
-        df = grid.join(small(source, self.num_elements), "_k").select(*[f"i{d}" for d in range(len(shape))], "v")
-        return replace(self.with_df(df, shape, view=True), requires_grad=self.requires_grad)
+        return replace(self.with_df(self._inverted(first, shape, strides), shape, view=True), requires_grad=self.requires_grad)
+
+    def _inverted(self, first: int, shape: Shape, strides) -> DataFrame:
+        """The cells of a strided view that each element is: its offset taken apart by falling strides.
+
+        Where a stride is larger than all that smaller ones reach together, the coordinate follows by division, so
+        nested strides are a filter and a projection. Others, and stride 0, have several cells of an element: their
+        coordinates in question, from what smaller strides can still reach, are exploded.
+        """
+        axes = sorted((d for d, n in enumerate(shape) if n > 1), key=lambda d: -strides[d])
+        rest = sum((shape[d] - 1) * int(strides[d]) for d in axes)
+        df = self.df.select((self.flat() - F.lit(first)).alias("_o"), "v").where(F.col("_o").between(0, rest))
+        found: list[str] = []
+        for d in axes:
+            n, step = shape[d], int(strides[d])
+            rest -= (n - 1) * step
+            if step > rest:
+                place = F.floor(F.col("_o") / F.lit(step))
+                df = df.select(*found, place.alias(f"_{d}"), (F.col("_o") - place * step).alias("_o"), "v").where(F.col(f"_{d}") < n)
+            else:
+                low, high = F.lit(0).cast("long"), F.lit(n - 1).cast("long")
+                if step:
+                    low, high = F.greatest(low, F.ceil((F.col("_o") - rest) / F.lit(step))), F.least(high, F.floor(F.col("_o") / F.lit(step)))
+                places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+                df = df.select(*found, F.explode(places).alias(f"_{d}"), "_o", "v").withColumn("_o", F.col("_o") - F.col(f"_{d}") * step)
+            found.append(f"_{d}")
+        coords = [(F.col(f"_{d}") if d in axes else F.lit(0)).cast("long").alias(f"i{d}") for d in range(len(shape))]
+        return df.where("_o = 0").select(*coords, "v")
 
     def __getitem__(self, index: int) -> TensorFrame:
         require(self.rank > 0, ValidationError, "index", "an empty tensor")

@@ -13,6 +13,7 @@ small QR decompositions, whose last triangle has the same singular values.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -155,10 +156,8 @@ def _gathered(blocks: DataFrame, of_task: Callable, join: Callable, shape: tuple
                 total = m if total is None else join(total, m)
         yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()], pa.binary())], names=["part", "m"])
 
-    parts = blocks.select("block").mapInArrow(run, "part long, m binary")
-    for _ in range(2):
-        parts = parts.groupBy("part").applyInArrow(level, "part long, m binary")
-    return np.frombuffer(parts.first()["m"]).reshape(-1, shape[1])
+    parts = blocks.select("block").mapInArrow(run, "part long, m binary").groupBy("part").applyInArrow(level, "part long, m binary")
+    return reduce(join, (np.frombuffer(r["m"]).reshape(-1, shape[1]) for r in parts.collect()))  # BRANCHES rows at most
 
 
 def components(t: TensorFrame, k: int, standardize: bool) -> Components:

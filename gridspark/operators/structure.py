@@ -6,11 +6,13 @@ from dataclasses import replace
 from enum import Enum
 from math import prod
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.errors import BoundsError, ValidationError, message, require
-from gridspark.frame import TensorFrame, flat_grid, from_flat, joined, small
+from gridspark.frame import BROADCAST_ELEMENTS, TensorFrame, flat_grid, from_flat, joined, small
 from gridspark.plans import shapes
+from gridspark.plans.scan import BLOCK
 
 
 class UpsampleMode(Enum):
@@ -57,12 +59,11 @@ def with_view_assigned(owner: TensorFrame, start, source: TensorFrame) -> Tensor
     full = shapes.aligned(block.shape, owner.rank)
     lead = owner.rank - block.rank
     at = [F.lit(s).cast("long") + (F.col(f"i{d - lead}") if d >= lead else F.lit(0)) for d, s in enumerate(start)]
-    fresh = source.df.select(*[c.alias(f"_{d}") for d, c in enumerate(at)], F.col("v").alias("_v"))
-    on = F.lit(True)
-    for d in range(owner.rank):
-        on = on & (F.col(f"i{d}") == F.col(f"_{d}"))
-    df = owner.df.join(small(fresh, prod(full)), on, "left")
-    return owner.with_df(df.select(*owner.coords, F.when(F.col("_0").isNotNull(), F.col("_v")).otherwise(F.col("v")).alias("v")))
+    inside = F.lit(True)
+    for d, (s, n) in enumerate(zip(start, full)):
+        inside = inside & F.col(f"i{d}").between(s, s + n - 1)
+    fresh = source.df.select(*[c.alias(f"i{d}") for d, c in enumerate(at)], F.col("v").cast(owner.sql_type).alias("v"))
+    return owner.with_df(owner.df.where(~inside).select(*owner.coords, "v").unionByName(fresh))
 
 
 def _border(t: TensorFrame, shape: shapes.Shape, inside, value) -> TensorFrame:
@@ -106,10 +107,40 @@ def upsample(t: TensorFrame, stride: int, mode: UpsampleMode = UpsampleMode.ZERO
     return t.with_df(df.where((F.col(r) < shape[-2]) & (F.col(c) < shape[-1])), shape)
 
 
+#: A key with one of so many rows is frequent, and its rows are dealt to as many tasks.
+SHARE = 256
+
+
+def frequent(wanted: DataFrame, keys: list[str], rows: int) -> list[int]:
+    """Hashes of the keys that hold 1 of SHARE of the rows: SHARE of them at most, by a summary that is merged."""
+    top = wanted.select(F.xxhash64(*keys).alias("h")).agg(F.expr(f"approx_top_k(h, {2 * SHARE}, {16 * SHARE})").alias("top"))
+    return [r["item"] for r in top.first()["top"] or [] if r["count"] * SHARE >= rows]
+
+
+def salted(wanted: DataFrame, source: DataFrame, keys: list[str], hot: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_salt``: rows that want a frequent key are dealt to SHARE salts, with which its source rows repeat."""
+    often = F.xxhash64(*keys).isin(hot)
+    dealt = F.when(often, F.pmod(F.xxhash64(*wanted.columns), F.lit(SHARE))).otherwise(F.lit(0)).cast("int")
+    salts = F.when(often, F.sequence(F.lit(0), F.lit(SHARE - 1))).otherwise(F.array(F.lit(0)))
+    return wanted.withColumn("_salt", dealt), source.withColumn("_salt", F.explode(salts))
+
+
+def _looked_up(wanted: DataFrame, rows: int, source: DataFrame, elements: int, keys: list[str], most: int) -> DataFrame:
+    """``wanted`` with the value of ``source`` for equal keys; no key has more than ``most`` rows of ``wanted``."""
+    if elements <= BROADCAST_ELEMENTS or rows <= BROADCAST_ELEMENTS or most <= BLOCK:
+        return small(wanted, rows).join(small(source, elements), keys) if elements > rows else wanted.join(small(source, elements), keys)
+    hot = frequent(wanted, keys, rows)
+    if not hot:
+        return wanted.join(source, keys)
+    wanted, source = salted(wanted, source, keys, hot)
+    return wanted.join(source, [*keys, "_salt"])
+
+
 def gather(t: TensorFrame, indexes: TensorFrame, axis: int | None = None) -> TensorFrame:
     """Elements by index. Without an axis: positions in row-major order, as many as there are elements.
 
-    With an axis: ``indexes`` broadcasts to the tensor's shape, and each replaces the coordinate of that axis.
+    With an axis: ``indexes`` broadcasts to the tensor's shape, and each replaces the coordinate of that axis. The tensor
+    is read once, and joined with the indexes on the axes along which these extend.
     """
     _has(t, "gather")
     _has(indexes, "gather")
@@ -120,15 +151,17 @@ def gather(t: TensorFrame, indexes: TensorFrame, axis: int | None = None) -> Ten
         require(indexes.rank == 1 and indexes.num_elements == t.num_elements, ValidationError, "gather", "an index for each element is needed")
         source = t.df.select(t.flat().alias("_at"), "v")
         wanted = indexes.df.select(F.col("i0").alias("k"), told.alias("_at"))
-        return t.with_df(from_flat(wanted.join(small(source, t.num_elements), "_at"), t.shape))
+        return t.with_df(from_flat(_looked_up(wanted, t.num_elements, source, t.num_elements, ["_at"], t.num_elements), t.shape))
     axis = shapes.axis_of(axis, t.rank, "gather")
     require(indexes.rank <= t.rank, ValidationError, "gather", "the indexes have more axes than the tensor")
     require(shapes.broadcast([indexes.shape, t.shape], "gather") == t.shape, ValidationError, "gather", "the indexes don't fit the tensor")
-    wide, _ = joined([replace(t, literal=None), replace(indexes, literal=None)], "gather")
-    wanted = wide.select(*[F.col(c).alias(f"_o{d}") for d, c in enumerate(t.coords)], F.col("v1").alias("v")).withColumn("_at", told)
-    on = F.lit(True)
-    for d, c in enumerate(t.coords):
-        on = on & (F.col(c) == F.col("_at" if d == axis else f"_o{d}"))
-    source = t.df.select(*t.coords, F.col("v").alias("_v"))
-    df = wanted.join(small(source, t.num_elements), on)
-    return t.with_df(df.select(*[F.col(f"_o{d}").alias(c) for d, c in enumerate(t.coords)], F.col("_v").alias("v")))
+    lead = t.rank - indexes.rank
+    own = [lead + d for d, n in enumerate(indexes.shape) if n > 1]
+    places = [F.col(f"i{axis - lead}").alias("_to")] if axis in own else []
+    wanted = indexes.df.select(*[F.col(f"i{d - lead}").alias(f"_{d}") for d in own if d != axis], *places, told.alias(f"_{axis}"))
+    keys = [f"_{d}" for d in own if d != axis] + [f"_{axis}"]
+    source = t.df.select(*[F.col(c).alias(f"_{d}") for d, c in enumerate(t.coords)], "v")
+    df = _looked_up(wanted, indexes.num_elements, source, t.num_elements, keys, t.shape[axis] if axis in own else 1)
+    if axis not in own:  # one index for the whole axis
+        df = df.withColumn("_to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(t.shape[axis] - 1).cast("long"))))
+    return t.with_df(df.select(*[F.col("_to" if d == axis else f"_{d}").alias(c) for d, c in enumerate(t.coords)], "v"))

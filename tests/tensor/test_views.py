@@ -1,0 +1,79 @@
+"""Views by stride inversion, and index joins with frequent indexes."""
+
+import numpy as np
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from gridspark.frame import UINT64
+from gridspark.operators import structure as S
+from gridspark.sources import tensors as T
+
+
+def plan_of(t):
+    return t.df._jdf.queryExecution().executedPlan().toString()
+
+
+def strided(a, first, shape, strides):
+    at = first + sum(s * g for s, g in zip(strides, np.indices(shape)))
+    return a.ravel()[at]
+
+
+@given(st.lists(st.tuples(st.integers(1, 4), st.integers(0, 9)), min_size=1, max_size=3), st.integers(0, 5))
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_any_strides(spark, axes, first):
+    a = np.arange(100.0).reshape(4, 25)
+    shape, strides = zip(*axes)
+    got = T.from_values(spark, a).alias_view((0, first), shape, strides).to_numpy()
+    assert np.array_equal(got, strided(a, first, shape, strides))
+
+
+@pytest.mark.parametrize(("shape", "strides", "exploded"), [((3, 4), (13, 4), False), ((3, 4, 2), (1, 20, 5), False), ((5, 3), (1, 1), True), ((4, 3), (0, 7), True), ((3, 1, 6), (30, 0, 4), False), ((3, 6, 3), (30, 2, 4), True)])
+def test_nested_strides_are_a_filter_and_a_projection(spark, shape, strides, exploded):
+    a = np.arange(100.0).reshape(4, 25)
+    view = T.from_values(spark, a).alias_view((0, 1), shape, strides)
+    assert np.array_equal(view.to_numpy(), strided(a, 1, shape, strides))
+    plan = plan_of(view)
+    assert "Join" not in plan and "Exchange" not in plan and ("Generate" in plan) == exploded
+
+
+def test_assigned_views_take_no_join(spark):
+    a = np.arange(24.0).reshape(2, 3, 4)
+    got = S.with_view_assigned(T.from_values(spark, a), (1, 0, 1), T.from_values(spark, -np.ones((2, 3))))
+    a[1, 0:2, 1:4] = -1
+    assert np.array_equal(got.to_numpy(), a) and "Join" not in plan_of(got)
+
+
+def test_gather_reads_the_tensor_once(spark):
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(4, 5, 6))
+    x = T.from_values(spark, a)
+    for axis, shape in ((1, (4, 5, 6)), (1, (5, 1)), (2, (1, 1, 6)), (0, (1,)), (1, (4, 1, 1)), (2, (5, 6)), (0, (4, 5, 1))):
+        index = rng.integers(0, a.shape[axis], shape)
+        got = S.gather(x, T.from_values(spark, index, dtype=UINT64), axis)
+        assert np.array_equal(got.to_numpy(), np.take_along_axis(a, np.broadcast_to(index, a.shape), axis))
+    file = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(a.reshape(4, 30))], "k long, x array<double>")
+    wide = T.from_array_column(file.repartition(2), "k", "x", 4, 30)
+    assert plan_of(S.gather(wide, T.from_values(spark, [[3]] * 4, dtype=UINT64), 1)).count("RoundRobin") == 1
+
+
+def test_half_of_all_indexes_equal(spark, monkeypatch):
+    monkeypatch.setattr(S, "BROADCAST_ELEMENTS", 0)
+    monkeypatch.setattr("gridspark.frame.BROADCAST_ELEMENTS", 0)
+    monkeypatch.setattr(S, "BLOCK", 10)
+    n = 20_000
+    index = np.where(np.arange(n) % 2, 77, np.arange(n) * 7919 % n)
+    df = spark.range(n)
+    x = T.from_column(df, "id", F.col("id") * 0.5, n)
+    at = T.from_column(df, "id", F.when(F.col("id") % 2 == 1, 77).otherwise(F.col("id") * 7919 % n), n)
+    at = at.with_df(at.df.select("i0", F.col("v").cast("decimal(20,0)").alias("v")), dtype=UINT64)
+    assert np.array_equal(S.gather(x, at).to_numpy(), index * 0.5)
+    assert np.array_equal(S.gather(x, at, 0).to_numpy(), index * 0.5)
+    wanted = at.df.select(F.col("i0").alias("k"), F.col("v").cast("long").alias("_at"))
+    hot = S.frequent(wanted, ["_at"], n)
+    assert len(hot) == 1
+    one, two = S.salted(wanted, x.df.select(F.col("i0").alias("_at"), "v"), ["_at"], hot)
+    sizes = [r["count"] for r in one.repartition(8, "_at", "_salt").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * n / 8
+    assert two.count() == n + S.SHARE - 1
