@@ -9,6 +9,12 @@ q-grams with it, all in one band of e + 1 neighbouring diagonals (document posit
 shared q-grams are counted in bands of ``BAND`` + e diagonals that overlap by e; only windows that reach the bound
 in a band are kept, and a banded alignment decides on each. The filter loses nothing.
 
+What is counted is which of a window's places have their q-gram in a band, not pairs of places, so a run of dashes in
+both texts counts once for each place and band. Windows are looked at in segments of a few, in chunks of bounded
+numbers of hits; equal windows of an item are looked at once; and where a document has many hits, the inside of its
+long runs of short period is left out, which holds nothing that their ends don't. So memory is bounded whatever the
+texts, and the filter still loses nothing.
+
 An item of under q characters has no q-gram; it is found where it stands as a whole word or words, without edits.
 
 The items of a block go to every task in a table of bounded size; a larger benchmark takes several blocks, each
@@ -32,7 +38,13 @@ from gridspark.llm.common import table
 #: Diagonals by which bands follow each other; any number gives the same result.
 BAND = 16
 #: Characters of a document that are looked at together; slices overlap by more than any occurrence takes.
-SLICE = 1 << 20
+SLICE = 1 << 17
+#: Windows of a segment, and hits that are counted together (a segment's at least).
+SEGMENT = 32
+CHUNK = 1 << 21
+#: Hits of a slice from which long runs of periods up to LONGEST are shortened.
+MANY = 1 << 17
+LONGEST = 16
 #: Characters of benchmark items in one block.
 BLOCK_CHARS = 4_000_000
 _P = 0x9E3779B97F4A7C15
@@ -66,6 +78,16 @@ def edits_allowed(length: int, error_rate: float, q: int) -> int:
     return max(0, min(int(error_rate * length), length // q - 1))
 
 
+@dataclass(frozen=True)
+class Hits:
+    """Index rows whose q-gram the document has, by segment; the bands of each are ``sizes`` of ``bands`` from ``begin``."""
+
+    rows: np.ndarray
+    begin: np.ndarray
+    sizes: np.ndarray
+    bands: np.ndarray
+
+
 @dataclass(frozen=True)
 class Items:
     """One block of benchmark items, ready for the search."""
@@ -78,20 +100,46 @@ class Items:
     error_rate: float
 
     def prepared(self) -> Items:
-        hashes = [gram_hashes(codes(t), self.q) for t in self.texts]
-        gram = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-        place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.empty(0, np.int64)
+        """The q-grams of all segments, by hash: segment, place in the item, first and last window that hold them."""
+        window: list[tuple[int, int, int]] = []  # item, start, segment
+        grams, segments, places = [], [], []
+        lengths = np.array([len(t) for t in self.texts], np.int64)
+        widths = np.minimum(lengths, self.window)
+        segment = -1
+        for item, text in enumerate(self.texts):
+            w = int(widths[item])
+            if w < self.q:
+                continue
+            hashes, seen, held, before = gram_hashes(codes(text), self.q), set(), 0, None
+            for start in window_starts(len(text), self.window, self.step):
+                if text[start : start + w] in seen:
+                    continue
+                seen.add(text[start : start + w])
+                apart = before is None or start - before > w - self.q
+                if apart or held == SEGMENT:
+                    segment, held, before = segment + 1, 0, None
+                held += 1
+                window.append((item, start, segment))
+                here = np.arange(start if before is None else before + w - self.q + 1, start + w - self.q + 1)
+                grams.append(hashes[here])
+                places.append(here)
+                segments.append(np.full(len(here), segment))
+                before = start
+        gram, seg, place = (np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((grams, np.uint64), (segments, np.int64), (places, np.int64)))
         order = np.argsort(gram, kind="stable")
-        grams, first = np.unique(gram[order], return_index=True)
+        gram, seg, place = gram[order], seg[order], place[order]
+        items, starts, of = (np.array(x, np.int64) for x in (zip(*window) if window else ((), (), ())))
+        names, first = np.unique(gram, return_index=True)
         there = np.zeros(1 << 22, bool)
-        there[self._slot(grams)] = True
-        lengths = np.array([len(t) for t in self.texts], np.int64)
-        windows = np.minimum(lengths, self.window)
-        edits = np.array([edits_allowed(w, self.error_rate, self.q) for w in windows.tolist()], np.int64)
-        need = np.maximum(1, windows + 1 - self.q * (edits + 1))
-        found = dict(lengths=lengths, windows=windows, edits=edits, need=need, codes=codes("".join(self.texts)), offset=np.cumsum(lengths) - lengths)
-        found |= dict(grams=grams, first=np.append(first, len(gram)), item=item[order], place=place[order], there=there)
+        there[self._slot(names)] = True
+        edits = np.array([edits_allowed(w, self.error_rate, self.q) for w in widths.tolist()], np.int64)
+        need = np.maximum(1, widths + 1 - self.q * (edits + 1))
+        at = of << 33 | starts  # windows rise by segment, then start
+        least = seg << 33 | np.maximum(0, place - (widths[items[np.searchsorted(of, seg)]] - self.q) if len(seg) else place)
+        found = dict(widths=widths, edits=edits, most=int(edits.max(initial=0)), need=need, codes=codes("".join(self.texts)), offset=np.cumsum(lengths) - lengths)
+        found |= dict(window_item=items, window_start=starts, first_window=np.searchsorted(of, np.arange(segment + 2)))
+        found |= dict(grams=names, first=np.append(first, len(gram)), segment=seg, place=place, there=there)
+        found |= dict(low=np.searchsorted(at, least), high=np.searchsorted(at, seg << 33 | place, "right") - 1)
         found["short"] = self._automaton()
         for name, value in found.items():
             object.__setattr__(self, "_" + name, value)
@@ -122,54 +170,69 @@ class Items:
     def _slot(h: np.ndarray) -> np.ndarray:
         return ((h * np.uint64(_P)) >> np.uint64(42)).astype(np.int64)
 
-    def shared(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, item position, document position) of every q-gram of the document that an item has."""
+    def shared(self, c: np.ndarray) -> Hits | None:
+        """Which index rows have their q-gram in the document, and in which bands it lies for each residue of their place.
+
+        For a place j = 16 a + r, the band of a document position d is (d - r) // 16 - a, so the bands of a q-gram are made
+        distinct once for each residue.
+        """
         h = gram_hashes(c, self.q)
         at = np.flatnonzero(self._there[self._slot(h)])
         k = np.minimum(np.searchsorted(self._grams, h[at]), max(0, len(self._grams) - 1))
         real = self._grams[k] == h[at] if len(self._grams) else np.zeros(len(at), bool)
         at, k = at[real], k[real]
-        n = self._first[k + 1] - self._first[k]
-        rows = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self._first[k], n)
-        return self._item[rows], self._place[rows], np.repeat(at, n)
-
-    def regions(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, window start, first diagonal of the band) of every window that reaches the lemma's bound in a band."""
-        none = (np.empty(0, np.int64),) * 3
-        item, place, at = self.shared(c)
-        if not len(item):
-            return none
-        longest = int(self._lengths.max())
-        diagonal = at - place + longest
-        again = diagonal % BAND < self._edits[item]  # also in the band before
-        key = (item << 40) | diagonal // BAND
-        key = np.concatenate([key, key[again] - 1])
-        keys, number, count = np.unique(key, return_inverse=True, return_counts=True)
-        enough = count >= self._need[keys >> 40]
+        if not len(at):
+            return None
+        order = np.argsort(k, kind="stable")
+        at, k = at[order], k[order]
+        own, begin, held = np.unique(k, return_index=True, return_counts=True)
+        rows, of = expanded(self._first[own], self._first[own + 1] - self._first[own])
+        pairs, pair = np.unique(of * BAND + self._place[rows] % BAND, return_inverse=True)
+        places, number = expanded(begin[pairs // BAND], held[pairs // BAND])
+        x = at[places] - pairs[number] % BAND
+        again = x % BAND < self._most  # also in the band before
+        keys = np.unique(np.concatenate([number << 40 | x // BAND + 2, number[again] << 40 | x[again] // BAND + 1]))
+        sizes = np.bincount(keys >> 40, minlength=len(pairs))
+        by_segment = np.argsort(self._segment[rows], kind="stable")
+        rows, pair = rows[by_segment], pair[by_segment]
+        return Hits(rows, np.cumsum(sizes)[pair] - sizes[pair], sizes[pair], (keys & ((1 << 40) - 1)) - 2)
+
+    def regions(self, hits: Hits) -> tuple[np.ndarray, np.ndarray]:
+        """(window, first diagonal of the band) of every window that reaches the lemma's bound in a band."""
+        segment = self._segment[hits.rows]
+        total = np.cumsum(hits.sizes)
+        news = np.append(np.flatnonzero(np.append(True, segment[1:] != segment[:-1])), len(segment))  # where segments begin
+        out, begin = [(np.empty(0, np.int64),) * 2], 0
+        while begin < len(segment):
+            spent = int(total[begin] - hits.sizes[begin])
+            fits = int(np.searchsorted(total, spent + CHUNK, "right"))
+            k = max(int(np.searchsorted(news, fits, "right")) - 1, int(np.searchsorted(news, begin, "right")))
+            end = int(news[k])
+            out.append(self._reached(hits, slice(begin, end)))
+            begin = end
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _reached(self, hits: Hits, part: slice) -> tuple[np.ndarray, np.ndarray]:
+        places, number = expanded(hits.begin[part], hits.sizes[part])
+        rows = hits.rows[part][number]
+        segment = self._segment[rows]
+        base = 1 << 32  # bands can lie before the document
+        keys, number, count = np.unique(segment << 40 | hits.bands[places] - self._place[rows] // BAND + base, return_inverse=True, return_counts=True)
+        own = keys >> 40
+        need = self._need[self._window_item[self._first_window[own]]]
+        enough = count >= need
         if not enough.any():
-            return none
+            return (np.empty(0, np.int64),) * 2
         rank = np.cumsum(enough) - 1
         used = enough[number]
-        number, place = rank[number[used]], np.concatenate([place, place[again]])[used]
-        keys = keys[enough]
-        item = keys >> 40
-        # hits of each window: a hit at p is in the windows that start from p + q - w to p
-        w, last = self._windows[item], self._lengths[item] - self._windows[item]
-        regular = -(-last // self.step)  # windows every step characters, before the one at the end
-        size = int(regular.max()) + 1
-        low = np.maximum(0, -((w[number] - self.q - place) // self.step))
-        high = np.minimum(place // self.step, regular[number] - 1)
-        inside = low <= high
-        steps = np.zeros((len(keys), size + 1), np.int64)
-        np.add.at(steps, (number[inside], low[inside]), 1)
-        np.add.at(steps, (number[inside], high[inside] + 1), -1)
-        hits = np.cumsum(steps, 1)[:, :size]
-        at_end = place >= last[number]
-        k, n = np.nonzero(hits >= self._need[item][:, None])
-        end = np.flatnonzero(np.bincount(number[at_end], minlength=len(keys)) >= self._need[item])
-        real = n < regular[k]
-        k, start = np.append(k[real], end), np.append(n[real] * self.step, last[end])
-        return item[k], start, (keys[k] & ((1 << 40) - 1)) * BAND - longest
+        number, rows = rank[number[used]], rows[used]
+        own, need, keys = own[enough], need[enough], keys[enough]
+        first = self._first_window[own]
+        steps = np.zeros((len(own), SEGMENT + 1), np.int32)
+        np.add.at(steps, (number, self._low[rows] - first[number]), 1)
+        np.add.at(steps, (number, self._high[rows] + 1 - first[number]), -1)
+        k, n = np.nonzero(np.cumsum(steps, 1)[:, :SEGMENT] >= need[:, None])
+        return first[k] + n, ((keys[k] & ((1 << 40) - 1)) - base) * BAND
 
     def found(self, text: str | None) -> list[tuple]:
         """(item_id, edits, item_start, item_end, doc_end) of the best window of every item in the text."""
@@ -177,19 +240,16 @@ class Items:
         overlap = 2 * self.window + 2 * BAND
         best: dict[int, tuple] = {}
         for low in range(0, max(1, len(text)), SLICE):
-            c = codes(text[low : low + SLICE + overlap])
-            item, start, diagonal = self.regions(c)
-            for w in np.unique(self._windows[item]).tolist():
-                mine = np.flatnonzero(self._windows[item] == w)
-                e = edits_allowed(w, self.error_rate, self.q)
-                for part in range(0, len(mine), 512):
-                    k = mine[part : part + 512]
-                    pattern = self._codes[(self._offset[item[k]] + start[k])[:, None] + np.arange(w)]
-                    edits, end = banded(pattern, c, start[k] + diagonal[k] - e, BAND + 3 * e, e)
-                    for j in np.flatnonzero(edits <= e).tolist():
-                        number = int(item[k[j]])
-                        row = (int(edits[j]), int(start[k[j]]), low + int(end[j]))
-                        best[number] = min(best.get(number, row), row)
+            c, origin = codes(text[low : low + SLICE + overlap]), None
+            hits = self.shared(c)
+            if hits is not None and int(hits.sizes.sum()) > MANY:
+                c, origin = shortened(c, 2 * (self.window + self._most))
+                hits = self.shared(c)
+            if hits is None:
+                continue
+            window, diagonal = self.regions(hits)
+            order = np.lexsort((diagonal, window))
+            self._aligned(c, window[order], diagonal[order], low, origin, best)
         if self._short:
             for number, end in self._whole_words(text):
                 best.setdefault(number, (0, 0, end))
@@ -197,6 +257,56 @@ class Items:
             (self.ids[n], edits, s, s + min(self.window, len(self.texts[n])), end) for n, (edits, s, end) in sorted(best.items())
         ]
 
+    def _aligned(self, c: np.ndarray, window: np.ndarray, diagonal: np.ndarray, low: int, origin: np.ndarray | None, best: dict[int, tuple]) -> None:
+        """Aligns windows, which rise by item, start and diagonal; after an exact one no later one of its item is better."""
+        widths = self._widths[self._window_item[window]]
+        for w in np.unique(widths).tolist():
+            mine = np.flatnonzero(widths == w)
+            e = edits_allowed(w, self.error_rate, self.q)
+            for part in range(0, len(mine), 512):
+                k = mine[part : part + 512]
+                item, start = self._window_item[window[k]], self._window_start[window[k]]
+                exact = {n for n in np.unique(item).tolist() if n in best and best[n][0] == 0}
+                if exact:
+                    k = k[[n not in exact or best[n][1] > s for n, s in zip(item.tolist(), start.tolist())]]
+                    item, start = self._window_item[window[k]], self._window_start[window[k]]
+                pattern = self._codes[(self._offset[item] + start)[:, None] + np.arange(w)]
+                edits, end = banded(pattern, c, start + diagonal[k] - e, BAND + 3 * e, e)
+                for j in np.flatnonzero(edits <= e).tolist():
+                    number, last = int(item[j]), int(end[j])
+                    if origin is not None and 0 < last <= len(origin):
+                        last = int(origin[last - 1]) + 1
+                    row = (int(edits[j]), int(start[j]), low + last)
+                    best[number] = min(best.get(number, row), row)
+
+
+def expanded(begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers begin, begin + 1, ... of every range, and which range each is of."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of] + begin[of], of
+
+
+def shortened(c: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes without the inside of long runs of a period up to LONGEST, and where the kept ones stood.
+
+    Of a run ``side`` codes or more stay at both ends, and a whole number of periods goes. Any stretch of up to ``side`` codes
+    that stood in the text still does, where it stood first, and no other one arises.
+    """
+    origin = np.arange(len(c))
+    for p in range(1, LONGEST + 1):
+        if len(c) <= 2 * side + p:
+            break
+        same = np.append(c[p:] == c[:-p], False)
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], same])))
+        begin, end = edge[::2], edge[1::2] + p  # runs of period p
+        long = end - begin > 2 * side + 2 * p
+        keep = np.ones(len(c), bool)
+        for b, e in zip(begin[long].tolist(), end[long].tolist()):
+            cut = (e - b - 2 * side - p) // p * p
+            keep[b + side + p : b + side + p + cut] = False
+        c, origin = c[keep], origin[keep]
+    return c, origin
+
 
 def banded(pattern: np.ndarray, text: np.ndarray, first: np.ndarray, width: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Smallest edits of each pattern row against any stretch of the text, and where that stretch ends.
@@ -229,15 +339,15 @@ def banded(pattern: np.ndarray, text: np.ndarray, first: np.ndarray, width: int,
     return edits, end
 
 
-def item_blocks(benchmark: DataFrame, q: int, window: int, step: int, error_rate: float, block_chars: int) -> Iterator[Items]:
-    """The benchmark in blocks of about ``block_chars``; items without a character are no evidence of anything."""
+def item_blocks(benchmark: DataFrame, q: int, window: int, step: int, error_rate: float, block_chars: int, least_chars: int = 1) -> Iterator[Items]:
+    """The benchmark in blocks of about ``block_chars``; items of under ``least_chars`` characters are no evidence of anything."""
     items = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for k in range(blocks):
         rows = sorted((folded(r["text"]), r["item_id"]) for r in items.where(block == k).collect() if r["item_id"] is not None)
-        rows = [r for r in rows if r[0]]
+        rows = [r for r in rows if len(r[0]) >= max(1, least_chars)]
         yield Items([i for _, i in rows], [t for t, _ in rows], q, window, step, error_rate)
 
 
@@ -261,6 +371,7 @@ def matches(
     step: int = 8,
     error_rate: float = 0.1,
     block_chars: int = BLOCK_CHARS,
+    least_chars: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -288,13 +399,16 @@ def matches(
     read = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     schema = "doc_id long, item_id long, edits int, item_start long, item_end long, doc_end long"
     found = [
-        read.mapInArrow(search(_shared(docs, items)), schema) for items in item_blocks(benchmark, q, window, step, error_rate, block_chars)
+        read.mapInArrow(search(_shared(docs, items)), schema) for items in item_blocks(benchmark, q, window, step, error_rate, block_chars, least_chars)
     ]
     return reduce(DataFrame.unionByName, found)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_chars: int = BLOCK_CHARS, **options) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that contain no benchmark item: a filter, without a shuffle."""
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_chars: int = BLOCK_CHARS, least_chars: int = 1, **options) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that contain no benchmark item: a filter, without a shuffle.
+
+    Items of under ``least_chars`` characters (case and white space folded) drop nothing.
+    """
     given = dict(q=8, window=80, step=8, error_rate=0.1) | options
     place = docs.columns.index(text_col)
 
@@ -306,7 +420,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_c
 
         return run
 
-    for items in item_blocks(benchmark, block_chars=block_chars, **given):
+    for items in item_blocks(benchmark, block_chars=block_chars, least_chars=least_chars, **given):
         docs = docs.mapInArrow(without(_shared(docs, items)), docs.schema)
     return docs
 
@@ -315,10 +429,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Characters that an item needs for the pipeline to drop documents that hold it: a q-gram. A shorter one is a common word.
+STAGE_LEAST_CHARS = 8
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold no passage of the benchmark.
+    """Pipeline stage: documents that hold no passage of the benchmark, of STAGE_LEAST_CHARS characters or more.
 
     Null and empty texts stay, repeated rows share their fate, columns of any name come back as they are; an empty
     table gives none, and without a benchmark all rows stay.
     """
-    return clean(docs, table(spark, sf_dir, "benchmark"))
+    return clean(docs, table(spark, sf_dir, "benchmark"), least_chars=STAGE_LEAST_CHARS)

@@ -94,3 +94,81 @@ def test_short_items_are_whole_words(spark):
     got = {(r.doc_id, r.item_id, r.edits, r.doc_end) for r in D.matches(docs, bench).collect()}
     assert got == {(1, 1, 0, 9), (1, 5, 0, 9), (3, 2, 0, 6), (3, 4, 0, 14)}
     assert {r.doc_id for r in D.clean(docs, bench).collect()} == {2, 4, 5}
+
+
+def rows_of(made, text):
+    return {r[0]: r[1:] for r in made.found(text)}
+
+
+def plainly(made, text):
+    """As found(), by aligning every window of every item with the whole text."""
+    text, out = D.folded(text), {}
+    for n, item in enumerate(made.texts):
+        w = min(made.window, len(item))
+        e = D.edits_allowed(w, made.error_rate, made.q)
+        for s in D.window_starts(len(item), made.window, made.step):
+            cost, end = D.banded(D.codes(item[s : s + w])[None, :], D.codes(text), np.array([-w]), len(text) + w)
+            if cost[0] <= e:
+                out[made.ids[n]] = min(out.get(made.ids[n], (99, 0, 0, 0)), (int(cost[0]), s, s + w, int(end[0])))
+    return out
+
+
+@given(st.integers(0, 10**6))
+@settings(max_examples=40, deadline=None)
+def test_repetitive_texts_equal_brute_force(seed):
+    """Runs of short periods in items and texts, shortened and looked at in small chunks or not, give the same rows."""
+    rnd = random.Random(seed)
+    unit = lambda: rnd.choice(["-", "ab", "- ", "abc", "=", "xyzxy"]) * rnd.randint(1, 60)
+    word = lambda: "".join(rnd.choice("abx") for _ in range(rnd.randint(1, 7)))
+    some = lambda n: " ".join(rnd.choice([unit, word, word])() for _ in range(n))
+    items = [D.folded(some(rnd.randint(1, 6))) for _ in range(4)]
+    text = " ".join([some(3), noisy(rnd, rnd.choice(items), rnd.randint(0, 4)), some(2), rnd.choice(["-", "ab"]) * rnd.randint(0, 300)])
+    made = D.Items(list(range(4)), items, 4, 24, 5, 0.15)
+    made = D.Items([n for n in range(4) if len(items[n]) >= 4], [t for t in items if len(t) >= 4], 4, 24, 5, 0.15).prepared()
+    want = plainly(made, text)
+    assert rows_of(made, text) == want
+    before = D.MANY, D.CHUNK
+    try:
+        D.MANY, D.CHUNK = 0, 7
+        assert rows_of(made, text) == want
+    finally:
+        D.MANY, D.CHUNK = before
+
+
+def test_shortened_runs_keep_every_short_stretch():
+    rnd = random.Random(7)
+    for _ in range(40):
+        text = "".join(rnd.choice(["a" * rnd.randint(1, 300), "abc" * rnd.randint(1, 90), "xy", "q" * 3, "abcdefghijklmnop" * 9]) for _ in range(6))
+        c, origin = D.shortened(D.codes(text), 20)
+        short = "".join(chr(x) for x in c)
+        assert [text[k] for k in origin] == list(short)
+        for n in (1, 7, 20):
+            first = {}
+            for k in range(len(text) - n, -1, -1):
+                first[text[k : k + n]] = k
+            kept = {}
+            for k in range(len(short) - n, -1, -1):
+                kept[short[k : k + n]] = int(origin[k])
+            assert kept == first
+
+
+def test_long_runs_take_little_time_and_memory():
+    """Items with rules of dashes and runs of two letters against long documents of the same."""
+    import resource
+    import time
+
+    items = [f"question {k} has a rule {'-' * 100} and an answer that is {k * k}" for k in range(20)] + ["ab" * 1000, "the end of it all " * 40]
+    made = D.Items(list(range(22)), items, 8, 80, 8, 0.1).prepared()
+    texts = ["-" * 1_000_000, "ab" * 500_000, ("-" * 80 + " row ") * 500, items[3] + "-" * 40_000 + items[5], "the end of it all " * 5000]
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+    got = [rows_of(made, t) for t in texts]
+    assert time.process_time() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
+    assert set(got[0]) == set(range(20)) and got[1][20][0] == 0 and got[4][21][:2] == (0, 0)
+    assert got[3][3][0] == 0 and got[3][5][0] == 0
+
+
+def test_least_length_of_items(spark):
+    bench = spark.createDataFrame([(1, "the"), (2, "a passage of some length")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "all the cats"), (2, "here is a passage of some length."), (3, "none")], "doc_id long, text string")
+    assert {r.doc_id for r in D.clean(docs, bench).collect()} == {3}
+    assert {r.doc_id for r in D.clean(docs, bench, least_chars=D.STAGE_LEAST_CHARS).collect()} == {1, 3}
