@@ -148,7 +148,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, shard_rows: int = 8192, rows:
 
     ``rows``: how many pieces there are, counted if not given; it only sets the number of shards. Pieces of
     equal length go by doc_id, nulls last, then by piece; which of two wholly equal rows comes first makes
-    no difference. ``length`` must be 1 to ``capacity``.
+    no difference, nor do ids that repeat or are null: a row's own number deals it to its shard. ``length`` must be 1 to
+    ``capacity``.
     """
     shards = max(1, -(-(pieces.count() if rows is None else rows) // shard_rows))
     schema = pieces.schema.simpleString()[len("struct<") : -1] + ",sequence_id:bigint,offset:bigint"
@@ -159,8 +160,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, shard_rows: int = 8192, rows:
         at, offset = sum_of_squares(part["length"].to_numpy(np.int64), capacity)
         return part[names].assign(sequence_id=(int(key[0]) << 32) + at, offset=offset)
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards))
-    return pieces.withColumn("_shard", shard).groupBy("_shard").applyInPandas(fill, schema)
+    shard = F.pmod(F.xxhash64("_row"), F.lit(shards))
+    return pieces.withColumn("_row", F.monotonically_increasing_id()).withColumn("_shard", shard).drop("_row").groupBy("_shard").applyInPandas(fill, schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

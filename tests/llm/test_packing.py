@@ -99,3 +99,11 @@ def test_only_a_panic_falls_back(monkeypatch):
             with pytest.raises(error):
                 packing.encoder(path)("naïve text")
     packing.encoder.cache_clear()
+
+
+def test_repeated_and_null_ids_share_no_shard(spark):
+    """100,000 pieces without an id and as many of one id: no shard holds twice the mean."""
+    rows = spark.range(200_000).selectExpr("IF(id % 2 = 0, NULL, 7L) AS doc_id", "0 AS piece", "0L AS start", "1 + id % 900 AS length", "5L AS ids_crc32")
+    got = packing.pack(rows, 2048, rows=200_000)
+    sizes = [r["count"] for r in got.groupBy((packing.F.col("sequence_id") / (1 << 32)).cast("int")).count().collect()]
+    assert len(sizes) == 25 and max(sizes) <= 2 * sum(sizes) / len(sizes) and sum(sizes) == 200_000
