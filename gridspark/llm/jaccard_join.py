@@ -7,8 +7,8 @@ the bucket, level by level. Buckets of one member vanish. Splitting multiplies a
 their mean similarity; where that is 1 or more it would only copy the bucket, which is therefore compared as it is. Runs
 repeat until the target recall; ``recall`` counts in that deeper levels share a pool of coordinates.
 
-Small buckets are compared whole; larger ones (dense, or left at ``levels``) by pairs of blocks, so no task holds
-more than two blocks and nothing is capped. Both members' exact sets decide; a pair counts only in the first of
+Small buckets are compared whole; larger ones (dense, left at ``levels``, or of more than ``BLOCK_TOKENS`` tokens in few
+members) by pairs of blocks, so no task holds more than two blocks and nothing is capped. Both members' exact sets decide; a pair counts only in the first of
 their common buckets, so no pairs are emitted: each compared bucket returns, for each member, the number of its
 links and one edge of a spanning forest. Components come from those edges by repeated star contraction.
 
@@ -39,8 +39,9 @@ MOST_RUNS = 64
 PROBES, SIGNS = 3, 12
 #: Buckets that a join broadcasts at most.
 MANY = 20_000
-#: Tokens that a block of a bucket holds on average at most.
-BLOCK_TOKENS = 2_000_000
+#: Tokens that a block of a bucket holds on average at most, and those that are matched at a time.
+BLOCK_TOKENS = 12_000_000
+SLICE_TOKENS = 1_000_000
 
 
 def recall(threshold: float, branches: int, runs: int, levels: int, pool: int = POOL) -> float:
@@ -156,23 +157,30 @@ class _Bucket:
     def __init__(self, key: tuple):
         self.key, self.names, self.sets, self.paths, self.blocks = key, [], [], [], []
 
+    def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(token, member) of the tokens in ranges of their values, of about SLICE_TOKENS each; sets rise."""
+        parts = 1 << max(0, (sum(map(len, self.sets)) // SLICE_TOKENS).bit_length())
+        edges = [np.searchsorted(s, np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)) for s in self.sets] if parts > 1 else None
+        for k in range(parts):
+            cut = self.sets if edges is None else [s[e[k - 1] if k else 0 : e[k] if k < parts - 1 else len(s)] for s, e in zip(self.sets, edges)]
+            yield np.concatenate(cut), np.repeat(np.arange(len(cut), dtype=np.int32), [len(s) for s in cut])
+
     def links(self, threshold: float) -> np.ndarray:
         """Boolean matrix of the pairs at the threshold that have no earlier bucket in common."""
         n = len(self.sets)
         sizes = np.array([len(s) for s in self.sets])
-        token, where = np.concatenate(self.sets), np.repeat(np.arange(n), sizes)
-        order = np.argsort(token, kind="stable")
-        token, where = token[order], where[order]
-        new = np.concatenate([[True], token[1:] != token[:-1]])
-        column = np.cumsum(new) - 1
-        often = np.bincount(column) > 1
-        column, where = (np.cumsum(often) - 1)[column[often[column]]], where[often[column]]
         shared = np.zeros((n, n), np.float32)
-        for low in range(0, int(often.sum()), 4096):
-            a, b = np.searchsorted(column, [low, low + 4096])
-            part = np.zeros((n, 4096), np.float32)
-            part[where[a:b], column[a:b] - low] = 1
-            shared += part @ part.T
+        for token, where in self.slices():
+            order = np.argsort(token, kind="stable")
+            token, where = token[order], where[order]
+            column = np.cumsum(np.append(True, token[1:] != token[:-1])[: len(token)]) - 1
+            often = np.bincount(column) > 1
+            column, where = (np.cumsum(often) - 1)[column[often[column]]], where[often[column]]
+            for low in range(0, int(often.sum()), 4096):
+                a, b = np.searchsorted(column, [low, low + 4096])
+                part = np.zeros((n, 4096), np.float32)
+                part[where[a:b], column[a:b] - low] = 1
+                shared += part @ part.T
         union = sizes[:, None] + sizes[None, :] - shared
         close = shared >= threshold * union - 1e-6
         earlier = sorted({p for path in self.paths for p in path if p < self.key[0]})
@@ -242,17 +250,20 @@ def compare(members: DataFrame, threshold: float) -> DataFrame:
     return members.mapInArrow(verify, "a binary, b binary, links long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, many: int = MANY) -> DataFrame:
     """(node, root) of all nodes of the edges (a, b), root the smallest node of its component.
 
     Large-star and small-star contraction until a round changes nothing; each round is a table, and the driver sees
-    one checksum of it.
+    one checksum of it. Nodes with over 1 of ``many`` edges, of which there are at most twice as many, meet their edges
+    by a broadcast, so the centre of a large component is no key of a shuffle.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, count: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        joined = both.join(low, "a")
+        low = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m")), "low")
+        often = F.col("n") * many > 2 * count
+        told = both.join(F.broadcast(low.where(often).select("a", "m")), "a", "left")
+        joined = told.where("m IS NOT NULL").unionByName(told.where("m IS NULL").drop("m").join(low.where(~often).select("a", "m"), "a"))
         if large:
             return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b")
@@ -264,7 +275,7 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == last or not mark[0]:
             break
         last = mark
-        now = written(star(star(now, True), False).distinct(), "stars")
+        now = written(star(written(star(now, True, mark[0]), "half"), False, mark[0]).distinct(), "stars")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -313,8 +324,12 @@ def jaccard_join(
     texts = docs.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
     tokens = texts.mapInArrow(sets, "c binary, tokens binary").join(paths.select("c", "path"), "c")
 
-    # small buckets are one block; of the others, as many as their members and tokens call for
-    small = leaves.where(F.col("size") <= leaf_rows).select("node", "c", F.lit(1).alias("parts"))
+    # a small bucket is one block, unless large members call for more; a large one, as many as members and tokens call for
+    small = leaves.where(F.col("size") <= leaf_rows).select("node", "c")
+    big = classes.where(F.col("tokens") > BLOCK_TOKENS // leaf_rows).select("c", F.col("tokens").alias("weight"))  # without them it is bounded
+    heavy = small.join(broadcast_if_small(big), "c").groupBy("node").agg(F.ceil(F.sum("weight") / BLOCK_TOKENS).cast("int").alias("parts"))
+    heavy = written(heavy.where("parts > 1"), "heavy")
+    small = small.join(broadcast_if_small(heavy), "node", "left").select("node", "c", F.coalesce("parts", F.lit(1)).alias("parts"))
     large = leaves.where(F.col("size") > leaf_rows).join(paths.select("c", F.col("tokens").alias("weight")), "c")
     parts = F.ceil(F.greatest(F.col("size") / block_rows, F.sum("weight") / BLOCK_TOKENS)).cast("int")
     counted = written(large.groupBy("node", "size").agg(parts.alias("parts")), "parts")

@@ -136,3 +136,43 @@ def test_components_settle_however_many_rounds_it_takes(spark, monkeypatch):
 def test_shingles():
     assert len(shingle_set("a b c d e f")) == 2
     assert np.array_equal(shingle_set("A  b, c d e"), shingle_set("a b c d e"))
+
+
+def test_small_buckets_of_large_sets_are_split(spark, monkeypatch):
+    """Near copies in few members, of more tokens than a block may hold."""
+    rows = corpus(21, groups=6, dense=30)
+    monkeypatch.setattr(J, "BLOCK_TOKENS", 700)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.set_id, r.n_links) for r in J.jaccard_join(df, leaf_rows=256).collect()}
+    assert got == brute(rows)
+
+
+def test_large_sets_take_bounded_memory():
+    """A bucket of 20 million tokens, matched in ranges of their values."""
+    import resource
+
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 64, 200_000, np.uint64))
+    bucket = J._Bucket((0, 0, 0))
+    for k in range(100):
+        keep = rng.random(len(base)) > 0.02 * (k % 8)
+        bucket.names.append(bytes([k]))
+        bucket.blocks.append(0)
+        bucket.paths.append([0])
+        bucket.sets.append(base[keep])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = bucket.links(0.8)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 250_000
+    some = rng.integers(0, 100, (60, 2))
+    for a, b in some.tolist():
+        shared = len(np.intersect1d(bucket.sets[a], bucket.sets[b]))
+        assert got[a, b] == (a != b and shared >= 0.8 * (len(bucket.sets[a]) + len(bucket.sets[b]) - shared))
+
+
+@pytest.mark.parametrize("many", [4, 20_000])
+def test_the_centre_of_a_large_component_is_no_key(spark, many):
+    name = lambda k: k.to_bytes(4, "big")
+    edges = [(name(0), name(k)) for k in range(1, 2000)] + [(name(k), name(k + 1)) for k in range(5000, 5200)] + [(name(1999), name(6000))]
+    found = {r.node: r.root for r in J.components(spark.createDataFrame(edges, "a binary, b binary"), many).collect()}
+    assert len(found) == 2000 + 201 + 1
+    assert all(bytes(root) == name(0 if int.from_bytes(node, "big") in {*range(2000), 6000} else 5000) for node, root in found.items())
