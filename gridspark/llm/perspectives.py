@@ -5,8 +5,8 @@ speakers as named users and system turns as system, and only the assistant's wor
 
 The result has a row for each message of each dialogue, with its place in the rendered dialogue, so a dialogue
 of any length is never gathered in one task: the running position is a two-level sum, over blocks of
-``block_turns`` turns and then inside each block. Messages without a turn number are in blocks of one speaker and of the
-``PREFIX`` characters that they begin with. Texts are shuffled once, by block, before they are repeated for each
+``block_turns`` turns and then inside each block. Messages without a turn number, and those of blocks of over ``crowd``
+messages, are in blocks of one turn, one speaker and the ``PREFIX`` characters that they begin with. Texts are shuffled once, by block, before they are repeated for each
 participant; what is summed for blocks and participants is numbers. Only DataFrame functions are used.
 """
 
@@ -15,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import table
+from gridspark.llm.common import broadcast_if_small, table
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Characters by which messages without a turn number are dealt to blocks; any number gives the same result.
-PREFIX = 4
+#: Characters by which messages of one turn, or of none, are dealt to blocks; any number gives the same result.
+PREFIX = 8
 
 
 def _plain(text: Column) -> Column:
@@ -49,7 +49,7 @@ def _size(head: Column) -> Column:
     return (F.length(head) + F.length("body") + F.lit(len(END) + 1)).cast("long")
 
 
-def rotate(turns: DataFrame, block_turns: int = 256) -> DataFrame:
+def rotate(turns: DataFrame, block_turns: int = 256, crowd: int = 4096) -> DataFrame:
     """Rows conv_id, perspective, seq, turn, role, name, content, char_start, loss_start, loss_end.
 
     ``turns`` has conv_id, turn, role (the speaker; 'system' takes no perspective) and text. Messages go by turn,
@@ -64,13 +64,19 @@ def rotate(turns: DataFrame, block_turns: int = 256) -> DataFrame:
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("speaker"), _plain(F.col("text")).alias("body")
     )
     # rises, in a conversation, with the order of the messages: turn, nulls first, then speaker and text
-    loose = F.col("turn").isNull()
+    rows = rows.withColumn("_turns", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-(1 << 62))))
+    # blocks of many messages, as when many have one turn number; rarely there are any
+    crowds = turns.groupBy("conv_id", F.floor(F.col("turn").cast("long") / block_turns).alias("_of")).count().where(F.col("_of").isNotNull() & (F.col("count") > crowd))
+    crowds = crowds.select(F.struct("conv_id").alias("_in"), "_of")
+    rows = rows.join(broadcast_if_small(crowds), (F.struct("conv_id") == F.col("_in")) & (F.col("_turns") == F.col("_of")), "left")
+    loose = F.col("turn").isNull() | F.col("_of").isNotNull()
     block = [
-        F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-(1 << 62))).alias("turns"),
+        F.col("_turns").alias("turns"),
+        F.when(loose, F.coalesce("turn", F.lit(0))).otherwise(0).alias("turn"),
         F.when(loose, F.col("speaker")).otherwise("").alias("speaker"),
         F.when(loose, F.substring("body", 1, PREFIX)).otherwise("").alias("begins"),
     ]
-    rows = rows.withColumn("_key", F.struct("conv_id", *block))  # structs are equal where nulls meet nulls
+    rows = rows.withColumn("_key", F.struct("conv_id", *block)).drop("_turns", "_in", "_of")  # structs are equal where nulls meet nulls
     person, conversation = F.col("speaker") != "system", F.struct(F.col("_key.conv_id")).alias("_conv")
 
     # where every block begins in every dialogue; an assistant's messages differ from a user's by their heads only

@@ -67,3 +67,22 @@ def test_names_stay_apart(spark):
 
 def test_empty(spark):
     assert P.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_many_equal_turns_are_split(spark):
+    rows = [(1, 5, f"p{k % 3}", f"{'abcdefgh'[k % 8]} m{k // 8 % 9}") for k in range(200)] + [(1, k, "p0", f"t{k}") for k in range(12)] + [(2, 5, "p1", "x"), (None, 5, "q", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for crowd in (4096, 20):
+        assert sorted(repr(tuple(r)) for r in P.rotate(df, 4, crowd).collect()) == brute(rows)
+
+
+def test_a_hundred_thousand_equal_turns(spark):
+    """No task of the windows has twice the mean: blocks are dealt by turn, speaker and beginning."""
+    n = 100_000
+    df = spark.range(n).selectExpr("7L AS conv_id", "3L AS turn", "concat('p', id % 2) AS role", "concat(lpad(hex(pmod(hash(id), 2147483647)), 8, '0'), ' said ', id) AS text")
+    found = P.rotate(df)
+    got = found.groupBy("perspective").agg(P.F.count("*").alias("n"), P.F.countDistinct("seq").alias("d"), P.F.max("seq").alias("last")).collect()
+    assert sorted(tuple(r) for r in got) == [("p0", n, n, n - 1), ("p1", n, n, n - 1)]
+    key = found.select("turn", "role", "perspective", P.F.substring(P.F.split("content", "\n")[1], 1, P.PREFIX).alias("begins"))
+    sizes = [r["count"] for r in key.repartition(8, "turn", "role", "begins").groupBy(P.F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * 2 * n / 8
