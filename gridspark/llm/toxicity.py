@@ -74,11 +74,13 @@ def counted(text: str | None, numbers: Numbers) -> tuple[np.ndarray, np.ndarray]
     return terms, np.bincount(where, often[found > 0], len(terms))
 
 
-def evidence(a: np.ndarray, b: np.ndarray, n1: int, n0: int, doubt: float = 4.0, least: float = 0.01) -> np.ndarray:
-    """Weight of terms that a of n1 examples of one class and b of n0 of the other hold, from ``least`` to 1 + ``least``.
+def evidence(a: np.ndarray, b: np.ndarray, n1: int, n0: int, doubt: float = 4.0) -> np.ndarray:
+    """Weight of terms that a of n1 examples of one class and b of n0 of the other hold.
 
-    It is the squared difference of the two shares over their sum, less for terms of few examples; no term weighs 0.
+    It is the squared difference of the two shares over their sum, less for terms of few examples. No term weighs 0: one
+    that tells nothing weighs as much as the evidence of a single example, so there is no further number to choose.
     """
+    least = 1 / (1 + doubt) ** 2
     r1, r0 = a / max(1, n1), b / max(1, n0)
     apart = np.abs(r1 - r0) / np.maximum(r1 + r0, 1e-300) if n1 and n0 else np.zeros(len(a))
     return least + (apart * (a + b) / (a + b + doubt)) ** 2
@@ -272,7 +274,7 @@ def fit(
     """Fits on labels (doc_id, toxic), of which ``usable`` (a condition on doc_id) says which rows may be learnt from.
 
     Rows whose toxic or doc_id is null teach nothing, as do labels without a document; of repeated labels
-    of a document the largest counts. Without rows labelled toxic every score is 0. Where a class has fewer than
+    of a document the largest counts, and of documents that repeat an id the text that is first in byte order. Without rows labelled toxic every score is 0. Where a class has fewer than
     ``LEAST_SIDE`` rows for calibration, the score is a fixed rising function of the vote, 0.5 at a vote of 0.5.
     """
     spark = docs.sparkSession
@@ -283,7 +285,7 @@ def fit(
     known = written(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "known")
     drawn, total = _chosen(known, examples, calibration)
     chosen = written(drawn, "chosen")
-    sample = written(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "part"]), "sample")
+    sample = written(docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "part", "label").agg(F.min("text").alias("text")), "sample")
 
     # the terms of the index part of the sample, and how often each class has them
     @F.udf(returnType=T.ArrayType(T.StringType()), useArrow=True)
