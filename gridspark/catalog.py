@@ -150,6 +150,36 @@ register("upsample_nearest", lambda s, d: structure.upsample(images(s, d), 2, st
 register("gather_axis", lambda s, d: (e := emb(s, d)) and structure.gather(e, order.argsort(e, 1), 1), f"SELECT i0, row_number() OVER (PARTITION BY i0 ORDER BY v, i1) - 1 AS i1, v FROM ({EMB})", rank=2)
 register("gather_flat", lambda s, d: (e := emb(s, d)) and structure.gather(e, order.argsort(e, None, True)), f"SELECT k // 64 AS i0, k % 64 AS i1, v FROM (SELECT row_number() OVER (ORDER BY v DESC, i0, i1) - 1 AS k, v FROM ({EMB}))", rank=2)
 
+register("clone_of_view", lambda s, d: (e := emb(s, d)).view((1, 3), (e.shape[0] - 1, 20)).clone(), f"SELECT i0 - 1 AS i0, i1 - 3 AS i1, v FROM ({EMB}) WHERE i0 >= 1 AND i1 BETWEEN 3 AND 22", rank=2)
+register("element_by_coords", lambda s, d: (e := emb(s, d)).at(e.coords_to_index((e.shape[0] // 2, 5))), "SELECT 0 AS i0, embedding[6]::DOUBLE AS v FROM embeddings WHERE vec_id = (SELECT count(*) // 2 FROM embeddings)")
+register("element_by_position", lambda s, d: (e := emb(s, d)) and (e.begin() + e.num_elements // 3).value, f"SELECT 0 AS i0, v FROM ({EMB}) WHERE i0 * 64 + i1 = (SELECT count(*) * 64 // 3 FROM embeddings)")
+register("assign_scalar", lambda s, d: structure.copy_from(emb(s, d), scalar(s, 7.5)), f"SELECT i0, i1, 7.5 AS v FROM ({EMB})", rank=2)
+register("assign_view_of_view", lambda s, d: (e := emb(s, d)) and structure.with_view_assigned(e.view((0, 10), (e.shape[0], 30)), (0, 5), tensors.zeros(s, (e.shape[0], 10))), f"SELECT i0, i1 - 10 AS i1, CASE WHEN i1 BETWEEN 15 AND 24 THEN 0 ELSE v END AS v FROM ({EMB}) WHERE i1 BETWEEN 10 AND 39", rank=2)
+register("alias_view_overlaps", lambda s, d: (e := emb(s, d)).alias_view((0, 0), (e.shape[0] - 1, 4, 6), (64, 0, 1)), f"SELECT i0, a AS i1, i1 AS i2, v FROM ({EMB}), range(4) r(a) WHERE i1 < 6 AND i0 < (SELECT count(*) - 1 FROM embeddings)", rank=3)
+register("alias_view_windows", lambda s, d: (e := values(s, d)).alias_view((0,), (e.shape[0] - 4, 5), (1, 1)), "SELECT event_id - k AS i0, k AS i1, value AS v FROM events, range(5) r(k) WHERE event_id - k BETWEEN 0 AND (SELECT count(*) - 5 FROM events)", rank=2)
+register("gather_rows", lambda s, d: (e := emb(s, d)) and structure.gather(e, labels_as_index(s, d), 1), "SELECT vec_id AS i0, k AS i1, embedding[label + 1]::DOUBLE AS v FROM embeddings, range(64) r(k)", rank=2)
+
+
+def labels_as_index(s: SparkSession, d: str) -> TensorFrame:
+    """{rows, 1}: labels as unsigned integers"""
+    df = read(s, d, "embeddings")
+    column = df.select(F.col("vec_id").cast("long").alias("i0"), F.lit(0).cast("long").alias("i1"), F.col("label").cast("decimal(20,0)").alias("v"))
+    return TensorFrame(column, (df.count(), 1), UINT64)
+
+
+def metadata(s: SparkSession, d: str) -> DataFrame:
+    """What is known of a tensor without a pass over it."""
+    e = structure.transpose(images(s, d), (1, 0, 2))
+    total = reduce.sum(values(s, d, F.col("event_id") % 1000)).item()
+    row = (e.rank, e.num_elements, e.total_bytes, e.element_size_bytes, *e.strides, *e.index_to_coords(e.num_elements - 1), e.owns_data, total)
+    names = ["rank", "elements", "bytes", "element_bytes", "stride0", "stride1", "stride2", "last0", "last1", "last2"]
+    return s.createDataFrame([row], ", ".join([*[f"{n} long" for n in names], "owns boolean", "total double"]))
+
+
+QUERIES["metadata"] = metadata
+SQL["metadata"] = """SELECT 3::BIGINT AS rank, 64 * n AS elements, 256 * n AS bytes, 4::BIGINT AS element_bytes, 8 * n AS stride0, 8::BIGINT AS stride1, 1::BIGINT AS stride2,
+  7::BIGINT AS last0, n - 1 AS last1, 7::BIGINT AS last2, false AS owns, t AS total FROM (SELECT count(*) AS n FROM embeddings), (SELECT sum(event_id % 1000)::DOUBLE AS t FROM events)"""
+
 # -- element-wise -----------------------------------------------------------------------------------------------
 
 PAIR = "SELECT vec_id AS i0, (k - 1)::BIGINT AS i1, embedding[k]::DOUBLE {} embedding[65 - k]::DOUBLE AS v FROM embeddings, range(1, 65) r(k)"
@@ -199,6 +229,9 @@ for _name, _op, _sql in (
         f"SELECT event_id AS i0, ({_sql}) % 4611686018427387904 AS v FROM (SELECT event_id, {_U.format(f=123456789123)} AS a, {_U.format(f=999999999999937)} AS b, 18446744073709551616::HUGEINT AS m FROM events)",
         whole=True,
     )
+register("neg_uint64", lambda s, d: as_signed(elementwise.neg(unsigned_events(s, d, 999999999999937))), f"SELECT event_id AS i0, ((m - a) % m) % 4611686018427387904 AS v FROM (SELECT event_id, {_U.format(f=999999999999937)} AS a, 18446744073709551616::HUGEINT AS m FROM events)", whole=True)
+register("sort_uint64", lambda s, d: as_signed(order.sort(unsigned_events(s, d, 999999999999937))), f"SELECT row_number() OVER (ORDER BY a) - 1 AS i0, a % 4611686018427387904 AS v FROM (SELECT {_U.format(f=999999999999937)} AS a FROM events)", whole=True)
+register("cumsum_uint64", lambda s, d: as_signed(reduce.cumsum(unsigned_events(s, d, 999999999999937))), f"SELECT event_id AS i0, (sum({_U.format(f=999999999999937)}) OVER (ORDER BY event_id) % 18446744073709551616::HUGEINT) % 4611686018427387904 AS v FROM events", whole=True)
 register("sum_uint64", lambda s, d: as_signed(reduce.sum(unsigned_events(s, d, 999999999999937))), f"SELECT 0 AS i0, (sum({_U.format(f=999999999999937)}) % 18446744073709551616::HUGEINT) % 4611686018427387904 AS v FROM events", whole=True)
 
 
