@@ -58,6 +58,13 @@ _NOTICE = (
     "This {what} is free software{stop} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, "
     "either version {version} of the License, or (at your option) any later version."
 )
+_FEE = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_FEE_NOTICE = ", provided that the above copyright notice and this permission notice appear in all copies"
+_FEE_AS_IS = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+    "FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, "
+    "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
 _GPL, _LGPL, _AGPL = "General Public License", "Lesser General Public License", "Affero General Public License"
 
 
@@ -70,13 +77,19 @@ def _gnu(name: str, short: str, version: str, date: str, what: str, *more: str)
     ]
 
 
-def _cc(short: str, long: str) -> list[str]:
+def _cc(short: str, long: str, version: str = "4.0", where: str = "International") -> list[str]:
     return [
-        f"Licensed under {short} 4.0", f"This work is licensed under a Creative Commons {long} 4.0 International License",
-        f"Creative Commons {long} 4.0 International ({short} 4.0)", f"Creative Commons {long} 4.0 International Public License",
+        f"Licensed under {short} {version}", f"This work is licensed under a Creative Commons {long} {version} {where} License",
+        f"Creative Commons {long} {version} {where} ({short} {version})", f"Creative Commons {long} {version} {where} Public License",
     ]
 
 
+_CC = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+
+
 TEMPLATES: dict[str, list[str]] = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0", "Released under the Apache License 2.0",
@@ -123,14 +136,7 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", _REDISTRIBUTION, _THIRD_CLAUSE,
         f"{_REDISTRIBUTION} {_TWO_CLAUSES} {_THIRD_CLAUSE} {_BSD_AS_IS}",
     ],
-    "ISC": [
-        "Licensed under the ISC License", "ISC License",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
-        "and this permission notice appear in all copies.",
-        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND "
-        "FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, "
-        "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
-    ],
+    "ISC": ["Licensed under the ISC License", "ISC License", f"{_FEE}{_FEE_NOTICE}.", _FEE_AS_IS, f"{_FEE}{_FEE_NOTICE}. {_FEE_AS_IS}"],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License 2.0", "Mozilla Public License Version 2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
@@ -159,13 +165,28 @@ TEMPLATES: dict[str, list[str]] = {
         "commercial or non-commercial, and by any means.",
     ],
     "CC0-1.0": ["Creative Commons CC0 1.0 Universal", "Released under CC0 1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
-    "CC-BY-4.0": _cc("CC BY", "Attribution"),
-    "CC-BY-SA-4.0": _cc("CC BY-SA", "Attribution-ShareAlike"),
-    "CC-BY-NC-4.0": _cc("CC BY-NC", "Attribution-NonCommercial"),
-    "CC-BY-ND-4.0": _cc("CC BY-ND", "Attribution-NoDerivatives"),
-    "CC-BY-NC-SA-4.0": _cc("CC BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
-    "CC-BY-NC-ND-4.0": _cc("CC BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
-}
+    "EUPL-1.2": [
+        "Licensed under the EUPL", "Licensed under the EUPL, Version 1.2 or later", "Licensed under the European Union Public Licence, Version 1.2", "EUROPEAN UNION PUBLIC LICENCE v. 1.2",
+        "Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission - subsequent versions of the EUPL (the \"Licence\"); "
+        "You may not use this work except in compliance with the Licence.",
+    ],
+    "0BSD": [
+        "BSD Zero Clause License", "Licensed under the Zero-Clause BSD License", f"{_FEE}.", f"{_FEE}. {_FEE_AS_IS}",
+    ],
+    "MIT-0": [
+        "MIT No Attribution", "Licensed under the MIT No Attribution License", f"{_GRANT.removesuffix(', subject to the following conditions:')}.",
+        f"{_GRANT.removesuffix(', subject to the following conditions:')}. {_AS_IS}",
+    ],
+    "Apache-1.1": ["Licensed under the Apache License, Version 1.1", "The Apache Software License, Version 1.1"],
+    "MPL-1.1": [
+        "Mozilla Public License Version 1.1", "Licensed under the Mozilla Public License 1.1",
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License.",
+    ],
+    "EPL-1.0": [
+        "Licensed under the Eclipse Public License 1.0", "Eclipse Public License - v 1.0",
+        "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution",
+    ],
+} | {f"CC-{k}-4.0": _cc(f"CC {k}", x) for k, x in _CC.items()} | {f"CC-{k}-3.0": _cc(f"CC {k}", x, "3.0", "Unported") for k, x in _CC.items()}
 for _name, _texts in TEMPLATES.items():
     _forms = [f"{_name}-only", f"{_name}-or-later"] if "GPL" in _name else [_name]
     _texts += [f"SPDX-License-Identifier: {x}" for x in _forms]
@@ -175,13 +196,24 @@ DENIED = re.compile(r"\b(?:not|never|nor|n't)\s+(?:\w+\s+){0,2}(?:licensed|relea
 DENIED_LEAST = 0.5
 #: Two licences of which the weaker has this share of the other's evidence can't be told apart.
 ALIKE = 0.98
+#: A directory is wide if it stands above 1 of so many pairs of a directory and one above it; there are fewer than that.
+WIDE = 4_096
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$"
 
 
+#: A version number; a year is none.
+VERSION = re.compile(r"(?<![\d.])(?!(?:19|20)\d\d(?![\d.]))\d+(?:\.\d+)*")
+
+
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def versions(text: str) -> frozenset[str]:
+    """The version numbers in a text; 2.0 is 2."""
+    return frozenset(x.removesuffix(".0") for x in VERSION.findall(text))
+
+
 VOCABULARY = {w: k for k, w in enumerate(sorted({w for ts in TEMPLATES.values() for t in ts for w in words(t)}))}
 
 
@@ -209,6 +241,7 @@ class Templates:
     names: list[str]
     weights: np.ndarray
     sizes: np.ndarray
+    versions: list[frozenset[str]]
 
 
 @dataclass(frozen=True)
@@ -233,16 +266,20 @@ class Scanner:
         return terms, weights, sum((1 + math.log(n)) ** 2 for w, n in counts.items() if w not in VOCABULARY) * self.unknown**2
 
     def prepared(self) -> Templates:
-        texts = [(name, Counter(words(text))) for name in sorted(TEMPLATES) for text in TEMPLATES[name]]
+        whole = [(name, text) for name in sorted(TEMPLATES) for text in TEMPLATES[name]]
+        texts = [(name, Counter(words(text))) for name, text in whole]
         weights = np.zeros((len(texts), len(VOCABULARY)))
         for row, (_, counts) in zip(weights, texts):
             terms, w, _ = self.vector(counts)
             row[terms] = w / np.sqrt(w @ w)
-        return Templates([n for n, _ in texts], weights, np.array([sum(c.values()) for _, c in texts], float))
+        return Templates([n for n, _ in texts], weights, np.array([sum(c.values()) for _, c in texts], float), [versions(t) for _, t in whole])
 
-    def best(self, counts: Counter, templates: Templates, least: float) -> tuple[float, float, str, bool] | None:
+    def best(self, counts: Counter, templates: Templates, least: float, lines: list[str]) -> tuple[float, float, str, bool] | None:
         """(evidence, cosine, licence, ambiguous) of the templates with a cosine of at least ``least``.
 
+        Version numbers decide: a template that names versions, none of which the text (``lines``) has, while that names
+        others, is of another licence.
+
         The evidence of a template is its cosine to the fourth power times the words that stand against each other;
         ties go to the first name in the alphabet. It is ambiguous if another licence has nearly as much.
         A text whose template terms hold too little of its norm is left at once: no cosine exceeds that share.
@@ -256,8 +293,15 @@ class Scanner:
         cosine = np.round(templates.weights[:, terms] @ weights / math.sqrt(square + other), 12)
         if cosine.max() < least:
             return None
+        told = versions(" ".join(lines))
+        if told:
+            for k in np.flatnonzero(cosine >= least):
+                if templates.versions[k] and not templates.versions[k] & told:
+                    cosine[k] = 0
         evidence = np.where(cosine >= least, cosine**4 * np.minimum(templates.sizes, sum(counts.values())), 0)
         k = int(evidence.argmax())
+        if not evidence[k]:
+            return None
         name = templates.names[k]
         second = max((e for e, n in zip(evidence, templates.names) if n != name), default=0)
         return float(evidence[k]), float(cosine[k]), name, bool(second >= ALIKE * evidence[k])
@@ -271,32 +315,33 @@ class Scanner:
         total = matched = 0
         paragraph, start, lines = Counter(), 0, 0
         whole, denied, refused = Counter(), False, False
+        parts = [*(text or "").split("\n"), ""]
 
-        def offer(counts: Counter, line: int) -> bool:
+        def offer(counts: Counter, line: int, of: list[str]) -> bool:
             nonlocal best
-            got = self.best(counts, templates, least)
+            got = self.best(counts, templates, least, of)
             if got and (best is None or (-got[0], line, got[2]) < (-best[0], best[4], best[2])):
                 best = (*got, line)
             return got is not None
 
-        for number, line in enumerate([*(text or "").split("\n"), ""]):
+        for number, line in enumerate(parts):
             counts = Counter(words(line))
             if not counts:
                 if lines > 1 and not denied:
-                    offer(paragraph, start)
+                    offer(paragraph, start, parts[start:number])
                 paragraph, start, lines, denied = Counter(), number + 1, 0, False
                 continue
             n = sum(counts.values())
             total += n
-            if DENIED.search(line) and self.best(counts, templates, DENIED_LEAST):
+            if DENIED.search(line) and self.best(counts, templates, DENIED_LEAST, [line]):
                 denied = refused = True
             else:
-                matched += n * offer(counts, number)
+                matched += n * offer(counts, number, [line])
             paragraph.update(counts)
             lines += 1
             whole.update(counts)
         if not refused:
-            offer(whole, 0)
+            offer(whole, 0, parts)
         return (best[2], best[1], best[4], matched, total, best[3]) if best else (None, 0.0, None, matched, total, False)
 
 
@@ -348,8 +393,14 @@ def inherit(scanned: DataFrame) -> DataFrame:
     directories = files.select("_dir").distinct().select("_dir", F.posexplode(prefixes).alias("_depth", "_at"))
     root = licensed.where("_at = ''").first()
     root = F.lit(root["_license"] if root else None).cast("string")
+    # a directory with a large share of all below it is no key of a shuffle: there are few of them
+    directories = written(directories, "directories")
+    sizes = directories.groupBy("_at").agg(F.count(F.lit(1)).alias("_below"))
+    licensed = written(licensed.where("_at <> ''").join(sizes, "_at"), "licensed")
+    wide = F.col("_below") * WIDE > directories.count()
+    met = [directories.join(x.drop("_below"), "_at") for x in (F.broadcast(licensed.where(wide)), licensed.where(~wide))]
     below = (
-        directories.join(licensed.where("_at <> ''"), "_at")
+        met[0].unionByName(met[1])
         .groupBy("_dir")
         .agg(F.max(F.struct("_depth", "_at", "_license")).alias("_n"))
         .select("_dir", F.col("_n._license").alias("_license"), F.col("_n._at").alias("_at"))

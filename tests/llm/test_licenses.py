@@ -141,3 +141,34 @@ def test_inheritance_equals_brute_force(spark):
 def test_none(spark):
     assert L.license_scan(files(spark, [])).count() == 0
     assert L.license_scan(files(spark, [("a", "x")])).first().effective_license is None
+
+
+def test_versions_and_neighbours_are_told_apart():
+    as_is = L.TEMPLATES["ISC"][3]
+    texts = {
+        "Licensed under the EUPL, Version 1.2 or later": "EUPL-1.2",
+        "This work is licensed under a Creative Commons Attribution 3.0 Unported License": "CC-BY-3.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "CC-BY-4.0",
+        "This work is licensed under a Creative Commons Attribution 2.5 International License": None,
+        "Copyright 2019 Jane Doe\nLicensed under the Apache License, Version 2.0": "Apache-2.0",
+        "Licensed under the Apache License, Version 1.1": "Apache-1.1",
+        "Licensed under the Apache License, Version 3.4": None,
+        "Licensed under the GNU General Public License v2.0": "GPL-2.0",
+        "Mozilla Public License Version 1.1": "MPL-1.1",
+        "Eclipse Public License - v 1.0": "EPL-1.0",
+        f"Copyright (c) 2020\n\n{L.TEMPLATES['0BSD'][2]}\n\n{as_is}": "0BSD",
+        f"MIT No Attribution\n\nCopyright 2021\n\n{L.TEMPLATES['MIT-0'][2]}\n\n{L._AS_IS}": "MIT-0",
+    }
+    for files in (200, 100_000):
+        scanner = L.Scanner(files, np.full(len(L.VOCABULARY), files // 50))
+        templates = scanner.prepared()
+        for text, name in texts.items():
+            assert scanner.scan(text, templates, 0.75)[0] == name, (text, name, scanner.scan(text, templates, 0.75))
+    assert L.versions("v2.0, 3 of 2007, 2.1; Copyright 1999-2020") == {"2", "3", "2.1"}
+
+
+def test_a_licence_above_ten_thousand_directories(spark):
+    rows = [(k, f"src/d{k}/f", None, 0.0, False) for k in range(10_000)] + [(-1, "src/LICENSE", "MIT", 0.9, True), (-2, "src/d7/LICENSE", "ISC", 0.9, True), (-3, "other/x/f", None, 0.0, False)]
+    df = spark.createDataFrame(rows, "file_id long, path string, license string, cosine double, is_license_file boolean")
+    got = {(r.inherited_license, r.inherited_from): r["count"] for r in L.inherit(df).where("license IS NULL").groupBy("inherited_license", "inherited_from").count().collect()}
+    assert got == {("MIT", "src"): 9999, ("ISC", "src/d7"): 1, (None, None): 1}
