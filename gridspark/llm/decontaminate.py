@@ -9,11 +9,11 @@ q-grams with it, all in one band of e + 1 neighbouring diagonals (document posit
 shared q-grams are counted in bands of ``BAND`` + e diagonals that overlap by e; only windows that reach the bound
 in a band are kept, and a banded alignment decides on each. The filter loses nothing.
 
-What is counted is which of a window's places have their q-gram in a band, not pairs of places, so a run of dashes in
-both texts counts once for each place and band. Windows are looked at in segments of a few, in chunks of bounded
-numbers of hits; equal windows of an item are looked at once; and where a document has many hits, the inside of its
-long runs of short period is left out, which holds nothing that their ends don't. So memory is bounded whatever the
-texts, and the filter still loses nothing.
+Windows are looked at in segments of a few; equal windows of an item are looked at once. Where a document shares very
+many pairs of places with the items, what is counted is which of a window's places have their q-gram in a band, so a
+run of dashes in both texts counts once for each place and band, in chunks of bounded size; and the inside of the
+document's long runs of short period is left out, which holds nothing that their ends don't. So memory is bounded
+whatever the texts, and the filter still loses nothing.
 
 An item of under q characters has no q-gram; it is found where it stands as a whole word or words, without edits.
 
@@ -39,11 +39,11 @@ from gridspark.llm.common import table
 BAND = 16
 #: Characters of a document that are looked at together; slices overlap by more than any occurrence takes.
 SLICE = 1 << 17
-#: Windows of a segment, and hits that are counted together (a segment's at least).
+#: Windows of a segment, and bands of places that are counted together (a segment's at least).
 SEGMENT = 32
 CHUNK = 1 << 21
-#: Hits of a slice from which long runs of periods up to LONGEST are shortened.
-MANY = 1 << 17
+#: Pairs of places in a slice from which bands are counted instead, and long runs of periods up to LONGEST shortened.
+MANY = 1 << 18
 LONGEST = 16
 #: Characters of benchmark items in one block.
 BLOCK_CHARS = 4_000_000
@@ -78,16 +78,6 @@ def edits_allowed(length: int, error_rate: float, q: int) -> int:
     return max(0, min(int(error_rate * length), length // q - 1))
 
 
-@dataclass(frozen=True)
-class Hits:
-    """Index rows whose q-gram the document has, by segment; the bands of each are ``sizes`` of ``bands`` from ``begin``."""
-
-    rows: np.ndarray
-    begin: np.ndarray
-    sizes: np.ndarray
-    bands: np.ndarray
-
-
 @dataclass(frozen=True)
 class Items:
     """One block of benchmark items, ready for the search."""
@@ -140,6 +130,7 @@ class Items:
         found |= dict(window_item=items, window_start=starts, first_window=np.searchsorted(of, np.arange(segment + 2)))
         found |= dict(grams=names, first=np.append(first, len(gram)), segment=seg, place=place, there=there)
         found |= dict(low=np.searchsorted(at, least), high=np.searchsorted(at, seg << 33 | place, "right") - 1)
+        found["segment_need"] = need[items[found["first_window"][:-1]]] if len(items) else np.empty(0, np.int64)
         found["short"] = self._automaton()
         for name, value in found.items():
             object.__setattr__(self, "_" + name, value)
@@ -170,19 +161,35 @@ class Items:
     def _slot(h: np.ndarray) -> np.ndarray:
         return ((h * np.uint64(_P)) >> np.uint64(42)).astype(np.int64)
 
-    def shared(self, c: np.ndarray) -> Hits | None:
-        """Which index rows have their q-gram in the document, and in which bands it lies for each residue of their place.
-
-        For a place j = 16 a + r, the band of a document position d is (d - r) // 16 - a, so the bands of a q-gram are made
-        distinct once for each residue.
-        """
+    def shared(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the document's q-grams that items have, and the q-grams' numbers."""
         h = gram_hashes(c, self.q)
         at = np.flatnonzero(self._there[self._slot(h)])
         k = np.minimum(np.searchsorted(self._grams, h[at]), max(0, len(self._grams) - 1))
         real = self._grams[k] == h[at] if len(self._grams) else np.zeros(len(at), bool)
-        at, k = at[real], k[real]
-        if not len(at):
-            return None
+        return at[real], k[real]
+
+    def regions(self, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, first diagonal of the band) of every window that reaches the lemma's bound in a band.
+
+        Few pairs of places are looked at one by one: a pair more than once in a window's count only keeps the window.
+        """
+        sizes = self._first[k + 1] - self._first[k]
+        if int(sizes.sum()) > MANY:
+            return self._by_band(at, k)
+        rows, of = expanded(self._first[k], sizes)
+        segment = self._segment[rows]
+        near = np.bincount(segment, minlength=len(self._segment_need))[segment] >= self._segment_need[segment]
+        rows, diagonal = rows[near], at[of[near]] - self._place[rows[near]]
+        again = diagonal % BAND < self._most  # also in the band before
+        return self._reached(np.concatenate([rows, rows[again]]), np.concatenate([diagonal // BAND, diagonal[again] // BAND - 1]))
+
+    def _by_band(self, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, counting places of items whose q-gram lies in a band, in chunks of segments.
+
+        For a place j = 16 a + r, the band of a document position d is (d - r) // 16 - a, so the bands of a q-gram are made
+        distinct once for each residue.
+        """
         order = np.argsort(k, kind="stable")
         at, k = at[order], k[order]
         own, begin, held = np.unique(k, return_index=True, return_counts=True)
@@ -190,45 +197,38 @@ class Items:
         pairs, pair = np.unique(of * BAND + self._place[rows] % BAND, return_inverse=True)
         places, number = expanded(begin[pairs // BAND], held[pairs // BAND])
         x = at[places] - pairs[number] % BAND
-        again = x % BAND < self._most  # also in the band before
+        again = x % BAND < self._most
         keys = np.unique(np.concatenate([number << 40 | x // BAND + 2, number[again] << 40 | x[again] // BAND + 1]))
-        sizes = np.bincount(keys >> 40, minlength=len(pairs))
+        bands, sizes = (keys & ((1 << 40) - 1)) - 2, np.bincount(keys >> 40, minlength=len(pairs))
         by_segment = np.argsort(self._segment[rows], kind="stable")
         rows, pair = rows[by_segment], pair[by_segment]
-        return Hits(rows, np.cumsum(sizes)[pair] - sizes[pair], sizes[pair], (keys & ((1 << 40) - 1)) - 2)
-
-    def regions(self, hits: Hits) -> tuple[np.ndarray, np.ndarray]:
-        """(window, first diagonal of the band) of every window that reaches the lemma's bound in a band."""
-        segment = self._segment[hits.rows]
-        total = np.cumsum(hits.sizes)
+        first, sizes, segment = np.cumsum(sizes)[pair] - sizes[pair], sizes[pair], self._segment[rows]
+        total = np.cumsum(sizes)
         news = np.append(np.flatnonzero(np.append(True, segment[1:] != segment[:-1])), len(segment))  # where segments begin
-        out, begin = [(np.empty(0, np.int64),) * 2], 0
-        while begin < len(segment):
-            spent = int(total[begin] - hits.sizes[begin])
-            fits = int(np.searchsorted(total, spent + CHUNK, "right"))
-            k = max(int(np.searchsorted(news, fits, "right")) - 1, int(np.searchsorted(news, begin, "right")))
-            end = int(news[k])
-            out.append(self._reached(hits, slice(begin, end)))
-            begin = end
+        out, low = [(np.empty(0, np.int64),) * 2], 0
+        while low < len(segment):
+            fits = int(np.searchsorted(total, total[low] - sizes[low] + CHUNK, "right"))
+            high = int(news[max(int(np.searchsorted(news, fits, "right")) - 1, int(np.searchsorted(news, low, "right")))])
+            places, number = expanded(first[low:high], sizes[low:high])
+            mine = rows[low:high][number]
+            out.append(self._reached(mine, bands[places] - self._place[mine] // BAND))
+            low = high
         return tuple(np.concatenate(x) for x in zip(*out))
 
-    def _reached(self, hits: Hits, part: slice) -> tuple[np.ndarray, np.ndarray]:
-        places, number = expanded(hits.begin[part], hits.sizes[part])
-        rows = hits.rows[part][number]
-        segment = self._segment[rows]
+    def _reached(self, rows: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What reaches the bound, by index rows and the bands in which their q-grams lie."""
         base = 1 << 32  # bands can lie before the document
-        keys, number, count = np.unique(segment << 40 | hits.bands[places] - self._place[rows] // BAND + base, return_inverse=True, return_counts=True)
-        own = keys >> 40
-        need = self._need[self._window_item[self._first_window[own]]]
+        keys, number, count = np.unique(self._segment[rows] << 40 | bands + base, return_inverse=True, return_counts=True)
+        need = self._segment_need[keys >> 40]
         enough = count >= need
         if not enough.any():
             return (np.empty(0, np.int64),) * 2
         rank = np.cumsum(enough) - 1
         used = enough[number]
         number, rows = rank[number[used]], rows[used]
-        own, need, keys = own[enough], need[enough], keys[enough]
-        first = self._first_window[own]
-        steps = np.zeros((len(own), SEGMENT + 1), np.int32)
+        need, keys = need[enough], keys[enough]
+        first = self._first_window[keys >> 40]
+        steps = np.zeros((len(keys), SEGMENT + 1), np.int32)
         np.add.at(steps, (number, self._low[rows] - first[number]), 1)
         np.add.at(steps, (number, self._high[rows] + 1 - first[number]), -1)
         k, n = np.nonzero(np.cumsum(steps, 1)[:, :SEGMENT] >= need[:, None])
@@ -241,15 +241,14 @@ class Items:
         best: dict[int, tuple] = {}
         for low in range(0, max(1, len(text)), SLICE):
             c, origin = codes(text[low : low + SLICE + overlap]), None
-            hits = self.shared(c)
-            if hits is not None and int(hits.sizes.sum()) > MANY:
+            at, k = self.shared(c)
+            if int((self._first[k + 1] - self._first[k]).sum()) > MANY:
                 c, origin = shortened(c, 2 * (self.window + self._most))
-                hits = self.shared(c)
-            if hits is None:
-                continue
-            window, diagonal = self.regions(hits)
-            order = np.lexsort((diagonal, window))
-            self._aligned(c, window[order], diagonal[order], low, origin, best)
+                at, k = self.shared(c)
+            if len(at):
+                window, diagonal = self.regions(at, k)
+                order = np.lexsort((diagonal, window))
+                self._aligned(c, window[order], diagonal[order], low, origin, best)
         if self._short:
             for number, end in self._whole_words(text):
                 best.setdefault(number, (0, 0, end))
