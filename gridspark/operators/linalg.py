@@ -19,7 +19,7 @@ from gridspark.operators import moments, reduce, spectra, structure
 from gridspark.plans import shapes, tiles
 
 #: Products of elements from which a matrix product multiplies blocks instead of pairing elements.
-BLOCK_PRODUCTS = 2_000_000
+BLOCK_PRODUCTS = 32_000_000
 #: Elements of one operand in one tile.
 BLOCK_ELEMENTS = 1 << 20
 #: Rows, and columns, of one tile's product.
