@@ -18,8 +18,8 @@ from gridspark.functions.guards import finite, no_nan, no_null
 from gridspark.plans import shapes
 from gridspark.plans.scan import numbered
 
-#: Files up to which their offsets are broadcast.
-MANY_FILES = 1_000_000
+#: Files up to which their offsets are a constant, and up to which they are broadcast.
+FEW_FILES, MANY_FILES = 256, 1_000_000
 
 
 def zeros(spark: SparkSession, shape, dtype: str = FLOAT, requires_grad: bool = False) -> TensorFrame:
@@ -92,10 +92,14 @@ def _by_file(df: DataFrame, columns: list[str]) -> tuple[DataFrame, str, list[st
     sizes = sorted((r["_file"], r["count"]) for r in counts.collect())  # a row a file
     offsets = list(zip((f for f, _ in sizes), accumulate((n for _, n in sizes), initial=0)))
     rows = builtins.sum(n for _, n in sizes)
+    kept = list(dict.fromkeys(columns))
+    placed = df.select(*kept, file.alias("_in"), F.col("_metadata.row_index").alias("_at"))
+    if 0 < len(offsets) <= FEW_FILES:  # a projection, so that what does not use the numbers does not pay for them
+        before = F.create_map(*[F.lit(x) for pair in offsets for x in pair])[F.col("_in")]
+        return placed.select(*kept, (before + F.col("_at")).alias("_row")), "_row", columns, max(1, rows)
     found = df.sparkSession.createDataFrame(offsets, "_file string, _before long")
-    placed = df.select(*dict.fromkeys(columns), file.alias("_in"), F.col("_metadata.row_index").alias("_at"))
     joined = placed.join(F.broadcast(found) if len(offsets) <= MANY_FILES else found, F.col("_in") == F.col("_file"))
-    return joined.select(*dict.fromkeys(columns), (F.col("_before") + F.col("_at")).alias("_row")), "_row", columns, max(1, rows)
+    return joined.select(*kept, (F.col("_before") + F.col("_at")).alias("_row")), "_row", columns, max(1, rows)
 
 
 def to_table(t: TensorFrame) -> DataFrame:

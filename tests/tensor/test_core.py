@@ -250,10 +250,12 @@ def test_long_axes_are_ranked_with_all_keys(spark, monkeypatch, kind):
     same(order.sort(S.transpose(x), 1), np.sort(a, 0).T)
 
 
-def test_table_rows_by_file(spark, tmp_path):
+@pytest.mark.parametrize("few", [256, 2])
+def test_table_rows_by_file(spark, tmp_path, monkeypatch, few):
     """Several files of several row groups: dense numbers in the files' order, without a sort or a shuffle of rows."""
     rows = [(float(k), float(k * k % 11), "x") for k in range(1000)]
     spark.createDataFrame(rows, "a double, b double, _row string").repartition(4).write.option("parquet.block.size", 2048).parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(T, "FEW_FILES", few)
     table = spark.read.parquet(str(tmp_path / "t"))
     x = T.from_table(table, None, ["b", "a"])
     assert x.shape == (1000, 2)
@@ -262,6 +264,7 @@ def test_table_rows_by_file(spark, tmp_path):
     files = sorted((tmp_path / "t").glob("*.parquet"))
     want = [r["a"] for f in files for r in spark.read.parquet(str(f)).collect()]
     assert len(files) == 4 and got[:, 1].tolist() == want
+    assert few == 2 or "Join" not in x.df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in (plan := x.df._jdf.queryExecution().executedPlan().toString()) and "Sort" not in plan
 
 
