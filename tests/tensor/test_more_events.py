@@ -16,7 +16,7 @@ def folder(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["add_uint64", "cumsum_uint64", "mul_uint64"])
+@pytest.mark.parametrize("name", ["add_uint64", "cumsum_uint64", "mul_uint64", "pow_uint64"])
 def test_equals_sql(spark, folder, name):
     got = sorted(tuple(r) for r in catalog.queries()[name](spark, folder).collect())
     db = duckdb.connect()
