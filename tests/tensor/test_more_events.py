@@ -17,7 +17,7 @@ def folder(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["add_uint64", "cumsum_uint64", "mul_uint64", "pow_uint64", "sub_uint64", "sum_uint64", "div_uint64", "sort_uint64", "neg_uint64", "log", "chi2_logpdf"])
+@pytest.mark.parametrize("name", ["add_uint64", "cumsum_uint64", "mul_uint64", "pow_uint64", "sub_uint64", "sum_uint64", "div_uint64", "sort_uint64", "neg_uint64", "log", "chi2_logpdf", "chi2_pdf"])
 def test_equals_sql(spark, folder, name):
     got = sorted(tuple(r) for r in catalog.queries()[name](spark, folder).collect())
     db = duckdb.connect()
