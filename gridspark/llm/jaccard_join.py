@@ -143,7 +143,7 @@ def buckets(classes: DataFrame, branches: int, runs: int, leaf_rows: int, levels
         leaves.append(_on_node(large, dense, "left_semi", many).select("node", "c", "size"))
         child = [F.xxhash64("node", F.lit(k), F.element_at("sig", drawn(k, 0))) for k in range(branches)]
         split = _on_node(large, dense, "left_anti", many).select("c", F.explode(F.array(*child)).alias("node"))
-        rows = _peopled(split.select("node", "c"), level, many)
+        rows = _peopled(written(split.select("node", "c"), f"split{level}"), level, many)  # it is read three times
     found = written(reduce(DataFrame.unionByName, [x.select("node", "c", "size") for x in leaves]), "leaves")
     # buckets of the same members are compared once
     content = found.groupBy("node", "size").agg(F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "c")).alias("y"))

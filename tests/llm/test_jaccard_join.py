@@ -106,6 +106,15 @@ def test_low_threshold_with_forced_deep_splits(spark):
     assert sum(n for _, _, n in want.values()) > 400
 
 
+def test_a_split_is_made_once(spark, monkeypatch):
+    made, plain = {}, J.written
+    monkeypatch.setattr(J, "written", lambda df, name: made.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or plain(df, name))
+    rows = corpus(5, groups=4, dense=60)
+    assert run(spark, rows, threshold=0.5, leaf_rows=4, levels=3) == brute(rows, 0.5)
+    assert "Generate explode" in made["split1"]
+    assert not any("Generate" in plan for name, plan in made.items() if name in ("sizes1", "level1", "sizes2", "level2"))
+
+
 def test_density_is_told_without_a_row_for_a_token(spark):
     """Buckets in which 9 of 10 and 1 of 20 members share the drawn token."""
     rows = [(1, 400, [7 if k % 10 else k] * 64) for k in range(400)] + [(2, 400, [7 if k % 20 == 0 else 10_000 + k] * 64) for k in range(400)]
