@@ -3,8 +3,10 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridspark import catalog
+from gridspark.plans.scan import running_sum
 
 ROWS = 120_000
 
@@ -28,3 +30,19 @@ def test_equals_sql(spark, folder, name):
     else:
         assert [r[0] for r in got] == [r[0] for r in want]
         assert np.allclose([r[1] for r in got], [r[1] for r in want], rtol=1e-8, atol=2e-6, equal_nan=True)
+
+
+@pytest.mark.parametrize("name", ["cumsum_uint64", "cumsum_flat"])
+def test_running_sums_across_gaps(spark, tmp_path, name):
+    """Events whose ids have gaps, so that blocks of positions are missing."""
+    duckdb.sql(f"COPY (SELECT k % 1000 + k // 1000 * 200000 AS event_id, (k % 4096) / 8 AS value FROM range({ROWS}) r(k)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = sorted(tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    assert got == sorted(db.execute(catalog.oracle_sql()[name]).fetchall())
+
+
+def test_running_sums_across_gaps_of_three_levels(spark):
+    places = [(k % 5 + k // 5 * 40, 0.5 * k) for k in range(300)]
+    got = running_sum(spark.createDataFrame(places, "i long, v double"), [], F.col("i"), len(places), "v", "total", "double", 7).orderBy("i").collect()
+    assert [r.total for r in got] == np.cumsum([v for _, v in places]).tolist()
