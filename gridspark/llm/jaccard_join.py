@@ -253,30 +253,49 @@ def compare(members: DataFrame, threshold: float) -> DataFrame:
 def components(edges: DataFrame, many: int = MANY) -> DataFrame:
     """(node, root) of all nodes of the edges (a, b), root the smallest node of its component.
 
-    Large-star and small-star contraction until a round changes nothing; each round is a table, and the driver sees
-    one checksum of it. Nodes with over 1 of ``many`` edges, of which there are at most twice as many, meet their edges
-    by a broadcast, so the centre of a large component is no key of a shuffle.
+    Large-star and small-star contraction until every node but the roots has one edge, to its root; each round is two tables
+    and two of nodes, and the driver sees two counts of it. Nodes with over 1 of ``many`` edges, of which there are at most
+    twice as many, meet their edges by a broadcast, so the centre of a large component is no key of a shuffle.
     """
 
-    def star(e: DataFrame, large: bool, count: int) -> DataFrame:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        low = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m")), "low")
+    def lowest(e: DataFrame) -> DataFrame:
+        """(a, m, n): each a's smallest b, or a itself if that is smaller, and the number of its rows."""
+        return written(e.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m")), "low")
+
+    def star(e: DataFrame, low: DataFrame, count: int) -> DataFrame:
+        """The rows (a, b) with a's smallest, m."""
         often = F.col("n") * many > 2 * count
-        told = both.join(F.broadcast(low.where(often).select("a", "m")), "a", "left")
-        joined = told.where("m IS NOT NULL").unionByName(told.where("m IS NULL").drop("m").join(low.where(~often).select("a", "m"), "a"))
-        if large:
-            return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b")
+        told = e.join(F.broadcast(low.where(often).select("a", "m")), "a", "left")
+        return told.where("m IS NOT NULL").unionByName(told.where("m IS NULL").drop("m").join(low.where(~often).select("a", "m"), "a"))
 
     turned = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    now, last = written(turned, "edges"), None
+    now = written(turned, "edges")
     while True:
-        mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if mark == last or not mark[0]:
-            break
-        last = mark
-        now = written(star(written(star(now, True, mark[0]), "half"), False, mark[0]).distinct(), "stars")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = lowest(both)
+        open_nodes, ends = low.agg(F.count_if(F.expr("m < a AND n > 1")), F.sum("n")).first()
+        if not open_nodes:  # stars already, so each node's smallest is its root
+            return low.select(F.col("a").alias("node"), F.col("m").alias("root"))
+        large = star(both, low, ends // 2).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        half = written(large.where("a <> b"), "half")
+        low = lowest(half)
+        small = star(half, low, ends // 2).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b")
+        now = written(small.distinct(), "stars")
+
+
+def class_names(told: DataFrame, many: int = MANY) -> DataFrame:
+    """``told`` (root, set_id and others) with class_id, the smallest set_id that shares its root; null where root is.
+
+    Roots of over 1 of ``many`` rows are broadcast; the others are shuffled, and none of them is a large share.
+    """
+    groups = told.where("root IS NOT NULL").groupBy("root").agg(F.min("set_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    names = written(groups, "names")
+    often = F.col("n") * many > F.lit(names.agg(F.sum("n")).first()[0] or 0)
+    few, others = (names.where(x).select("root", "class_id") for x in (often, ~often))
+    apart = told.join(F.broadcast(few.withColumn("named", F.lit(True))), "root", "left")
+    rest = apart.where("root IS NOT NULL AND named IS NULL").drop("class_id", "named").join(others, "root")
+    return apart.where("root IS NULL OR named").drop("named").unionByName(rest)
 
 
 def jaccard_join(
@@ -346,17 +365,14 @@ def jaccard_join(
         .sortWithinPartitions("node", "bi", "bj", "c")
     )
     links = written(compare(members, threshold), "links")
-    counts = links.groupBy(F.col("a").alias("c")).agg(F.sum("links").alias("n_links"))
-    roots = written(components(links.select("a", "b")).withColumnRenamed("node", "c"), "roots")
-    named = roots.join(classes.select("c", "set_id"), "c")
-    names = named.groupBy("root").agg(F.min("set_id").alias("class_id"))
-    linked = roots.join(names, "root").select("c", "class_id").join(counts, "c", "left")
-    labelled = written(
-        classes.select("c", "set_id").join(linked, "c", "left").select(
-            "c", "set_id", F.coalesce("class_id", "set_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-        ),
-        "labelled",
-    )
+    # for each class its number of links and the root of its component, gathered in one shuffle
+    roots = components(links.select("a", "b"))
+    none = {"set_id": F.lit(None).cast("long"), "root": F.lit(None).cast("binary"), "links": F.lit(0).cast("long")}
+    sides = [classes.select("c", "set_id"), roots.select(F.col("node").alias("c"), "root"), links.select(F.col("a").alias("c"), "links")]
+    sides = [x.withColumns({k: v for k, v in none.items() if k not in x.columns}) for x in sides]
+    gathered = reduce(DataFrame.unionByName, sides).groupBy("c")
+    told = written(gathered.agg(F.max("set_id").alias("set_id"), F.max("root").alias("root"), F.sum("links").alias("n_links")), "told")
+    labelled = class_names(told).select("c", "set_id", F.coalesce("class_id", "set_id").alias("class_id"), "n_links")
     return found.select("doc_id", "c").join(labelled, "c", "left").select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),

@@ -101,7 +101,8 @@ def alike_order(rows: np.ndarray, block: int) -> np.ndarray:
         if len(part) <= block or not rows.shape[1]:
             order += part.tolist()
             continue
-        about = rows[part] - rows[part].mean(0)
+        about = rows[part]
+        about -= about.mean(0)
         along = np.random.default_rng(1).normal(size=rows.shape[1])
         for _ in range(8):
             along = about.T @ (about @ along)
@@ -122,7 +123,7 @@ class BlockMaxIndex:
         self.size, self.block = len(vectors), block
         self.blocks = -(-self.size // block)
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, np.int64)
-        example = np.repeat(np.arange(self.size), [len(t) for t, _ in vectors])
+        example = np.repeat(np.arange(self.size, dtype=np.int32), [len(t) for t, _ in vectors])
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
         common = np.flatnonzero(np.bincount(term, minlength=n_terms) > COMMON * self.size)
         self.row = np.full(n_terms, -1, np.int32)
@@ -131,13 +132,14 @@ class BlockMaxIndex:
         rows = np.zeros((self.size, len(common)))
         rows[example[here], self.row[term[here]]] = weight[here]
         self.order = alike_order(rows, block)  # the example at each place
+        del rows  # the driver holds the common weights once at a time
         place = np.empty(self.size, np.int32)
         place[self.order] = np.arange(self.size)
-        padded = np.zeros((self.blocks * block, len(common)))
-        padded[place] = rows
-        self.rows = np.ascontiguousarray(padded.reshape(self.blocks, block, len(common)).transpose(0, 2, 1))
+        at = place[example]
+        self.rows = np.zeros((self.blocks, len(common), block))
+        self.rows[at[here] // block, self.row[term[here]], at[here] % block] = weight[here]
         self.most = self.rows.max(2)
-        term, at, weight = term[~here], place[example[~here]], weight[~here]
+        term, at, weight = term[~here], at[~here], weight[~here]
         order = np.lexsort((at, term))
         self.at, self.weight = at[order], weight[order]
         # the postings of the rare term t are those from start[t] to start[t + 1]
@@ -296,43 +298,48 @@ def fit(
     n0, n1 = (part.where(F.col("label") == y).count() for y in (0, 1))
     seen = part.select("label", F.explode(terms_of("text")).alias("term")).groupBy("term")
     told = seen.agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).orderBy("term").toArrow()  # the examples' terms
-    number = {t: k for k, t in enumerate(told["term"].to_pylist())}
+    known_terms = Numbers({t: k for k, t in enumerate(told["term"].to_pylist())})
     telling = evidence(*(told[c].to_numpy().astype(float) for c in ("a", "b")), n1, n0)
-    numbers = spark.sparkContext.broadcast(Numbers(number))
+    terms = len(telling)
+    del told
+    numbers = spark.sparkContext.broadcast(known_terms)  # its own value would be a second copy in the driver
 
     # document frequencies of these terms over all documents: at most one sum of each from a task
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, df = 0, np.zeros(len(number), np.int64)
+        total, df = 0, np.zeros(terms, np.int64)
         for batch in batches:
             total += batch.num_rows
             for text in batch.column(0):
                 df[counted(text.as_py(), numbers.value)[0]] += 1
-        rows = np.append(np.flatnonzero(df), len(number))
+        rows = np.append(np.flatnonzero(df), terms)
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows.astype(np.int32)), pa.array(np.append(df, total)[rows])], names=["term", "n"]
         )
 
     sums = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    df = np.zeros(len(number) + 1)
+    df = np.zeros(terms + 1)
     got = sums.toArrow()  # one row for each term
     df[got["term"].to_numpy()] = got["n"].to_numpy()
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * telling
 
     def vectors(rows: DataFrame) -> list:
-        @F.udf(returnType="terms array<int>, counts array<double>", useArrow=True)
+        @F.udf(returnType="terms array<int>, counts array<int>", useArrow=True)
         def vector(text):
             t, c = counted(text, numbers.value)
-            return t.tolist(), c.tolist()
+            return t.tolist(), c.astype(np.int32).tolist()
 
         got = rows.select("doc_id", "label", vector("text").alias("v")).select("doc_id", "label", "v.*").orderBy("doc_id").toArrow()
         arrays = [[x.values.to_numpy() for x in got[c]] for c in ("terms", "counts")]
         return list(zip(got["doc_id"].to_pylist(), got["label"].to_pylist(), *arrays))
 
     held = vectors(part)  # at most 2 * examples rows
-    index = BlockMaxIndex([(t, weighed(t, c, idf)) for _, _, t, c in held], len(number))
-    model = ToxicityModel(
-        numbers.value, idf, index, np.array([y for _, y, _, _ in held], float), np.array([d for d, *_ in held], np.int64), neighbours, 0.0, -50.0
-    )
+    numbers.destroy()  # the model holds them from here on
+    ids, marks = np.array([d for d, *_ in held], np.int64), np.array([y for _, y, _, _ in held], float)
+    weights = [(t, weighed(t, c, idf)) for _, _, t, c in held]
+    del held
+    model = ToxicityModel(known_terms, idf, BlockMaxIndex(weights, terms), marks, ids, neighbours, 0.0, -50.0)
+    del weights
+    pa.default_memory_pool().release_unused()
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -340,6 +347,7 @@ def fit(
         return pa.array([v for v, _, _ in shared.value.votes(t.as_py() for t in texts)], pa.float64())
 
     votes = sample.where("part = 'calibration'").select(vote("text").alias("v"), "label").collect()
+    shared.destroy()  # score() sends the model with its slope and offset
     if not total[1]:
         return model
     x, y = np.array([r["v"] for r in votes]), np.array([r["label"] for r in votes], int)

@@ -185,3 +185,26 @@ def test_the_centre_of_a_large_component_is_no_key(spark, many):
     found = {r.node: r.root for r in J.components(spark.createDataFrame(edges, "a binary, b binary"), many).collect()}
     assert len(found) == 2000 + 201 + 1
     assert all(bytes(root) == name(0 if int.from_bytes(node, "big") in {*range(2000), 6000} else 5000) for node, root in found.items())
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    made, plain = [], J.written
+    monkeypatch.setattr(J, "written", lambda df, name: made.append(name) or plain(df, name))
+    edges = spark.createDataFrame([(b"1", b"0"), (b"2", b"0"), (b"4", b"3"), (b"2", b"0")], "a binary, b binary")
+    got = {(bytes(r.node), bytes(r.root)) for r in J.components(edges).collect()}
+    assert got == {(b"0", b"0"), (b"1", b"0"), (b"2", b"0"), (b"3", b"3"), (b"4", b"3")} and made == ["edges", "low"]
+    assert J.components(edges.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("many", [2, 20_000])
+def test_names_of_classes(spark, many):
+    """A root of most rows, roots of two, roots without any id and rows without a root."""
+    rows = [(b"c%d" % k, k + 7, b"hub") for k in range(50)] + [(b"d%d" % k, 100 + k if k % 3 else None, b"r%d" % (k // 2)) for k in range(40)]
+    rows += [(b"e", 5, None), (b"f", None, None), (b"g", None, b"x"), (b"h", None, b"x")]
+    told = spark.createDataFrame(rows, "c binary, set_id long, root binary")
+    least = {}
+    for _, s, root in rows:
+        least[root] = min((x for x in (least.get(root), s) if x is not None), default=None)
+    found = J.class_names(told, many)
+    got = sorted(((bytes(r.c), r.class_id) for r in found.collect()), key=str)
+    assert got == sorted(((c, None if root is None else least[root]) for c, _, root in rows), key=str)

@@ -181,3 +181,13 @@ def test_repeated_ids_with_other_texts_give_one_model(spark):
         docs = spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
         scores.append(sorted((r.text, r["_toxicity"]["score"]) for r in X.score(docs, X.fit(docs, labels)).collect()))
     assert scores[0] == scores[1]
+
+
+def test_fit_leaves_nothing_sent(spark, monkeypatch):
+    """The driver and its block store keep no copy of the terms or the model once they are fitted."""
+    sent, plain = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(plain(value)) or sent[-1])
+    docs, labels = corpus(spark, 60)
+    model = X.fit(docs, labels)
+    assert len(sent) == 2 and not any(b._jbroadcast.isValid() for b in sent)
+    assert all("_value" not in vars(b) for b in sent) and 0 <= next(model.votes(["any"]))[0] < 1
