@@ -46,3 +46,13 @@ def test_running_sums_across_gaps_of_three_levels(spark):
     places = [(k % 5 + k // 5 * 40, 0.5 * k) for k in range(300)]
     got = running_sum(spark.createDataFrame(places, "i long, v double"), [], F.col("i"), len(places), "v", "total", "double", 7).orderBy("i").collect()
     assert [r.total for r in got] == np.cumsum([v for _, v in places]).tolist()
+
+
+def test_outer_product_is_rounded_as_sql_rounds(spark, tmp_path):
+    """Products whose millionths end near a half, where a decimal text rounds otherwise than SQL does."""
+    duckdb.sql(f"""COPY (SELECT k AS vec_id, list_concat([(k * 37.37 + 30000)::FLOAT], list_transform(range(63), lambda x: 0::FLOAT)) AS embedding
+        FROM range(150) r(k)) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)""")
+    got = sorted(tuple(r) for r in catalog.queries()["matmul_outer"](spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet'")
+    assert got == sorted(db.execute(catalog.oracle_sql()["matmul_outer"]).fetchall())
