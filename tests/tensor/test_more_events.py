@@ -56,3 +56,21 @@ def test_outer_product_is_rounded_as_sql_rounds(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet'")
     assert got == sorted(db.execute(catalog.oracle_sql()["matmul_outer"]).fetchall())
+
+
+def rows_and_sql(spark, path, name, found):
+    """A query's values, and its SQL's, of events with each of the ``found`` values at one to seven degrees of freedom."""
+    each = ", ".join(f"({7 * n + k}, {v!r}::DOUBLE)" for n, v in enumerate(found) for k in range(7))
+    duckdb.sql(f"COPY (SELECT event_id::BIGINT AS event_id, value FROM (VALUES {each}) e(event_id, value)) TO '{path}/events.parquet' (FORMAT parquet)")
+    got = sorted(tuple(r) for r in catalog.queries()[name](spark, str(path)).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS FROM '{path}/events.parquet'")
+    want = sorted(db.execute(catalog.oracle_sql()[name]).fetchall())
+    assert [r[0] for r in got] == [r[0] for r in want] and len(got) == 7 * len(found)
+    return np.array([r[1] for r in got]), np.array([r[1] for r in want])
+
+
+def test_log_densities_are_rounded_as_sql_rounds(spark, tmp_path):
+    """Arguments so large that the eighth digit is beyond a double, besides 0."""
+    got, want = rows_and_sql(spark, tmp_path, "chi2_logpdf", [0.0, 0.5, 1e5, 1e10, 1e16])
+    assert np.array_equal(got, want, equal_nan=True)
