@@ -74,3 +74,9 @@ def test_log_densities_are_rounded_as_sql_rounds(spark, tmp_path):
     """Arguments so large that the eighth digit is beyond a double, besides 0."""
     got, want = rows_and_sql(spark, tmp_path, "chi2_logpdf", [0.0, 0.5, 1e5, 1e10, 1e16])
     assert np.array_equal(got, want, equal_nan=True)
+
+
+def test_densities_next_to_zero(spark, tmp_path):
+    """At two degrees SQL gives NaN at 0 only, and 1/2 for the least arguments above it."""
+    got, want = rows_and_sql(spark, tmp_path, "chi2_pdf", [0.0, 5e-324, 1e-300, 1e-17, 1e-9, 0.5])
+    assert np.isnan(want).sum() == 2 and np.allclose(got, want, rtol=1e-12, atol=1e-9, equal_nan=True)
